@@ -3,13 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from boostloom.llm import bpe
+from boostloom.llm.sharding import assign_shards
 from boostloom.llm.substrings import substring_dedup
 
+#: Shards and slots of op6: 128 slots for each shard, give or take one.
+SHARDS, SLOTS = [f"shard-{i:03d}" for i in range(64)], 8191
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def op6_lookup_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "n_chars")
+    return assign_shards(docs, "doc_id", SHARDS, SLOTS).select("doc_id", "source", "n_chars", "slot", "shard")
+
+
+#: The turns are played by a recursive query, one claim a step; a shard skips to its first free slot.
+OP6_SQL = r"""
+WITH RECURSIVE s AS (SELECT i, printf('shard-%03d', i) AS shard FROM range(64) AS t(i)),
+p AS (SELECT list((('0x' || substr(md5(shard || ':offset'), 1, 15))::BIGINT % 8191) ORDER BY i) AS o,
+             list((('0x' || substr(md5(shard || ':skip'), 1, 15))::BIGINT % 8190 + 1) ORDER BY i) AS k FROM s),
+turn(n, owner, nxt, slot) AS (
+  SELECT 0, list_transform(range(8191), lambda x: -1), list_transform(range(64), lambda x: 0), -1
+  UNION ALL
+  SELECT n + 1,
+         list_concat(list_concat(owner[1:slot2], [n % 64]), owner[slot2 + 2:]),
+         list_concat(list_concat(nxt[1:n % 64], [j + 1]), nxt[n % 64 + 2:]), slot2
+  FROM (SELECT n, owner, nxt, j, (o[n % 64 + 1] + j * k[n % 64 + 1]) % 8191 AS slot2
+        FROM (SELECT n, owner, nxt, o, k, list_filter(range(nxt[n % 64 + 1], 8191), lambda x: owner[((o[n % 64 + 1] + x * k[n % 64 + 1]) % 8191) + 1] = -1)[1] AS j
+              FROM turn, p WHERE n < 8191))),
+claims AS (SELECT slot, (n - 1) % 64 AS i FROM turn WHERE n > 0)
+SELECT doc_id, source, n_chars, claims.slot::INT AS slot, shard
+FROM (SELECT *, (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % 8191) AS at FROM documents) d
+JOIN claims ON claims.slot = d.at JOIN s ON s.i = claims.i
+"""
+
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return substring_dedup(docs, width=20, with_text=False)
+    return substring_dedup(documents(spark, sf_dir), width=20, with_text=False)
 
 
 OP8_SQL = r"""
@@ -24,10 +59,28 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(kept.n, 0))::BIGI
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return bpe.decode(encoded, ranks).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
+    "op6_lookup_sharding": op6_lookup_sharding,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL = {
+    "op6_lookup_sharding": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
 }
