@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boostloom.llm import bpe
+from boostloom.llm import bpe, languages, toxicity
 from boostloom.llm.sharding import assign_shards
 from boostloom.llm.substrings import substring_dedup
 
@@ -74,8 +74,23 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.score_documents(docs, model)
+    return scored.select("doc_id", (toxicity.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted", "evidence")
+
+
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = languages.identify(docs, languages.fit(docs))
+    return found.select("doc_id", (toxicity.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "mixture")
+
+
 QUERIES = {
+    "op5_toxicity": op5_toxicity,
     "op6_lookup_sharding": op6_lookup_sharding,
+    "op7_language_mixture": op7_language_mixture,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
