@@ -128,14 +128,19 @@ def join_frame(rows: pd.DataFrame) -> bytes:
     return join_blobs([rows["id"].to_numpy(np.int64).tobytes(), rows["tag"].to_numpy(np.int64).tobytes(), *rows["runs"]])
 
 
-def _repeats(table: pa.Table) -> pa.Table:
-    """Documents and windows of one range that aren't the earliest with their hash."""
+def _split_frame(blob: bytes) -> pd.DataFrame:
+    parts = split_blobs(blob)
+    return pd.DataFrame({"id": np.frombuffer(parts[0], np.int64), "tag": np.frombuffer(parts[1], np.int64), "runs": parts[2:]})
+
+
+def _repeats(table: pa.Table, buckets: int) -> pa.Table:
+    """Windows of one range that aren't the earliest with their hash, packed by bucket of documents."""
     frames, heads, hashes, where, owner, ranks = [], [], [], [], [], []
     for blob, local in zip(table.column("blob").to_pylist(), table.column("local").to_pylist(), strict=True):
-        parts = split_blobs(blob)
         if local:
-            frames.append(pd.DataFrame({"id": np.frombuffer(parts[0], np.int64), "tag": np.frombuffer(parts[1], np.int64), "runs": parts[2:]}))
+            frames.append(_split_frame(blob))
             continue
+        parts = split_blobs(blob)
         ids = (W.unpack_sorted(parts[0]) ^ _LOW).view(np.int64)
         begin = W.unpack_sorted(parts[2]).astype(np.int64)
         at = W.unpack(parts[4]).astype(np.int64)
@@ -163,8 +168,28 @@ def _repeats(table: pa.Table) -> pa.Table:
         doc, start = doc[repeat], start[repeat]
         by = np.lexsort((start, doc))
         frames.append(_keyed(doc[by], start[by], ids, tags))
-    out = pd.concat(frames) if frames else pd.DataFrame({"id": [], "tag": [], "runs": []})
-    return pa.table({"id": pa.array(out["id"], pa.int64()), "tag": pa.array(out["tag"], pa.int64()), "runs": pa.array(list(out["runs"]), pa.binary())})
+    out = pd.concat(frames, ignore_index=True) if frames else pd.DataFrame({"id": [], "tag": [], "runs": []})
+    bucket = (W.mix(out["id"].to_numpy(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64) if len(out) else np.zeros(0, np.int64)
+    by = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[by], np.arange(buckets + 1))
+    rows = [(b, join_frame(out.iloc[by[cut[b] : cut[b + 1]]])) for b in range(buckets) if cut[b] < cut[b + 1]]
+    return pa.table({"bucket": pa.array([x[0] for x in rows], pa.int32()), "blob": pa.array([x[1] for x in rows], pa.binary())})
+
+
+def _gather(table: pa.Table) -> pa.Table:
+    """One row for each document that has repeated windows, with all of them."""
+    runs: dict[tuple[int, int], list[bytes]] = {}
+    for blob in table.column("blob").to_pylist():
+        rows = _split_frame(blob)
+        for i, t, r in zip(rows["id"].tolist(), rows["tag"].tolist(), rows["runs"], strict=True):
+            runs.setdefault((i, t), []).append(r)
+    return pa.table(
+        {
+            "id": pa.array([k[0] for k in runs], pa.int64()),
+            "tag": pa.array([k[1] for k in runs], pa.int64()),
+            "runs": pa.array([b"".join(x) for x in runs.values()], pa.binary()),
+        }
+    )
 
 
 def _cut(width: int, with_text: bool):
@@ -178,7 +203,7 @@ def _cut(width: int, with_text: bool):
                 words = text.split() if text is not None else []
                 n, mine = len(words), []
                 if runs:
-                    found = np.concatenate([np.frombuffer(x, "<u4").reshape(-1, 2) for x in runs]).astype(np.int64)
+                    found = np.frombuffer(runs, "<u4").reshape(-1, 2).astype(np.int64)
                     mine = merged(found[:, 0], found[:, 0] + found[:, 1] + width - 1)
                     for a, b in reversed(mine):
                         del words[a:b]
@@ -222,13 +247,14 @@ def substring_dedup(docs: DataFrame, width: int = 20, text_col: str = "text", id
     Columns other than the two named are ignored, whatever their names.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = 2 * buckets
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     tag = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).bitwiseAND(F.lit(0xFFFF))
     rows = rows.withColumn("tag", tag.cast("long"))
     dealt = rows.mapInArrow(_first_windows(width, ranges), "part int, blob binary, local boolean")
-    found = dealt.groupBy("part").applyInArrow(_repeats, "id long, tag long, runs binary")
-    marks = found.groupBy("id", "tag").agg(F.collect_list("runs").alias("runs"))
+    found = dealt.groupBy("part").applyInArrow(lambda table: _repeats(table, buckets), "bucket int, blob binary")
+    marks = found.groupBy("bucket").applyInArrow(_gather, "id long, tag long, runs binary")
     keyed = rows.withColumn("key", F.coalesce("id", F.lit(NO_ID)))
     marks = marks.select(F.col("id").alias("mark_key"), F.col("tag").alias("mark_tag"), "runs")
     joined = keyed.join(marks, (F.col("key") == F.col("mark_key")) & (F.col("tag") == F.col("mark_tag")), "left")
