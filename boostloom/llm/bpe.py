@@ -174,8 +174,18 @@ def _share(spark, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Encode each whole text: doc_id, ids array<int>.
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.zeros(len(ids) + 1, np.int32)
+    np.cumsum([len(x) for x in ids], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+
+
+def _encode_part(encoder: Encoder, texts: pa.Array) -> list[np.ndarray]:
+    return [encoder.encode(x) if x else np.zeros(0, np.int32) for x in texts.to_pylist()]
+
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", id_col: str = "doc_id", decoded: bool = False) -> DataFrame:
+    """Encode each whole text: doc_id, ids array<int>; with `decoded`, also the bytes that decode() makes of them.
 
     Each match of `pattern` is encoded separately, without special tokens, by the ranks of the file
     `ranks_path`, which the driver reads and broadcasts (its size is that of the vocabulary, not of the
@@ -188,14 +198,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
         encoder = _encoder(shared, pattern)
         for batch in batches:
             for rows, _, _ in W.slices(batch, "text", SLICE):
-                ids = [encoder.encode(x) if x else np.zeros(0, np.int32) for x in rows.column(1).to_pylist()]
-                offsets = np.zeros(len(ids) + 1, np.int32)
-                np.cumsum([len(x) for x in ids], out=offsets[1:])
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([rows.column(0), lists], names=["doc_id", "ids"])
+                ids = _encode_part(encoder, rows.column(1))
+                columns = [rows.column(0), _lists(ids)]
+                if decoded:
+                    columns.append(pa.array([encoder.decode(x.tolist()) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
@@ -208,8 +218,10 @@ def decode(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", id_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared, "")
         for batch in batches:
-            out = pa.array([encoder.decode(x) if x else b"" for x in batch.column(1).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], names=["doc_id", "ids", "decoded"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                out = [encoder.decode(x.values.to_pylist()) if x.is_valid else b"" for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
     rows = encoded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
