@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boostloom.llm import bpe, languages, toxicity
+from boostloom.llm.mixing import mix
+from boostloom.llm.near_dups import near_dups
+from boostloom.llm.pitman_yor import language_model
 from boostloom.llm.sharding import assign_shards
 from boostloom.llm.substrings import substring_dedup
 
@@ -61,6 +64,10 @@ FROM d LEFT JOIN kept USING (doc_id)
 
 
 
+def op9_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model(documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -74,6 +81,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))[0]
+
+
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups(documents(spark, sf_dir))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -88,10 +103,13 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_soft_mixing": op3_soft_mixing,
+    "op4_near_dups": op4_near_dups,
     "op5_toxicity": op5_toxicity,
     "op6_lookup_sharding": op6_lookup_sharding,
     "op7_language_mixture": op7_language_mixture,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_pitman_yor": op9_pitman_yor,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
