@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boostloom.llm import bpe, languages, toxicity
+from boostloom.llm import bpe, cover_tree, languages, multi_index, toxicity
 from boostloom.llm.mixing import mix
 from boostloom.llm.near_dups import near_dups
 from boostloom.llm.pitman_yor import language_model
@@ -81,6 +81,29 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return multi_index.search(rows, rows.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_dups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.98)
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS n
+  FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND label IS NOT NULL)
+  WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+         WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) l ON l.a = vec_id
+LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) r ON r.a = vec_id
+"""
+
+
 def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))[0]
 
@@ -103,6 +126,8 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_multi_index": op1_multi_index,
+    "op2_cover_tree": op2_cover_tree,
     "op3_soft_mixing": op3_soft_mixing,
     "op4_near_dups": op4_near_dups,
     "op5_toxicity": op5_toxicity,
@@ -114,6 +139,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_cover_tree": OP2_SQL,
     "op6_lookup_sharding": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
 }
