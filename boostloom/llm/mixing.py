@@ -115,12 +115,7 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
         k = len(model.domains)
         for batch in batches:
             for part, buffer, offsets in W.slices(batch, "text", SLICE):
-                words = W.scan(buffer, offsets, W.ALNUM_LOWER)
-                tokens = _token_counts(buffer, offsets)
-                by = np.lexsort((words.hash, words.doc))
-                doc, h = words.doc[by], words.hash[by]
-                new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
-                p = model.posterior(doc[new], h[new], np.diff(np.r_[new, len(h)]).astype(float), part.num_rows)
+                tokens, p = _posterior(model, buffer, offsets)
                 lists = pa.FixedSizeListArray.from_arrays(pa.array(p.reshape(-1)), k).cast(pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), lists], names=["doc_id", "n_tokens", "posterior"])
 
@@ -128,6 +123,16 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>")
 
 
+def _posterior(model: Classifier, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and posteriors of the texts of a slice."""
+    words = W.scan(buffer, offsets, W.ALNUM_LOWER)
+    by = np.lexsort((words.hash, words.doc))
+    doc, h = words.doc[by], words.hash[by]
+    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
+    p = model.posterior(doc[new], h[new], np.diff(np.r_[new, len(h)]).astype(float), len(offsets) - 1)
+    return _token_counts(buffer, offsets), p
+
+
 def _token_counts(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Words of each document."""
     word = np.zeros(int(offsets[-1] - offsets[0]) + 1, np.int8)
@@ -239,17 +244,32 @@ def raised(floor: float = 1.0, shares: dict[str, float] | None = None, domains:
     return targets
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: Callable[[list[str]], Callable[[np.ndarray], np.ndarray]] | None = None, ridge: float = 1e-4, lower: float = 0.0) -> tuple[DataFrame, Mix]:
+def fit(docs: DataFrame, labels: DataFrame, targets: Callable[[list[str]], Callable[[np.ndarray], np.ndarray]] | None = None, ridge: float = 1e-4, lower: float = 0.0) -> tuple[Classifier, Mix, DataFrame]:
+    """The classifier, the rates' solution, and the written table of posteriors that it was found on.
+
+    `targets` gets the domains' names and returns the function that solve() wants; raised() by default.
+    """
+    model = fit_classifier(docs, labels)
+    table = written(posteriors(docs, model))
+    return model, solve(table, model.domains, (targets or (lambda d: raised(domains=d)))(model.domains), ridge, lower), table
+
+
+def _copies(rate: str):
+    """A rate rounded up or down by the id's hash."""
+    chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    return F.floor(F.col(rate) + chance).cast("int")
+
+
+def mix(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, Mix]:
     """Rates for every document: (doc_id, n_tokens, posterior map, rate, copies), and the solution.
 
     `copies` is the rate rounded up or down at random by the id's hash, so that its expectation is the
     rate; a rate of 1 or more keeps every document.  Null and empty texts have no tokens; their
     posterior is the classifier's prior.  Without usable labels there is one domain and all rates are 1.
     Repeated rows count each and get equal rates; other columns are ignored; an empty table gives no rows.
+    Options are those of fit().
     """
-    model = fit_classifier(docs, labels)
-    table = written(posteriors(docs, model))
-    solution = solve(table, model.domains, (targets or (lambda d: raised(domains=d)))(model.domains), ridge, lower)
+    model, solution, table = fit(docs, labels, **options)
     shared = docs.sparkSession.sparkContext.broadcast(solution)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +279,25 @@ def mix(docs: DataFrame, labels: DataFrame, targets: Callable[[list[str]], Calla
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.rate(p))], names=["doc_id", "n_tokens", "posterior", "rate"])
 
     rated = table.mapInArrow(run, "doc_id long, n_tokens long, posterior array<double>, rate double")
-    chance = F.pmod(F.xxhash64(F.lit("mix"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     names = F.array(*[F.lit(d) for d in model.domains])
-    copies = F.floor(F.col("rate") + chance).cast("int")
-    return rated.select("doc_id", "n_tokens", F.map_from_arrays(names, "posterior").alias("posterior"), "rate", copies.alias("copies")), solution
+    return rated.select("doc_id", "n_tokens", F.map_from_arrays(names, "posterior").alias("posterior"), "rate", _copies("rate").alias("copies")), solution
+
+
+def resample(docs: DataFrame, model: Classifier, solution: Mix) -> DataFrame:
+    """Each row as often as its rate says (rounded as in mix()), with all its columns; no row is exchanged."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((model, solution)))
+    names = docs.columns
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, solution = pickle.loads(shared.value)
+        for batch in batches:
+            for part, buffer, offsets in W.slices(batch, "text", SLICE):
+                _, p = _posterior(model, buffer, offsets)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(solution.rate(p))], names=["doc_id", "row", "rate"])
+
+    kind = rows.schema["row"].dataType.simpleString()
+    rated = rows.mapInArrow(run, f"doc_id long, row {kind}, rate double")
+    copies = _copies("rate")
+    repeated = rated.filter(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    return repeated.select(*[F.col("row")[c].alias(c) for c in names])

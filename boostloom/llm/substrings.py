@@ -219,6 +219,9 @@ def _cut(width: int, with_text: bool):
             if with_text:
                 columns += [pa.array(spans, pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))), pa.array(kept_texts, pa.string())]
                 names += ["removed", "kept_text"]
+            if batch.num_columns > 3:
+                columns.append(batch.column(3))
+                names.append("row")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return cut
@@ -233,13 +236,14 @@ def merged(begin: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(begin[new], end[last], strict=True)]
 
 
-def substring_dedup(docs: DataFrame, width: int = 20, text_col: str = "text", id_col: str = "doc_id", with_text: bool = True) -> DataFrame:
+def substring_dedup(docs: DataFrame, width: int = 20, text_col: str = "text", id_col: str = "doc_id", with_text: bool = True, with_row: bool = False) -> DataFrame:
     """Cut every word that a window of `width` words covers whose sequence also starts earlier.
 
     Earlier is a smaller id, or the same id and an earlier start; windows are judged on the input.
     Words are runs without U+0020 and U+0009..U+000D.  Returns a row for each row of `docs`: doc_id,
     n_words, n_removed, kept_sha256 (of the kept words joined by one space) and, `with_text`, the
-    removed intervals of word positions and kept_text (the text itself where nothing was removed).
+    removed intervals of word positions and kept_text (the text itself where nothing was removed), and,
+    `with_row`, row, a struct of the row's own columns.
 
     Null and empty texts and texts under `width` words keep all they have (a null kept_text stays null).
     A null id counts as smaller than all others.  Rows that share an id are one place in the order: the
@@ -249,10 +253,11 @@ def substring_dedup(docs: DataFrame, width: int = 20, text_col: str = "text", id
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = 2 * buckets
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[row] * with_row)
     tag = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).bitwiseAND(F.lit(0xFFFF))
     rows = rows.withColumn("tag", tag.cast("long"))
-    dealt = rows.mapInArrow(_first_windows(width, ranges), "part int, blob binary, local boolean")
+    dealt = rows.select("id", "text", "tag").mapInArrow(_first_windows(width, ranges), "part int, blob binary, local boolean")
     found = dealt.groupBy("part").applyInArrow(lambda table: _repeats(table, buckets), "bucket int, blob binary")
     marks = found.groupBy("bucket").applyInArrow(_gather, "id long, tag long, runs binary")
     keyed = rows.withColumn("key", F.coalesce("id", F.lit(NO_ID)))
@@ -261,4 +266,6 @@ def substring_dedup(docs: DataFrame, width: int = 20, text_col: str = "text", id
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if with_text:
         schema += ", removed array<struct<begin: long, end: long>>, kept_text string"
-    return joined.select("id", "text", "runs").mapInArrow(_cut(width, with_text), schema)
+    if with_row:
+        schema += f", row {rows.schema['row'].dataType.simpleString()}"
+    return joined.select("id", "text", "runs", *["row"] * with_row).mapInArrow(_cut(width, with_text), schema)

@@ -266,6 +266,30 @@ def fit_terms(rows: pd.DataFrame, k: int, max_terms: int, min_terms: int, lift:
     return model
 
 
+def _scores(model: Model, part: pa.RecordBatch, doc: np.ndarray, h: np.ndarray, count: np.ndarray, evidence: int) -> tuple[np.ndarray, list[list[dict]]]:
+    """Scores and evidence of a slice, whose ids are its first column."""
+    index, n = model.index, part.num_rows
+    if len(index.terms):
+        term = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
+        known = index.terms[term] == h
+    else:
+        term, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    doc, term, count = doc[known], term[known], count[known]
+    weight = normalised(doc, index.idf[term] * (1 + np.log(count)), n)
+    cut = np.searchsorted(doc, np.arange(n + 1))
+    scores, proofs = np.full(n, model.alone), [[] for _ in range(n)]
+    ids = part.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    for i in np.unique(doc):
+        a, b = cut[i], cut[i + 1]
+        own = int(np.searchsorted(index.ids, ids[i]))
+        own = own if own < len(index.ids) and index.ids[own] == ids[i] else -1
+        best, cosine = index.nearest(term[a:b], weight[a:b], model.k, own)
+        if len(best):
+            scores[i] = model.score(model.vote(best, cosine))
+            proofs[i] = [{"doc_id": int(index.ids[x]), "label": int(index.labels[x]), "cosine": float(c)} for x, c in zip(best[:evidence], cosine, strict=False)]
+    return scores, proofs
+
+
 def score_documents(docs: DataFrame, model: Model, evidence: int = 3) -> DataFrame:
     """Score every whole text: doc_id, score, predicted, evidence.
 
@@ -275,35 +299,33 @@ def score_documents(docs: DataFrame, model: Model, evidence: int = 3) -> DataFra
     model without examples, or without label 1 among them, scores 0.  A document that is itself an
     example doesn't vote on itself.  Repeated rows give equal rows; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by max_examples
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = pickle.loads(shared.value)
-        index = model.index
+        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in batches:
             for part, doc, h, count in _term_counts(batch):
-                if len(index.terms):
-                    term = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
-                    known = index.terms[term] == h
-                else:
-                    term, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-                doc, term, count = doc[known], term[known], count[known]
-                weight = normalised(doc, index.idf[term] * (1 + np.log(count)), part.num_rows)
-                cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-                scores, proofs = np.full(part.num_rows, model.alone), [[] for _ in range(part.num_rows)]
-                ids = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-                for i in np.unique(doc):
-                    a, b = cut[i], cut[i + 1]
-                    own = int(np.searchsorted(index.ids, ids[i]))
-                    own = own if own < len(index.ids) and index.ids[own] == ids[i] else -1
-                    best, cosine = index.nearest(term[a:b], weight[a:b], model.k, own)
-                    if len(best):
-                        scores[i] = model.score(model.vote(best, cosine))
-                        proofs[i] = [{"doc_id": int(index.ids[x]), "label": int(index.labels[x]), "cosine": float(c)} for x, c in zip(best[:evidence], cosine, strict=False)]
-                kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(proofs, kind)], names=["doc_id", "score", "predicted", "evidence"]
-                )
+                scores, proofs = _scores(model, part, doc, h, count, evidence)
+                columns = [part.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(proofs, kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, score double, predicted int, evidence array<struct<doc_id: long, label: int, cosine: double>>")
+
+
+def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows whose text scores under `threshold`, with all their columns; scores as in score_documents()."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by max_examples
+    names = docs.columns
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = pickle.loads(shared.value)
+        for batch in batches:
+            for part, doc, h, count in _term_counts(batch):
+                keep = _scores(model, part, doc, h, count, 0)[0] < threshold
+                yield part.select([2]).filter(pa.array(keep))
+
+    kept = rows.mapInArrow(run, rows.select("__row").schema)
+    return kept.select(*[F.col("__row")[c].alias(c) for c in names])
