@@ -1,0 +1,20 @@
+"""Cutting the lineage of tables that loops build up."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """The rows, written to the folder that spark.checkpoint.dir names (a temporary one if unset) and read again.
+
+    The copy is in the shared folder, so that it outlives executors; it is cached for the rounds to come.
+    """
+    spark = rows.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/boostloom-checkpoints"
+    path = f"{base.rstrip('/')}/boostloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path).persist()
