@@ -14,8 +14,11 @@ Rows of one vector and label are one node from the start.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,18 +202,22 @@ def centres(sample: pd.DataFrame, sizes: dict[str, int], most: int) -> dict[str,
     return out
 
 
-def _homes(shared):
-    def run(batches):
-        import pyarrow as pa
+def _by_label(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(label, rows, their unit vectors); vectors of one label have one length."""
+    labels = np.array(batch.column(1).to_pylist(), object)
+    for label in sorted(set(labels)):
+        mine = np.flatnonzero(labels == label)
+        x = V.matrix(batch.column(2).take(pa.array(mine)))
+        yield label, mine, x / np.sqrt((x * x).sum(1))[:, None]
+
 
+def _homes(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for batch in batches:
-            x = V.matrix(batch.column(2))
-            unit = x / np.sqrt((x * x).sum(1))[:, None] if len(x) else x
-            home, d = np.zeros(len(x), np.int32), np.zeros(len(x))
-            for label in set(batch.column(1).to_pylist()):
-                mine = np.flatnonzero(np.array([v == label for v in batch.column(1).to_pylist()]))
-                far = distance(unit[mine], of[label])
+            home, d = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+            for label, mine, unit in _by_label(batch):
+                far = distance(unit, of[label])
                 home[mine], d[mine] = far.argmin(1), far.min(1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(d)], names=["node", "label", "vector", "copies", "home", "far"])
 
@@ -220,24 +227,18 @@ def _homes(shared):
 def _visits(shared, reach: float):
     """Each node at its home (side 0) and at later centres that it may reach into (side 1)."""
 
-    def run(batches):
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, radii = shared.value
         for batch in batches:
-            x = V.matrix(batch.column(2))
-            unit = x / np.sqrt((x * x).sum(1))[:, None] if len(x) else x
-            labels, home = np.array(batch.column(1).to_pylist(), object), batch.column(4).to_numpy()
-            row, centre = [np.arange(len(x))], [home.astype(np.int64)]
-            for label in set(labels):
-                mine = np.flatnonzero(labels == label)
-                d = distance(unit[mine], of[label])
-                ok = (d <= radii[label][None] + reach + SLACK) & (np.arange(len(of[label]))[None] > home[mine][:, None])
-                i, j = np.nonzero(ok)
+            n, home = batch.num_rows, batch.column(4).to_numpy()
+            row, centre = [np.arange(n)], [home.astype(np.int64)]
+            for label, mine, unit in _by_label(batch):
+                near = distance(unit, of[label]) <= radii[label][None] + reach + SLACK
+                i, j = np.nonzero(near & (np.arange(len(of[label]))[None] > home[mine][:, None]))
                 row.append(mine[i])
                 centre.append(j)
             row, centre = np.concatenate(row), np.concatenate(centre)
-            side = np.r_[np.zeros(len(x), np.int32), np.ones(len(row) - len(x), np.int32)]
+            side = np.r_[np.zeros(n, np.int32), np.ones(len(row) - n, np.int32)]
             part = batch.take(pa.array(row)).select([0, 1, 2, 3])
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(centre, pa.int32()), pa.array(side)], names=["node", "label", "vector", "copies", "centre", "side"])
 
