@@ -26,8 +26,8 @@ class Loss(ABC):
     def hessian(self, p: Column, y: Column) -> Column: ...
 
     @abstractmethod
-    def best_coefficient(self, rows: DataFrame, residual: Column, h: Column) -> float:
-        """The step along h that fits the residuals best."""
+    def best_coefficient(self, rows: DataFrame, residual: Column, h: Column, number: Column | None = None) -> float:
+        """The step along h that fits the residuals best; a row stands for `number` examples (1 by default)."""
 
     def mean(self, p: Column, y: Column | None = None) -> Column:
         """Aggregate: the mean loss."""
@@ -46,9 +46,9 @@ class L1(Loss):
     def hessian(self, p: Column, y: Column) -> Column:
         return F.lit(0.0)
 
-    def best_coefficient(self, rows: DataFrame, residual: Column, h: Column) -> float:
+    def best_coefficient(self, rows: DataFrame, residual: Column, h: Column, number: Column | None = None) -> float:
         """The weighted median of residual / h, over rows where h isn't 0."""
-        return stats.weighted_median(rows, F.when(h != 0, residual / F.when(h != 0, h)), F.abs(h))
+        return stats.weighted_median(rows, F.when(h != 0, residual / F.when(h != 0, h)), F.abs(h) * (1 if number is None else number))
 
 
 class L2(Loss):
@@ -63,8 +63,9 @@ class L2(Loss):
     def hessian(self, p: Column, y: Column) -> Column:
         return F.lit(1.0)
 
-    def best_coefficient(self, rows: DataFrame, residual: Column, h: Column) -> float:
-        top, bottom = rows.agg(F.sum(residual * h), F.sum(h * h)).first()
+    def best_coefficient(self, rows: DataFrame, residual: Column, h: Column, number: Column | None = None) -> float:
+        n = F.lit(1) if number is None else number
+        top, bottom = rows.agg(F.sum(n * residual * h), F.sum(n * h * h)).first()
         return float(top / bottom) if bottom else 0.0
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boostloom.sources.sample import TARGET, Sample
+from boostloom.sources.sample import TARGET, Sample, col
 
 
 def margin(h: Column, y: Column | None = None) -> Column:
@@ -53,30 +53,24 @@ def log_sum_exp(rows: DataFrame, exponent: Column) -> float:
     return float(rows.agg((F.log(F.sum(F.exp(exponent - top))) + top)).first()[0])
 
 
-def _long(sample: Sample, d: Column) -> DataFrame:
-    """(feature, value, d, y) for each row and feature."""
-    pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in sample.features])
-    return sample.df.select(F.col(TARGET), d.alias("d"), F.explode(pairs).alias("p")).select("p.feature", "p.value", "d", TARGET)
-
-
 def moments(sample: Sample, d: Column) -> DataFrame:
     """feature, mean, variance under a probability vector; the variance is taken about the mean (two passes)."""
-    means = sample.df.agg(*[F.sum(d * F.col(f)).alias(f) for f in sample.features]).first()
-    squares = sample.df.agg(*[F.sum(d * (F.col(f) - F.lit(means[f])) ** 2).alias(f) for f in sample.features])
-    of = [F.struct(F.lit(f).alias("feature"), F.lit(float(means[f])).alias("mean"), F.col(f).alias("variance")) for f in sample.features]
+    means = sample.df.agg(*[F.sum(d * col(f)).alias(f) for f in sample.features]).first()
+    squares = sample.df.agg(*[F.sum(d * (col(f) - F.lit(means[f])) ** 2).alias(f) for f in sample.features])
+    of = [F.struct(F.lit(f).alias("feature"), F.lit(float(means[f])).alias("mean"), col(f).alias("variance")) for f in sample.features]
     return squares.select(F.inline(F.array(*of)))
 
 
 def label_moments(sample: Sample, d: Column) -> DataFrame:
     """y, weight, feature, mean, variance within each label; the divisor is at least 1e-100."""
     by = sample.df.withColumn("__d", d).groupBy(TARGET)
-    means = by.agg(F.sum("__d").alias("__w"), *[(F.sum(F.col("__d") * F.col(f)) / F.greatest(F.sum("__d"), F.lit(1e-100))).alias(f"__m_{f}") for f in sample.features])
+    means = by.agg(F.sum("__d").alias("__w"), *[(F.sum(F.col("__d") * col(f)) / F.greatest(F.sum("__d"), F.lit(1e-100))).alias(f"__m{i}") for i, f in enumerate(sample.features)])
     joined = sample.df.withColumn("__d", d).join(F.broadcast(means), TARGET)  # a row for each label
     second = joined.groupBy(TARGET).agg(
         F.first("__w").alias("weight"),
-        *[F.struct(F.lit(f).alias("feature"), F.first(f"__m_{f}").alias("mean"), (F.sum(F.col("__d") * (F.col(f) - F.col(f"__m_{f}")) ** 2) / F.greatest(F.first("__w"), F.lit(1e-100))).alias("variance")).alias(f"__s_{f}") for f in sample.features],
+        *[F.struct(F.lit(f).alias("feature"), F.first(f"__m{i}").alias("mean"), (F.sum(F.col("__d") * (col(f) - F.col(f"__m{i}")) ** 2) / F.greatest(F.first("__w"), F.lit(1e-100))).alias("variance")).alias(f"__s{i}") for i, f in enumerate(sample.features)],
     )
-    return second.select(TARGET, "weight", F.inline(F.array(*[f"__s_{f}" for f in sample.features])))
+    return second.select(TARGET, "weight", F.inline(F.array(*[f"__s{i}" for i in range(len(sample.features))])))
 
 
 def _bracket(rows: DataFrame, goal: float, few: int = 10_000, bins: int = 512) -> tuple[float, float, list[tuple[float, float]]]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boostloom.operators.base import Prepared
-from boostloom.sources.sample import TARGET, Sample
+from boostloom.sources.sample import TARGET, Sample, col
 
 #: Half the width that a constant column is given.
 EPSILON = 1e-3
@@ -44,7 +45,8 @@ class Bins:
 
 
 def bin_column(feature: str) -> str:
-    return f"__bin_{feature}"
+    """The name of a feature's bin column: letters, digits and underscores only."""
+    return "__bin_" + re.sub(r"[^0-9A-Za-z]", lambda c: "_" if c[0] == "_" else f"_{ord(c[0]):x}_", feature)
 
 
 def make_bins(sample: Sample, n_bins: dict[str, int]) -> tuple[dict[str, Bins], int]:
@@ -54,22 +56,22 @@ def make_bins(sample: Sample, n_bins: dict[str, int]) -> tuple[dict[str, Bins],
     """
     columns = [F.count(F.lit(1)).alias("m")]
     for i, f in enumerate(sample.features):
-        columns += [F.min(f).alias(f"a{i}"), F.max(f).alias(f"b{i}"), F.approx_count_distinct(f, 0.02).alias(f"d{i}")]
+        columns += [F.min(col(f)).alias(f"a{i}"), F.max(col(f)).alias(f"b{i}"), F.approx_count_distinct(col(f), 0.02).alias(f"d{i}")]
     found = sample.df.agg(*columns).first().asDict()
     if not found["m"]:
         raise ValueError("the sample has no rows")
     # exact numbers only where they may matter
     unsure = [f for i, f in enumerate(sample.features) if f not in n_bins and found[f"d{i}"] < 2 * MOST_BINS]
-    exact = sample.df.agg(*[F.size(F.collect_set(f)).alias(f) for f in unsure]).first().asDict() if unsure else {}
+    exact = sample.df.agg(*[F.size(F.collect_set(col(f))).alias(f) for f in unsure]).first().asDict() if unsure else {}
     return {f: Bins.cut(found[f"a{i}"], found[f"b{i}"], n_bins.get(f) or min(exact.get(f, MOST_BINS), MOST_BINS)) for i, f in enumerate(sample.features)}, found["m"]
 
 
 def prepare(sample: Sample, n_bins: dict[str, int], keep_rows: bool) -> Prepared:
     """Bin columns, y and n; equal rows are put together where that leaves under a quarter of them."""
     bins, m = make_bins(sample, n_bins)
-    columns = [b.index(F.col(f)).alias(bin_column(f)) for f, b in bins.items()]
+    columns = [b.index(col(f)).alias(bin_column(f)) for f, b in bins.items()]
     names = [bin_column(f) for f in bins]
-    rows = sample.df.select(*columns, TARGET, *[c for c in sample.df.columns if keep_rows and c != TARGET])
+    rows = sample.df.select(*columns, TARGET, *[col(c) for c in sample.df.columns if keep_rows and c != TARGET])
     if not keep_rows:
         cells = rows.agg(F.approx_count_distinct(F.xxhash64(*names, TARGET), 0.05)).first()[0]
         if cells < m / 4:

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boostloom.operators.base import Classifier, Prepared, Regressor, WeakLearner, mass
-from boostloom.sources.sample import TARGET, Sample
+from boostloom.sources.sample import TARGET, Sample, col
 
 
 @dataclass(frozen=True)
@@ -99,13 +99,13 @@ class NetworkClassifier(Classifier):
         network = self.network
 
         @F.pandas_udf("double")
-        def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for columns in parts:
-                out = network.forward(np.stack([c.to_numpy(float) for c in columns], 1))
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            for x in parts:
+                out = network.forward(x.to_numpy(float))
                 score = 2 * out[:, 0] - 1 if out.shape[1] == 1 else out[:, 1] - out[:, 0]
                 yield pd.Series(np.clip(score, -1, 1))
 
-        return run(*[F.col(f"`{f}`") for f in self.features])
+        return run(F.struct(*[col(f) for f in self.features]))
 
 
 class NetworkRegressor(Regressor):
@@ -116,11 +116,11 @@ class NetworkRegressor(Regressor):
         network = self.network
 
         @F.pandas_udf("double")
-        def run(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            for columns in parts:
-                yield pd.Series(network.forward(np.stack([c.to_numpy(float) for c in columns], 1))[:, 0])
+        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            for x in parts:
+                yield pd.Series(network.forward(x.to_numpy(float))[:, 0])
 
-        return run(*[F.col(f"`{f}`") for f in self.features])
+        return run(F.struct(*[col(f) for f in self.features]))
 
 
 class NeuralNetwork(WeakLearner):
@@ -176,7 +176,7 @@ class NeuralNetwork(WeakLearner):
         w = mass(weight)
         keys = [F.when(w > 0, -F.log(F.rand(self._seed + e)) / w) for e in range(self._epochs)]
         for start in range(0, self._epochs, 10):
-            draws = [train.df.filter(w > 0).withColumn("__k", k).orderBy("__k").limit(batch).select(F.lit(e).alias("__e"), *features, TARGET) for e, k in list(enumerate(keys))[start : start + 10]]
+            draws = [train.df.filter(w > 0).withColumn("__k", k).orderBy("__k").limit(batch).select(F.lit(e).alias("__e"), *[col(f) for f in features], TARGET) for e, k in list(enumerate(keys))[start : start + 10]]
             rows = draws[0]
             for d in draws[1:]:
                 rows = rows.unionByName(d)

@@ -17,7 +17,7 @@ from boostloom.operators.criteria import ARRAYS, CRITERIA, Criterion, best_cut
 from boostloom.sources.sample import TARGET, Sample
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     """A leaf has a value; a branch sends `feature < threshold` (bin <= `bin`) to the left."""
 
@@ -45,6 +45,11 @@ class Node:
             return Node(d["value"])
         return Node(0.0, d["feature"], d["threshold"], d["bin"], Node.from_dict(d["left"]), Node.from_dict(d["right"]))
 
+    def __eq__(self, other) -> bool:
+        return isinstance(other, Node) and self.to_dict() == other.to_dict()
+
+    __hash__ = None
+
     def leaves(self) -> list[float]:
         return [self.value] if self.feature is None else self.left.leaves() + self.right.leaves()
 
@@ -107,14 +112,6 @@ class TreeRegressor(_Tree, Regressor):
         return self.root.column(binned)
 
 
-@dataclass
-class _Growing:
-    """A node that may still be split, and its place in the tree."""
-
-    node: Node
-    depth: int
-
-
 def histogram(train: DataFrame, features: list[str], node: Column, sums: list[Column]) -> DataFrame:
     """(node, feature, bin) and sums, of rows that are in a node: one exchange, after partial sums on the map side."""
     pairs = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(bin_column(f)).alias("bin")) for i, f in enumerate(features)])

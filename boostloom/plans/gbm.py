@@ -48,7 +48,7 @@ class GBM(Booster):
         if t > self._max_iter:
             return True
         h = learner.produce(self.train, self.score.column)
-        coefficient = self._loss.best_coefficient(self._repeated(), F.col(TARGET) - self.score.column, h.predict(self.train.binned))
+        coefficient = self._loss.best_coefficient(self.train.df, F.col(TARGET) - self.score.column, h.predict(self.train.binned), F.col("n"))
         if abs(coefficient) <= self._tolerance:
             return True
         self.weights.append(coefficient)
@@ -57,12 +57,6 @@ class GBM(Booster):
         self.rounds = t
         return False
 
-    def _repeated(self):
-        """Rows, each as often as it stands for examples (bins and targets that are equal throughout)."""
-        if "n" not in self.train.df.columns:
-            return self.train.df
-        return self.train.df.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))) if self.train.df.schema["n"].dataType.typeName() == "long" else self.train.df
-
     def current_hypothesis(self) -> WeightedMajority:
         """The coefficients as they were fitted, neither filtered nor scaled."""
         return WeightedMajority(self.weights, self.hypotheses)

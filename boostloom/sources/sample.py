@@ -9,6 +9,11 @@ from pyspark.sql import types as T
 TARGET, ROW = "y", "row_id"
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, whatever characters it has."""
+    return F.col(f"`{name}`")
+
+
 def with_row_id(rows: DataFrame, name: str = ROW) -> DataFrame:
     """Number rows from 0 in the order in which they are read; one row for each partition goes to the driver."""
     marked = rows.withColumn("__m", F.monotonically_increasing_id())
@@ -54,14 +59,14 @@ class Sample:
     @staticmethod
     def from_df(df: DataFrame, features: list[str], target: str | Column | None = None, row_id: str | None = None, check: bool = True) -> Sample:
         """Take features and a target from any DataFrame; `check` refuses nulls with one aggregate."""
-        columns = [F.col(f).cast("double").alias(f) for f in features]
+        columns = [col(f).cast("double").alias(f) for f in features]
         if target is not None:
-            columns.append((F.col(target) if isinstance(target, str) else target).cast("double").alias(TARGET))
+            columns.append((col(target) if isinstance(target, str) else target).cast("double").alias(TARGET))
         if row_id is not None:
-            columns.append(F.col(row_id).cast("long").alias(ROW))
+            columns.append(col(row_id).cast("long").alias(ROW))
         out = df.select(*columns)
         if check:
-            nulls = out.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in out.columns]).first().asDict()
+            nulls = out.agg(*[F.count_if(col(c).isNull()).alias(c) for c in out.columns]).first().asDict()
             if bad := sorted(c for c, n in nulls.items() if n):
                 raise ValueError(f"null or non-numeric values in {', '.join(bad)}")
         return Sample(out, features, target is not None)
@@ -103,11 +108,11 @@ class Sample:
     def __getitem__(self, name: str) -> Column:
         if name not in self.features:
             raise KeyError(name)
-        return self.df[name]
+        return col(name)
 
     def at(self, i: int) -> tuple[list[float], float]:
         """(x, y) of the row with this id."""
-        row = self.df.filter(F.col(ROW) == i).select(*self.features, TARGET).first()
+        row = self.df.filter(F.col(ROW) == i).select(*[col(f) for f in self.features], TARGET).first()
         if row is None:
             raise IndexError(i)
         return [row[f] for f in self.features], row[TARGET]
@@ -133,7 +138,7 @@ class Sample:
 
     def feature_counts(self) -> DataFrame:
         """A row for each feature: n_rows, n_distinct, n_zero, min_value, max_value, in one pass."""
-        of = lambda f: F.struct(F.lit(f).alias("feature"), F.count(f).alias("n_rows"), F.countDistinct(f).alias("n_distinct"), F.count_if(F.col(f) == 0).alias("n_zero"), F.min(f).alias("min_value"), F.max(f).alias("max_value"))
+        of = lambda f: F.struct(F.lit(f).alias("feature"), F.count(col(f)).alias("n_rows"), F.countDistinct(col(f)).alias("n_distinct"), F.count_if(col(f) == 0).alias("n_zero"), F.min(col(f)).alias("min_value"), F.max(col(f)).alias("max_value"))
         return self.df.agg(F.array(*[of(f) for f in self.features]).alias("a")).select(F.inline("a"))
 
     def split(self, start: int, end: int, order: Column | None = None) -> tuple[Sample, Sample]:
