@@ -408,7 +408,6 @@ def _split_sql(criterion: str) -> str:
 
 def _additive_sql(kind: str, rounds: int = 3) -> str:
     """Stump boosting, a round at a time; f is the running sum."""
-    m = "(SELECT sum(n) FROM c0)"
     parts = [_bins_sql(LINEITEMS, FEATURES), "c0 AS MATERIALIZED (SELECT b0, b1, b2, y, count(*) AS n, 0.0::DOUBLE AS f FROM b GROUP BY ALL)"]
     for t in range(1, rounds + 1):
         weight = {
@@ -428,8 +427,7 @@ def _additive_sql(kind: str, rounds: int = 3) -> str:
         parts.append(f"w{t} AS MATERIALIZED (SELECT e.*, {w} AS w FROM e{t} e)")
         side = "CASE feature WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END <= bin"
         parts.append(f"c{t} AS MATERIALIZED (SELECT b0, b1, b2, y, n, f + w * CASE WHEN {side} THEN lc ELSE rc END AS f FROM c{t - 1}, w{t})")
-    shown = "1.0 / 3" if kind == "smoothboost" else "w"
-    del m
+    shown = f"1.0 / {rounds}" if kind == "smoothboost" else "w"
     return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {t}::INT AS round, feature::INT AS feature, round({_threshold_sql(3)}, 6) AS threshold, round({shown}, 6) AS weight FROM w{t}, k" for t in range(1, rounds + 1))
 
 
