@@ -7,10 +7,11 @@ which for counts of one is the Jaccard similarity of the shingle sets.
 1. Every text gets a signature.  Rows of one text are one node from then on, so that copies are never
    paired, however many there are.
 2. Nodes that agree in all registers of a band share a bucket.  Each node is paired with the least node
-   of each of its buckets, and the pair of best estimate is verified on whole shingle counts.
-3. Nodes that verified pairs join are contracted.  In buckets with several components all pairs across
-   components are estimated from signatures, in blocks of bounded size, and every pair that may reach
-   the threshold is verified, in blocks again.  Pairs within a component can't change any class.
+   of each of its buckets; pairs that may reach the threshold by their signatures are verified on whole
+   shingle counts, the best of each node first.
+3. Nodes that verified pairs join are contracted.  In buckets that still hold several components, pairs
+   across components are estimated in blocks of bounded size and verified there; blocks return links,
+   not candidates.  Pairs within a component can't change any class.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boostloom.llm import words as W
-from boostloom.llm.shared import components, written
+from boostloom.llm.shared import components, small_batches, written
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Nodes of a side of a block of pairs.
 BLOCK = 384
+#: Rows of a batch: what it holds is in memory several times over.
+BATCH = 256
 #: Standard errors under the threshold down to which an estimate leads to verification.
 SLACK = 4.5
 
@@ -77,16 +80,21 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n_docs:
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """J_P of two (sorted distinct hashes, counts)."""
+    _, in_a, in_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
+    if not len(in_a):
+        return 0.0
+    if a[1].max() == b[1].max() == 1:
+        return len(in_a) / (len(a[0]) + len(b[0]) - len(in_a))
     every = np.union1d(a[0], b[0])
     wa, wb = np.zeros(len(every)), np.zeros(len(every))
     wa[np.searchsorted(every, a[0])], wb[np.searchsorted(every, b[0])] = a[1], b[1]
     common = (wa > 0) & (wb > 0)
-    ratios, n = np.unique(wa[common] / wb[common], return_counts=True)
+    ratios = np.unique(wa[common] / wb[common])
     inverse = np.zeros(len(ratios))
     by_ratio = np.searchsorted(ratios, wa[common] / wb[common])
     for i, r in enumerate(ratios):  # sum of max(wa'/wa, wb'/wb) = sum of max(wa', wb' * wa/wb) / wa
         inverse[i] = np.maximum(wa, wb * r).sum()
-    return float((wa[common] / inverse[by_ratio]).sum()) if len(n) else 0.0
+    return float((wa[common] / inverse[by_ratio]).sum())
 
 
 def _features(width: int, bands: int, rows: int):
@@ -111,6 +119,18 @@ def _features(width: int, bands: int, rows: int):
     return run
 
 
+def _agreeing(cut: float):
+    """Pairs whose signatures agree in a share `cut` of registers, with the share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            share = [float((np.frombuffer(p.as_buffer(), "<u2") == np.frombuffer(q.as_buffer(), "<u2")).mean()) for p, q in zip(batch.column(3), batch.column(4), strict=True)]
+            part = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(share, pa.float64())], names=["node", "least", "size", "estimate"])
+            yield part.filter(pa.array([x >= cut for x in share], pa.bool_()))
+
+    return run
+
+
 def _shingle_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,29 +159,58 @@ def _verify_pairs(threshold: float):
     return run
 
 
-def _estimate_blocks(cut: float):
-    """Pairs of a block (of two sides, or one with itself) that lie in different components and agree in a share `cut` of registers."""
+_BLOCK_ROWS = "bucket long, i int, j int, side int, node long, component long, sig binary, bands array<long>"
+
+
+def _sides(table: pd.DataFrame) -> list[dict[str, np.ndarray]]:
+    """The block's two sides; a side alone meets itself."""
+    out = []
+    for side in (0, 1):
+        x = table[table["side"] == side]
+        if len(x):
+            out.append({"at": x.index.to_numpy(), "node": x["node"].to_numpy(), "component": x["component"].to_numpy(), "sig": np.stack([np.frombuffer(v, "<u2") for v in x["sig"]]), "bands": np.stack(x["bands"].to_numpy())})
+    return out if len(out) == 2 else out * 2
+
+
+def _pairs(table: pd.DataFrame, cut: float) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers of pairs in different components that agree in a share `cut` of registers, by the row on the left.
+
+    A pair that shares several buckets is taken in the first of its bands only.
+    """
+    if not len(table):
+        return
+    bucket, (left, right) = table["bucket"].iloc[0], _sides(table)
+    for k in range(len(left["node"])):
+        m = np.flatnonzero((right["component"] != left["component"][k]) & ((right["node"] > left["node"][k]) | (left is not right)))
+        m = m[(right["sig"][m] == left["sig"][k]).mean(1) >= cut] if len(m) else m
+        if len(m):
+            same = right["bands"][m] == left["bands"][k]
+            m = m[left["bands"][k][same.argmax(1)] == bucket]
+        if len(m):
+            yield left["at"][k], right["at"][m]
+
+
+def _involved(cut: float):
+    """The rows of a block that are in such a pair."""
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
-        left, right = table[table["side"] == 0], table[table["side"] == 1]
-        if not len(right):
-            right = left
-        sides = [(x["node"].to_numpy(), x["component"].to_numpy(), np.stack([np.frombuffer(s, "<u2") for s in x["sig"]]) if len(x) else None) for x in (left, right)]
-        out = []
-        if len(left) and len(right):
-            (n1, c1, s1), (n2, c2, s2) = sides
-            for i in range(len(n1)):
-                found = np.flatnonzero((c2 != c1[i]) & ((s2 == s1[i]).mean(1) >= cut))
-                out.append(pd.DataFrame({"a": np.minimum(n1[i], n2[found]), "b": np.maximum(n1[i], n2[found]), "ca": np.where(n1[i] < n2[found], c1[i], c2[found]), "cb": np.where(n1[i] < n2[found], c2[found], c1[i])}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "ca": [], "cb": []}, dtype="int64")
+        table = table.reset_index(drop=True)
+        hit = np.zeros(len(table), bool)
+        for k, m in _pairs(table, cut):
+            hit[k] = True
+            hit[m] = True
+        return table[hit]
 
     return run
 
 
-def _verify_blocks(threshold: float):
-    def run(bags: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        """Each bag comes once; pairs that earlier ones have joined already can be left out."""
-        bag = {n: (s, c) for n, s, c in zip(bags["node"], bags["shingles"], bags["counts"], strict=True)}
+def _verify_block(cut: float, threshold: float):
+    """Links of a block between components; pairs whose components earlier links have joined can be left out."""
+
+    def run(table: pd.DataFrame) -> pd.DataFrame:
+        table = table.reset_index(drop=True)
+        bags = [_bag(s, c) for s, c in zip(table["shingles"], table["counts"], strict=True)]
+        component, node = table["component"].to_numpy(), table["node"].to_numpy()
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -171,10 +220,12 @@ def _verify_blocks(threshold: float):
             return x
 
         out = []
-        for a, b, ca, cb in zip(pairs["a"], pairs["b"], pairs["ca"], pairs["cb"], strict=True):
-            if (ra := find(ca)) != (rb := find(cb)) and probability_jaccard(_bag(*bag[a]), _bag(*bag[b])) >= threshold:
-                root[ra] = rb
-                out.append((a, b))
+        for k, several in _pairs(table, cut):
+            for m in several:
+                a, b = find(component[k]), find(component[m])
+                if a != b and probability_jaccard(bags[k], bags[m]) >= threshold:
+                    root[a] = b
+                    out.append((node[k], node[m]))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return run
@@ -186,27 +237,9 @@ def _labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataF
     return rows.join(of, F.col(node) == F.col("__node"), "left").withColumn(name, F.coalesce("__component", node)).drop("__node", "__component")
 
 
-def near_dups(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 30, rows: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Classes of near duplicates: doc_id, component_id, kept, a row for each row of `docs`.
-
-    Two texts are linked if the probability Jaccard of their runs of `width` words (U+0020 and
-    U+0009..U+000D part words; a shorter text is one run) is at least `threshold`; classes are the
-    connected components, component_id is the smallest doc_id in the class and `kept` marks its rows.
-    All links between different texts that banding proposes are found or implied by others; a pair at a
-    similarity s is proposed with probability 1 - (1 - s**rows)**bands (for 0.8 and the defaults, all
-    but 7 in a million), and lost by its estimate with less than one in 100,000.
-
-    Null and empty texts and texts without words are in no class but their own row's.  Rows of the same
-    text are one class whatever their number; rows that repeat an id are judged by their texts, and both
-    are kept if one is.  A null id counts as smaller than all others; its class has a null component_id.
-    Other columns are ignored; an empty table gives no rows.  Texts are told apart by 64 bits of their
-    MD5 digest.
-    """
+def _classes(source: DataFrame, threshold: float, width: int, bands: int, rows: int) -> DataFrame:
+    """(n_node, component_id, classed) for each node, from (id, node, text)."""
     estimate_cut = threshold - SLACK * (threshold * (1 - threshold) / (bands * rows)) ** 0.5
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    digest = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
-    source = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("node"), text.alias("text"))
-
     found = source.mapInArrow(_features(width, bands, rows), "id long, node long, bands array<long>, sig binary")
     one = Window.partitionBy("node").orderBy(F.col("id").asc_nulls_first())
     nodes = written(found.withColumn("rank", F.row_number().over(one)).filter("rank = 1").drop("rank"))
@@ -218,7 +251,8 @@ def near_dups(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: in
     sig_a = nodes.select(F.col("node").alias("n_a"), F.col("sig").alias("sig_a"))
     sig_b = nodes.select(F.col("node").alias("n_b"), F.col("sig").alias("sig_b"))
     estimated = to_least.join(sig_a, F.col("node") == F.col("n_a")).join(sig_b, F.col("least") == F.col("n_b"))
-    estimated = written(estimated.select("node", "least", "size", _agreement("sig_a", "sig_b").alias("estimate")).filter(F.col("estimate") >= estimate_cut))
+    estimated = estimated.select("node", "least", "size", "sig_a", "sig_b")
+    estimated = written(estimated.mapInArrow(_agreeing(estimate_cut), "node long, least long, size long, estimate double"))
 
     best = estimated.groupBy("node").agg(F.max_by("least", F.struct("estimate", "least")).alias("least"))
     # only texts that may be in a pair are needed again
@@ -229,6 +263,9 @@ def near_dups(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: in
 
     links = _verified(best.select(F.col("node").alias("a"), F.col("least").alias("b")), bags, threshold)
     labels = components(links)
+    rest = _labelled(_labelled(estimated.select("node", "least"), labels, "node", "ca"), labels, "least", "cb").filter("ca <> cb")
+    links = written(links.union(_verified(rest.select(F.col("node").alias("a"), F.col("least").alias("b")), bags, threshold)))
+    labels = components(links)
 
     several = _labelled(bucketed.filter("size > 2").select("bucket", "node"), labels, "node", "component")
     mixed = several.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 <> c2")
@@ -236,32 +273,45 @@ def near_dups(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: in
     rows_of = several.join(mixed.select("bucket", "n"), "bucket").withColumn("parts", parts)
     rows_of = rows_of.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     rows_of = rows_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = rows_of.select(
-        "bucket", "node", "component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side")
-    ).join(nodes.select("node", "sig"), "node")
-    across = blocks.groupBy("bucket", "i", "j").applyInPandas(_estimate_blocks(estimate_cut), "a long, b long, ca long, cb long")
-    pairs = estimated.filter("size = 2").select(F.least("node", "least").alias("a"), F.greatest("node", "least").alias("b"))
-    pairs = _labelled(_labelled(pairs, labels, "a", "ca"), labels, "b", "cb").filter("ca <> cb")
-    pairs = written(across.union(pairs.select("a", "b", "ca", "cb")).distinct())
-    links = written(links.union(_verified_in_blocks(pairs, bags, threshold)))
+    placed = rows_of.select(
+        "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "component"
+    )
+    blocks = placed.join(nodes.select("node", "sig", "bands"), "node").select("bucket", "i", "j", "side", "node", "component", "sig", "bands")
+    involved = written(blocks.groupBy("bucket", "i", "j").applyInPandas(_involved(estimate_cut), _BLOCK_ROWS))
+    full = involved.join(bags.dropDuplicates(["node"]), "node")
+    links = written(links.union(full.groupBy("bucket", "i", "j").applyInPandas(_verify_block(estimate_cut, threshold), "a long, b long")))
     labels = components(links)
 
     classes = _labelled(nodes.select("node", "id"), labels, "node", "component")
     smallest = classes.groupBy("component").agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("first"))
-    of_node = classes.join(smallest, "component").select(F.col("node").alias("n_node"), F.col("first.id").alias("component_id"), F.lit(True).alias("classed"))
-    out = source.select("id", "node").join(of_node, F.col("node") == F.col("n_node"), "left")
-    component_id = F.when(F.col("classed"), F.col("component_id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias("doc_id"), component_id.alias("component_id"), component_id.eqNullSafe(F.col("id")).alias("kept"))
+    return classes.join(smallest, "component").select(F.col("node").alias("n_node"), F.col("first.id").alias("component_id"), F.lit(True).alias("classed"))
 
 
-def _agreement(a: str, b: str):
-    """The share of registers that two signatures agree in."""
+def near_dups(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = 30, rows: int = 5, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Classes of near duplicates: doc_id, component_id, kept, a row for each row of `docs`.
+
+    Two texts are linked if the probability Jaccard of their runs of `width` words (U+0020 and
+    U+0009..U+000D part words; a shorter text is one run) is at least `threshold`; classes are the
+    connected components, component_id is the smallest doc_id in the class and `kept` marks its rows.
+    All links between different texts that banding proposes are found or implied by others; a pair at a
+    similarity s is proposed with probability 1 - (1 - s**rows)**bands (for 0.8 and the defaults, all
+    but 7 in a million), and lost by its estimate with less than one in 100,000.
 
-    @F.pandas_udf("double")
-    def share(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([(np.frombuffer(p, "<u2") == np.frombuffer(q, "<u2")).mean() for p, q in zip(x, y, strict=True)], dtype="float64")
+    Null and empty texts and texts without words are in no class but their own row's.  Rows of the same
+    text are one class whatever their number; rows that repeat an id are judged by their texts, and both
+    are kept if one is.  A null id counts as smaller than all others; its class has a null component_id.
+    Other columns are ignored; an empty table gives no rows.  Texts are told apart by 60 bits of their
+    MD5 digest.
+    """
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    digest = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("node"), text.alias("text"))
 
-    return share(F.col(a), F.col(b))
+    with small_batches(docs.sparkSession, BATCH):
+        of_node = _classes(source, threshold, width, bands, rows)
+    out = source.select("id", "node").join(of_node, F.col("node") == F.col("n_node"), "left")
+    component_id = F.when(F.col("classed"), F.col("component_id")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias("doc_id"), component_id.alias("component_id"), component_id.eqNullSafe(F.col("id")).alias("kept"))
 
 
 def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -269,22 +319,3 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     right = bags.select(F.col("node").alias("n_b"), F.col("shingles").alias("s_b"), F.col("counts").alias("c_b"))
     full = pairs.join(left, F.col("a") == F.col("n_a")).join(right, F.col("b") == F.col("n_b"))
     return written(full.select("a", "b", "s_a", "c_a", "s_b", "c_b").mapInArrow(_verify_pairs(threshold), "a long, b long"))
-
-
-def _verified_in_blocks(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Pairs by blocks of nodes of the component that has more of them, so that bags travel once a block."""
-    sides = pairs.select(F.col("ca").alias("c"), F.col("a").alias("n")).union(pairs.select("cb", "b")).distinct()
-    size = written(sides.groupBy("c").agg(F.count(F.lit(1)).alias("n")))
-    for c, name in (("ca", "na"), ("cb", "nb")):
-        pairs = pairs.join(size.select(F.col("c").alias("__c"), F.col("n").alias(name)), F.col(c) == F.col("__c")).drop("__c")
-    hub_a = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ca") < F.col("cb")))
-    near, far = F.when(hub_a, F.col("a")).otherwise(F.col("b")), F.when(hub_a, F.col("b")).otherwise(F.col("a"))
-    pairs = pairs.withColumn("hub", F.when(hub_a, F.col("ca")).otherwise(F.col("cb"))).withColumn("near", near).withColumn("far", far)
-    many = pairs.groupBy("hub").agg(F.approx_count_distinct("near").alias("n_near"), F.approx_count_distinct("far").alias("n_far"))
-    keyed = pairs.join(many.withColumnRenamed("hub", "h"), F.col("hub") == F.col("h"))
-    slot = lambda c, n: F.pmod(F.xxhash64(c), F.ceil(F.col(n) / BLOCK).cast("int")).cast("int")
-    keyed = written(keyed.select("a", "b", "ca", "cb", "hub", slot("near", "n_near").alias("i"), slot("far", "n_far").alias("j")))
-    key = ["hub", "i", "j"]
-    members = keyed.select(*key, F.col("a").alias("node")).union(keyed.select(*key, "b")).distinct()
-    full = members.join(bags, "node").select(*[F.col(k).alias(f"of_{k}") for k in key], "node", "shingles", "counts")
-    return full.groupBy(*[f"of_{k}" for k in key]).cogroup(keyed.groupBy(*key)).applyInPandas(_verify_blocks(threshold), "a long, b long")
