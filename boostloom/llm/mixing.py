@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from boostloom.llm import words as W
 from boostloom.llm.shared import written
-from boostloom.llm.toxicity import _collect_terms
+from boostloom.llm.toxicity import collect_terms
 
 SLICE = 4 << 20
 
@@ -68,8 +68,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ..
     known = known.orderBy(F.xxhash64("example_id"), "example_id").limit(max_examples)
     joined = docs.join(F.broadcast(known), F.col("doc_id") == F.col("example_id"))  # at most max_examples rows
     rows = joined.select("doc_id", F.col("text").cast("string").alias("text"), "label")
-    rows = rows.mapInArrow(_collect_terms, "doc_id long, label string, terms binary, counts binary").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
+    rows = collect_terms(rows, "string")
     domains = sorted(set(rows["label"]))
     if not domains:
         return Classifier(["all"], np.zeros(0, np.uint64), np.zeros((0, 1)), np.zeros(1), 0.0)

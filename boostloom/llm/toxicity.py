@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,9 +48,10 @@ class Index:
     weight: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
+    texts: dict[int, np.ndarray]  # examples by the hash of their text
 
     @staticmethod
-    def build(terms: np.ndarray, idf: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray, ids: np.ndarray, labels: np.ndarray) -> Index:
+    def build(terms: np.ndarray, idf: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray, ids: np.ndarray, labels: np.ndarray, texts: np.ndarray | None = None) -> Index:
         """From (example, term, count) triples; ids ascend, so that ties go to the smaller id."""
         weight = normalised(example, idf[term] * (1 + np.log(count)), len(ids))
         by = np.lexsort((example, term))
@@ -59,9 +61,12 @@ class Index:
         new = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
         top = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0)
         pointer = np.searchsorted(cell[new] // n_blocks, np.arange(len(terms) + 1))
-        return Index(terms, idf, pointer, cell[new] % n_blocks, top, np.r_[new, len(cell)], example, weight, ids, labels)
+        same: dict[int, np.ndarray] = {}
+        if texts is not None:
+            same = {int(k): np.flatnonzero(texts == k) for k in np.unique(texts)}
+        return Index(terms, idf, pointer, cell[new] % n_blocks, top, np.r_[new, len(cell)], example, weight, ids, labels, same)
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine over 0 (fewer if there are no more), nearest first, and their cosines."""
         spans = [np.arange(self.pointer[t], self.pointer[t + 1]) for t in term]
         entry = np.concatenate(spans) if spans else np.zeros(0, np.int64)
@@ -83,7 +88,8 @@ class Index:
             flat = np.repeat(self.begin[entry[use]] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
             sums = np.bincount(self.example[flat], self.weight[flat] * np.repeat(factor[use], size))
             found = np.flatnonzero(sums > 0)
-            found = found[found != without]
+            if without is not None:
+                found = found[~np.isin(found, without)]
             best, score = np.r_[best, found], np.r_[score, sums[found]]
             by = np.lexsort((best, -np.round(score, 12)))[:k]
             best, score = best[by], score[by]
@@ -145,13 +151,30 @@ def _term_counts(rows: pa.RecordBatch, text: int = 1) -> Iterator[tuple[pa.Recor
         yield part, doc[new], h[new], np.diff(np.r_[new, len(h)])
 
 
-def _collect_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part, doc, h, count in _term_counts(batch):
-            cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            blobs = [W.pack_sorted(h[a:b]) + b"" for a, b in zip(cut, cut[1:], strict=False)]
-            counts = [W.pack(count[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "label", "terms", "counts"])
+def _text_key(text: pa.Scalar) -> int:
+    return xxhash.xxh3_64_intdigest(text.as_buffer()) >> 1
+
+
+def _packed_terms(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """doc_id, label, and the terms and counts of a text, from rows of (doc_id, text, label)."""
+    for part, doc, h, count in _term_counts(batch):
+        cut = np.searchsorted(doc, np.arange(part.num_rows + 1))
+        blobs = [W.pack_sorted(h[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        counts = [W.pack(count[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+        texts = [_text_key(x) if x.is_valid else 0 for x in part.column(1)]
+        columns = [part.column(0), part.column(2), pa.array(blobs, pa.binary()), pa.array(counts, pa.binary()), pa.array(texts, pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "terms", "counts", "text"])
+
+
+def collect_terms(rows: DataFrame, label: str) -> pd.DataFrame:
+    """The terms of a bounded number of labelled rows (doc_id, text, label), by doc_id; a row for each id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _packed_terms(batch)
+
+    out = rows.select("doc_id", "text", "label").mapInArrow(run, f"doc_id long, label {label}, terms binary, counts binary, text long").toPandas()
+    return out.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
 
 
 def one_of_each_copy(hashes: list[np.ndarray], bands: int = 6, rows: int = 4) -> np.ndarray:
@@ -214,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_exampl
     Labels count where they are 0 or 1 (the largest, if a document has several) and, with
     `held_out_mod`, where crc32(doc_id as text) modulo it isn't 0.  Terms are runs of letters, digits
     and non-ASCII characters in lower case; the cosine is over the terms that `select_terms` takes from
-    the examples.  Votes are calibrated by isotonic regression over each example's vote among the others.
+    the examples.  Votes are calibrated by isotonic regression over each example's vote among those of other texts.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
     if held_out_mod:
@@ -223,9 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_exampl
     known = known.orderBy(F.xxhash64("example_id"), "example_id").limit(max_examples)
     joined = docs.join(F.broadcast(known), F.col("doc_id") == F.col("example_id"))  # at most max_examples rows
     joined = joined.select("doc_id", F.col("text").cast("string").alias("text"), "label")
-    rows = joined.mapInArrow(_collect_terms, "doc_id long, label double, terms binary, counts binary").toPandas()
-    rows = rows.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
-    return fit_terms(rows, k, max_terms, min_terms, lift)
+    return fit_terms(collect_terms(joined, "double"), k, max_terms, min_terms, lift)
 
 
 def fit_terms(rows: pd.DataFrame, k: int, max_terms: int, min_terms: int, lift: float) -> Model:
@@ -250,14 +271,15 @@ def fit_terms(rows: pd.DataFrame, k: int, max_terms: int, min_terms: int, lift:
     keep = place[term] >= 0
     example, term, counts = example[keep], place[term[keep]], counts[keep]
     idf = np.log((1 + n) / (1 + df[chosen])) + 1
-    index = Index.build(vocabulary[chosen], idf, example, term, counts, ids, labels)
+    texts = rows["text"].to_numpy(np.int64)
+    index = Index.build(vocabulary[chosen], idf, example, term, counts, ids, labels, texts)
     model = Model(index, k, np.zeros(0), np.zeros(0), base)
     weight = normalised(example, idf[term] * (1 + np.log(counts)), n)
     cut = np.searchsorted(example, np.arange(n + 1))
     votes = np.full(n, np.nan)
     for i in range(n):
         a, b = cut[i], cut[i + 1]
-        best, cosine = index.nearest(term[a:b], weight[a:b], k, without=i)
+        best, cosine = index.nearest(term[a:b], weight[a:b], k, index.texts[int(texts[i])])
         if len(best):
             votes[i] = model.vote(best, cosine)
     voted = ~np.isnan(votes)
@@ -267,7 +289,7 @@ def fit_terms(rows: pd.DataFrame, k: int, max_terms: int, min_terms: int, lift:
 
 
 def _scores(model: Model, part: pa.RecordBatch, doc: np.ndarray, h: np.ndarray, count: np.ndarray, evidence: int) -> tuple[np.ndarray, list[list[dict]]]:
-    """Scores and evidence of a slice, whose ids are its first column."""
+    """Scores and evidence of a slice, whose texts are its second column; examples of the same text don't vote."""
     index, n = model.index, part.num_rows
     if len(index.terms):
         term = np.minimum(np.searchsorted(index.terms, h), len(index.terms) - 1)
@@ -278,12 +300,9 @@ def _scores(model: Model, part: pa.RecordBatch, doc: np.ndarray, h: np.ndarray,
     weight = normalised(doc, index.idf[term] * (1 + np.log(count)), n)
     cut = np.searchsorted(doc, np.arange(n + 1))
     scores, proofs = np.full(n, model.alone), [[] for _ in range(n)]
-    ids = part.column(0).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
     for i in np.unique(doc):
         a, b = cut[i], cut[i + 1]
-        own = int(np.searchsorted(index.ids, ids[i]))
-        own = own if own < len(index.ids) and index.ids[own] == ids[i] else -1
-        best, cosine = index.nearest(term[a:b], weight[a:b], model.k, own)
+        best, cosine = index.nearest(term[a:b], weight[a:b], model.k, index.texts.get(_text_key(part.column(1)[int(i)])))
         if len(best):
             scores[i] = model.score(model.vote(best, cosine))
             proofs[i] = [{"doc_id": int(index.ids[x]), "label": int(index.labels[x]), "cosine": float(c)} for x, c in zip(best[:evidence], cosine, strict=False)]
@@ -296,8 +315,9 @@ def score_documents(docs: DataFrame, model: Model, evidence: int = 3) -> DataFra
     `score` (0 to 1) is the calibrated vote of the k nearest examples, `predicted` is 1 from 0.5 on,
     `evidence` lists the nearest ones as (doc_id, label, cosine).  A text with none of the index's terms
     (also a null or empty one) has no neighbours and gets the rate of the label among such examples; a
-    model without examples, or without label 1 among them, scores 0.  A document that is itself an
-    example doesn't vote on itself.  Repeated rows give equal rows; other columns are ignored.
+    model without examples, or without label 1 among them, scores 0.  Examples of the very same
+    text have no vote, so that training documents are judged as others are; ids, labels, languages and
+    sources aren't looked at.  Repeated rows give equal rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by max_examples
 
