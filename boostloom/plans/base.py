@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from boostloom.operators.base import Prepared, WeakLearner
 from boostloom.operators.combined import WeightedMajority, _sum
-from boostloom.plans.lineage import cut
+from boostloom.lineage import cut
 from boostloom.sources.sample import Sample
 
 

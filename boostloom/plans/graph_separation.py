@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boostloom.operators.base import WeakLearner
 from boostloom.operators.combined import NaiveAggregation
 from boostloom.plans.base import Booster
-from boostloom.plans.lineage import cut
+from boostloom.lineage import cut
 from boostloom.sources.sample import TARGET, Sample
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boostloom.operators.base import Classifier, Prepared
-from boostloom.plans.lineage import cut
+from boostloom.lineage import cut
 from boostloom.sources.sample import TARGET
 
 

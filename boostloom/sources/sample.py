@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from boostloom.lineage import cut
+
 TARGET, ROW = "y", "row_id"
 
 
@@ -29,21 +31,23 @@ def with_row_id(rows: DataFrame, name: str = ROW) -> DataFrame:
 
 
 def places(rows: DataFrame, order: Column, name: str) -> DataFrame:
-    """Number rows from 0 by an order (ties by row_id): buckets of the order are counted, and rows numbered within them."""
-    keyed = rows.withColumn("__k", order.cast("double"))
-    bounds = [x for x in keyed.approxQuantile("__k", [i / 64 for i in range(1, 64)], 0.001)] if rows.take(1) else []
-    bounds = sorted(set(bounds))
-    bucket = F.lit(0)
-    for b in bounds:
-        bucket = bucket + F.when(F.col("__k") > b, 1).otherwise(0)
-    keyed = keyed.withColumn("__b", bucket)
-    sizes = dict((r["__b"], r["count"]) for r in keyed.groupBy("__b").count().collect())
+    """Number rows from 0 by an order (ties by row_id).
+
+    Rows are dealt out by ranges of the order and written; a range's rows are numbered within it, after the
+    counts of the ranges before.  The driver sees one count for each range.
+    """
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("__k", order).repartitionByRange(n, "__k", ROW).withColumn("__b", F.spark_partition_id())
+    dealt = cut(dealt)
     starts, total = [], 0
-    for b in range(len(bounds) + 1):
-        starts.append(F.lit(total))
-        total += sizes.get(b, 0)
-    within = F.row_number().over(Window.partitionBy("__b").orderBy("__k", ROW)) - 1
-    return keyed.withColumn(name, F.array(*starts)[F.col("__b")] + within).drop("__k", "__b")
+    for b, size in sorted((r["__b"], r["count"]) for r in dealt.groupBy("__b").count().collect()):
+        starts.append((b, total))
+        total += size
+    table = spark.createDataFrame(starts or [(0, 0)], "__s int, __start long")
+    within = F.row_number().over(Window.partitionBy("__b").orderBy(F.col("__k").asc_nulls_first(), ROW)) - 1
+    numbered = dealt.withColumn("__w", within).join(F.broadcast(table), F.col("__b") == F.col("__s"))
+    return numbered.withColumn(name, F.col("__start") + F.col("__w")).drop("__k", "__b", "__w", "__s", "__start")
 
 
 class Sample:
