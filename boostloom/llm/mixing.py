@@ -41,18 +41,39 @@ class Classifier:
     temperature: float
 
     def posterior(self, doc: np.ndarray, hashes: np.ndarray, count: np.ndarray, n_docs: int) -> np.ndarray:
+        """From (document, term, count) triples; a document's counts of a term may come in several."""
         out = np.tile(self.prior, (n_docs, 1))
         if len(self.terms) and len(hashes):
-            at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-            known = self.terms[at] == hashes
-            d, a, c = doc[known], at[known], np.log1p(count[known])
-            for k in range(len(self.domains)):
-                out[:, k] += self.temperature * np.bincount(d, c * self.weight[a, k], minlength=n_docs)
+            at = lookup(self.terms, hashes)
+            known = np.flatnonzero(at >= 0)
+            d, at, n, v = doc[known], at[known], count[known], len(self.terms)
+            for first in range(0, n_docs, 256):  # a table of some documents by all terms at a time
+                last = min(n_docs, first + 256)
+                a, b = np.searchsorted(d, [first, last])
+                table = np.bincount((d[a:b] - first) * v + at[a:b], n[a:b])
+                used = np.flatnonzero(table)
+                evidence = self.temperature * np.log1p(table[used])
+                for k in range(len(self.domains)):
+                    out[first:last, k] += np.bincount(used // v, evidence * self.weight[used % v, k], minlength=last - first)
         out -= out.max(1, keepdims=True)
         out = np.exp(out)
         return out / out.sum(1, keepdims=True)
 
 
+def lookup(terms: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The places of hashes among sorted terms, or -1: by their first 16 bits, then one after the other."""
+    first = np.searchsorted(terms, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
+    size = np.diff(np.r_[first, len(terms)])
+    bucket = (hashes >> np.uint64(48)).astype(np.int64)
+    out = np.full(len(hashes), -1)
+    for k in range(int(size.max())):
+        may = np.flatnonzero(size[bucket] > k)
+        place = first[bucket[may]] + k
+        hit = terms[place] == hashes[may]
+        out[may[hit]] = place[hit]
+    return out
+
+
 def fit_classifier(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ...] = ("quality", "toxic"), max_examples: int = 6000, max_terms: int = 4096, min_df: int = 3) -> Classifier:
     """Fit on at most `max_examples` labelled documents, those with the least xxhash64 of their id.
 
@@ -125,11 +146,7 @@ def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:
 def _posterior(model: Classifier, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Tokens and posteriors of the texts of a slice."""
     words = W.scan(buffer, offsets, W.ALNUM_LOWER)
-    by = np.lexsort((words.hash, words.doc))
-    doc, h = words.doc[by], words.hash[by]
-    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])]) if len(h) else np.zeros(0, np.int64)
-    p = model.posterior(doc[new], h[new], np.diff(np.r_[new, len(h)]).astype(float), len(offsets) - 1)
-    return _token_counts(buffer, offsets), p
+    return _token_counts(buffer, offsets), model.posterior(words.doc, words.hash, np.ones(len(words.doc)), words.n_docs)
 
 
 def _token_counts(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -137,10 +154,9 @@ def _token_counts(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     word = np.zeros(int(offsets[-1] - offsets[0]) + 1, np.int8)
     word[1:] = W.PLAIN[buffer[offsets[0] : offsets[-1]]] != 0
     at = offsets - offsets[0]
-    starts = np.flatnonzero(np.diff(word) == 1)
-    first = at[:-1][np.diff(at) > 0]
-    starts = np.union1d(starts, first[word[first + 1] == 1])  # a text's first byte starts a word
-    return np.diff(np.searchsorted(starts, at))
+    out = np.diff(np.searchsorted(np.flatnonzero(np.diff(word) == 1), at))
+    full = np.flatnonzero(np.diff(at) > 0)
+    return out + np.bincount(full[(word[at[full]] == 1) & (word[at[full] + 1] == 1)], minlength=len(out))  # a text may touch the one before
 
 
 def rates(p: np.ndarray, history: list[tuple[np.ndarray, float]], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +191,8 @@ def solve(table: DataFrame, domains: list[str], targets: Callable[[np.ndarray],
 
     `targets` gets the domains' present token totals and returns the wanted ones.  Rates are at least
     `lower` (0 or more; with 1 and targets over the present totals, no document is lost).  Rounds end when all
-    totals of the look-ahead rates are within `tolerance` of the targets (as a share of all tokens), or
-    stop coming nearer, or after `most_rounds`.
+    totals are within `tolerance` of the targets (as a share of all tokens), when the objective stands
+    still, or after `most_rounds`.
     """
     k = len(domains)
     sc = table.sparkSession.sparkContext
@@ -185,20 +201,21 @@ def solve(table: DataFrame, domains: list[str], targets: Callable[[np.ndarray],
         shared = sc.broadcast(history)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 * k + (k * k + 1 if gram else 0))
+            total = np.zeros(2 * k + 1 + (k * k + 1 if gram else 0))
             for batch in batches:
                 p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
                 n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
                 r, y = rates(p, shared.value, lower)
                 total[:k] += (n * r) @ p
                 total[k : 2 * k] += (n * y) @ p
+                total[2 * k] += n @ (r - 1) ** 2
                 if gram:
-                    total[2 * k :] += np.r_[((p * n[:, None]).T @ p).reshape(-1), n.sum()]
+                    total[2 * k + 1 :] += np.r_[((p * n[:, None]).T @ p).reshape(-1), n.sum()]
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
 
         parts = table.select("n_tokens", "posterior").mapInArrow(run, "total array<double>")
         cells = parts.select(F.posexplode("total").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(2 * k + (k * k + 1 if gram else 0))
+        out = np.zeros(2 * k + 1 + (k * k + 1 if gram else 0))
         for row in cells:
             out[row["i"]] = row["x"]
         return out
@@ -209,21 +226,24 @@ def solve(table: DataFrame, domains: list[str], targets: Callable[[np.ndarray],
     if n <= 0:
         return Mix(domains, [], before, wanted, before, lower)
     # in the metric of the token shares the Hessian is that of p p' averaged over tokens, plus the ridge
-    step = 1.0 / (float(np.linalg.eigvalsh(first[2 * k : -1].reshape(k, k) / n).max()) + ridge)
+    step = 1.0 / (float(np.linalg.eigvalsh(first[2 * k + 1 : -1].reshape(k, k) / n).max()) + ridge)
     history: list[tuple[np.ndarray, float]] = []
-    t, ahead, reached, least = 1.0, before, before, np.inf
+    t, ahead, reached = 1.0, before, before
+    value, still = np.inf, 0
     for _ in range(most_rounds):
         after_t = (1 + (1 + 4 * t * t) ** 0.5) / 2
         history.append((np.r_[step * (ahead - wanted) / n, step * ridge], (t - 1) / after_t))
         t = after_t
         now = sums(history, False)
         reached, ahead = now[:k], now[k : 2 * k]
-        gap = float(np.abs(reached - wanted).max() / n)
-        if gap <= tolerance:
+        if float(np.abs(reached - wanted).max() / n) <= tolerance:
             break
-        if gap > 4 * least:  # momentum overshot: start it again
+        old, value = value, 0.5 * float((((reached - wanted) / n) ** 2).sum() + ridge * now[2 * k] / n)
+        if value > old:  # momentum overshot: start it again
             t = 1.0
-        least = min(least, gap)
+        still = still + 1 if abs(old - value) <= 1e-4 * value else 0
+        if still == 3:
+            break
     return Mix(domains, history, before, wanted, reached, lower)
 
 
