@@ -1,8 +1,9 @@
 """MinHash near-dedup: ProbMinHash signatures of weighted shingles, banding, and exact verification.
 
-Similarity is the probability Jaccard of the shingle counts w:
+Similarity is the probability Jaccard of the shingles' weights w:
 J_P = sum over common d of 1 / sum over d' of max(wA(d')/wA(d), wB(d')/wB(d)),
-which for counts of one is the Jaccard similarity of the shingle sets.
+which for equal weights is the Jaccard similarity of the shingle sets.  A shingle that comes c times
+weighs 1 + ln c, so that one line that is repeated all over doesn't make two texts alike.
 
 1. Every text gets a signature.  Rows of one text are one node from then on, so that copies are never
    paired, however many there are.
@@ -53,6 +54,10 @@ def shingles(words: W.Words, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return doc[new], hashes[new], np.diff(np.r_[new, len(doc)])
 
 
+def weights(count: np.ndarray) -> np.ndarray:
+    return 1.0 + np.log(count)
+
+
 def signatures(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
     """ProbMinHash: n_docs x registers elements, each drawn from a document by weight, alike for alike documents.
 
@@ -79,7 +84,7 @@ def signatures(doc: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """J_P of two (sorted distinct hashes, counts)."""
+    """J_P of two (sorted distinct hashes, weights)."""
     _, in_a, in_b = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(in_a):
         return 0.0
@@ -105,7 +110,7 @@ def _features(width: int, bands: int, rows: int):
                 if not len(doc):
                     continue
                 have, owner = np.unique(doc, return_inverse=True)
-                who = signatures(owner, h, count, len(have), bands * rows)
+                who = signatures(owner, h, weights(count), len(have), bands * rows)
                 keys = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(have), 1))
                 for r in range(rows):
                     keys = W.mix(keys * np.uint64(0x9E3779B97F4A7C15) + who[:, r::rows])
@@ -145,7 +150,7 @@ def _shingle_rows(width: int):
 
 
 def _bag(shingles: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return W.unpack_sorted(shingles), W.unpack(counts).astype(float)
+    return W.unpack_sorted(shingles), weights(W.unpack(counts).astype(float))
 
 
 def _verify_pairs(threshold: float):
@@ -291,7 +296,7 @@ def near_dups(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: in
     """Classes of near duplicates: doc_id, component_id, kept, a row for each row of `docs`.
 
     Two texts are linked if the probability Jaccard of their runs of `width` words (U+0020 and
-    U+0009..U+000D part words; a shorter text is one run) is at least `threshold`; classes are the
+    U+0009..U+000D part words; a shorter text is one run; weights 1 + ln count) is at least `threshold`; classes are the
     connected components, component_id is the smallest doc_id in the class and `kept` marks its rows.
     All links between different texts that banding proposes are found or implied by others; a pair at a
     similarity s is proposed with probability 1 - (1 - s**rows)**bands (for 0.8 and the defaults, all

@@ -146,6 +146,7 @@ def near_brute(texts, threshold=0.8):
         return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
 
     def jp(a, b):
+        a, b = (Counter({k: 1 + math.log(v) for k, v in x.items()}) for x in (a, b))
         return sum(1 / sum(max(a[e] / a[d], b[e] / b[d]) for e in a | b) for d in a if d in b)
 
     bags, root = [bag(t) for t in texts], list(range(len(texts)))
@@ -168,6 +169,9 @@ def test_near_dups_match_brute_force(spark):
             for _ in range(int(rng.integers(0, 4))):
                 copy[int(rng.integers(len(copy)))] = f"e{rng.integers(1000)}"
             texts.append(" ".join(copy))
+    line = words_of(8, "r")
+    texts += [" ".join([line] * 40 + [words_of(60, s)]) for s in ("x", "y")]  # a repeated line doesn't make texts alike
+    texts += [" ".join([line] * k + [words_of(60, "v")]) for k in (3, 4)]  # nor does its number set them apart
     texts += ["four words are short", "four words are short", "Four words are short", "x", None, "", "  "]
     got = {r["doc_id"]: r for r in near_dups(table(spark, texts)).collect()}
     want = near_brute(texts)
