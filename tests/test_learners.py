@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boostloom.functions.losses import L1, L2
+from boostloom import queries
 from boostloom.operators import BadBaseLearner, DecisionTree, GaussianNB, LearnerUnion, NaiveAggregation, NeuralNetwork, RegressionTree, WeightedMajority, binning, criteria, neural, trees
 from boostloom.operators.base import edge_of
 from boostloom.operators.serial import from_json
@@ -246,6 +247,13 @@ def test_naive_aggregation(toy):
     assert NaiveAggregation.from_slice([a, b], h.signatures).predict_all(toy).count() == 7
 
 
+def test_naive_aggregation_query_learns_from_all_rows(spark, tmp_path):
+    rows = [(1, "BUILDING", 1.0, 1), (2, "MACHINERY", 2.0, 2), (3, "MACHINERY", 5000.0, 20)]  # no key is a multiple of 20
+    spark.createDataFrame(rows, "c_custkey long, c_mktsegment string, c_acctbal double, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    got = queries.naive_aggregation(spark, str(tmp_path)).collect()
+    assert {r["row_id"]: r["prediction"] for r in got} == {1: 1, 2: 1, 3: -1}
+
+
 def test_union_takes_the_larger_edge(grid):
     s, _, _ = grid
     learner = LearnerUnion(DecisionTree(1), DecisionTree(3))
