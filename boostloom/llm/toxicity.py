@@ -1,6 +1,7 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
 
-The index holds a bounded sample of labelled examples, so it is broadcast; every text is a query against
+All terms of the examples are indexed, and norms are over whole texts: a word that no example has counts in
+its text's norm.  The index holds a bounded sample of labelled examples, so it is broadcast; every text is a query against
 it and rows are never exchanged.  A query bounds the score of each block of examples by the terms'
 largest weights there, works through blocks in the order of these bounds, and stops at the first block
 whose bound is under the k-th best score so far: the k nearest are exact.
@@ -64,28 +65,29 @@ class Index:
         same: dict[int, np.ndarray] = {}
         if texts is not None:
             same = {int(k): np.flatnonzero(texts == k) for k in np.unique(texts)}
-        return Index(terms, idf, pointer, cell[new] % n_blocks, top, np.r_[new, len(cell)], example, weight, ids, labels, same)
+        return Index(terms, idf, pointer, (cell[new] % n_blocks).astype(np.int32), top, np.r_[new, len(cell)].astype(np.int32), example.astype(np.int32), weight, ids, labels, same)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine over 0 (fewer if there are no more), nearest first, and their cosines."""
-        spans = [np.arange(self.pointer[t], self.pointer[t + 1]) for t in term]
-        entry = np.concatenate(spans) if spans else np.zeros(0, np.int64)
+        n_blocks = self.pointer[term + 1] - self.pointer[term]
+        entry = _spans(self.pointer[term], n_blocks)
         if not len(entry):
             return np.zeros(0, np.int64), np.zeros(0)
-        factor = np.repeat(weight, [len(s) for s in spans])
-        bound = np.bincount(self.block[entry], factor * self.top[entry])
+        factor, block = np.repeat(weight, n_blocks), self.block[entry]
+        bound = np.bincount(block, factor * self.top[entry])
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         best, score = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 2
+        at, step = 0, 8
         while at < len(order):
             if len(best) >= k and bound[order[at]] < score[k - 1] - 1e-12:
                 break
             take = np.zeros(len(bound), bool)
             take[order[at : at + step]] = True
-            use = np.flatnonzero(take[self.block[entry]])
-            size = self.begin[entry[use] + 1] - self.begin[entry[use]]
-            flat = np.repeat(self.begin[entry[use]] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+            use = np.flatnonzero(take[block])
+            begin = self.begin[entry[use]]
+            size = self.begin[entry[use] + 1] - begin
+            flat = _spans(begin, size)
             sums = np.bincount(self.example[flat], self.weight[flat] * np.repeat(factor[use], size))
             found = np.flatnonzero(sums > 0)
             if without is not None:
@@ -93,10 +95,16 @@ class Index:
             best, score = np.r_[best, found], np.r_[score, sums[found]]
             by = np.lexsort((best, -np.round(score, 12)))[:k]
             best, score = best[by], score[by]
-            at, step = at + step, step * 2
+            at, step = at + step, step * 4
         return best, np.minimum(score, 1.0)
 
 
+def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[i] to begin[i] + size[i] - 1, for each i in turn."""
+    ends = np.cumsum(size, dtype=np.int64)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def normalised(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """Weights over the Euclidean norm of their owner's."""
     norm = np.sqrt(np.bincount(owner, weight * weight, minlength=n))
@@ -177,67 +185,12 @@ def collect_terms(rows: DataFrame, label: str) -> pd.DataFrame:
     return out.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
 
 
-def one_of_each_copy(hashes: list[np.ndarray], bands: int = 6, rows: int = 4) -> np.ndarray:
-    """Marks the first example of each group of near copies (by min-hashes of their terms, in bands).
-
-    Words of one text that has many copies would otherwise pass for words of its label.
-    """
-    n = len(hashes)
-    root = np.arange(n)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    full = np.flatnonzero([len(h) > 0 for h in hashes])
-    if len(full):
-        flat = np.concatenate([hashes[i] for i in full])
-        new = np.r_[0, np.cumsum([len(hashes[i]) for i in full])[:-1]]
-        for band in range(bands):
-            key = np.zeros(len(full), np.uint64)
-            for row in range(rows):
-                seed = W.mix(np.array([band * rows + row + 1], np.uint64))
-                key = W.mix(key + np.minimum.reduceat(W.mix(flat ^ seed), new))
-            _, first, of = np.unique(key, return_index=True, return_inverse=True)
-            for i, f in zip(full, full[first][of], strict=True):
-                a, b = find(i), find(f)
-                root[max(a, b)] = min(a, b)
-    return np.array([find(i) == i for i in range(n)], bool)
-
-
-def select_terms(df: np.ndarray, positive: np.ndarray, n: int, n_positive: int, most: int, least: int, lift: float) -> np.ndarray:
-    """Terms whose presence goes with the label: by the likelihood-ratio statistic G2, corrected for their number.
-
-    Only terms of at least two examples count, and only those that make the label `lift` times likelier
-    or rarer.  The `least` best stay even where none is significant (in small samples).
-    """
-    base = min(max(n_positive / n, 0.5 / n), 1 - 0.5 / n)
-
-    def part(o, e):
-        return np.where(o > 0, o * np.log(np.maximum(o, 1e-300) / np.maximum(e, 1e-300)), 0.0)
-
-    other, p_other, n_other = df - positive, n_positive - positive, n - df
-    g2 = 2 * (part(positive, df * base) + part(other, df * (1 - base)) + part(p_other, n_other * base) + part(n_other - p_other, n_other * (1 - base)))
-    rate = (positive + base) / (df + 1) / base
-    usable = (df >= 2) & ((rate >= lift) | (rate <= 1 / lift))
-    score = np.where(usable, g2, -1.0)
-    order = np.lexsort((np.arange(len(df)), -score))
-    order = order[score[order] > 0]
-    # P(G2 > x) is under exp(-x / 2) for one degree of freedom
-    enough = 2 * np.log(max(2, usable.sum()) * 1000.0)
-    significant = int((score > enough).sum())
-    return np.sort(order[: min(most, max(significant, least))])
-
-
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 6000, k: int = 15, max_terms: int = 512, min_terms: int = 32, lift: float = 2.0, held_out_mod: int | None = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 6000, k: int = 15, held_out_mod: int | None = 5) -> Model:
     """Fit on at most `max_examples` labelled documents, those with the least xxhash64 of their id.
 
     Labels count where they are 0 or 1 (the largest, if a document has several) and, with
     `held_out_mod`, where crc32(doc_id as text) modulo it isn't 0.  Terms are runs of letters, digits
-    and non-ASCII characters in lower case; the cosine is over the terms that `select_terms` takes from
-    the examples.  Votes are calibrated by isotonic regression over each example's vote among those of other texts.
+    and non-ASCII characters in lower case; the cosine is over all of them.  Votes are calibrated by isotonic regression over each example's vote among those of other texts.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
     if held_out_mod:
@@ -246,10 +199,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_exampl
     known = known.orderBy(F.xxhash64("example_id"), "example_id").limit(max_examples)
     joined = docs.join(F.broadcast(known), F.col("doc_id") == F.col("example_id"))  # at most max_examples rows
     joined = joined.select("doc_id", F.col("text").cast("string").alias("text"), "label")
-    return fit_terms(collect_terms(joined, "double"), k, max_terms, min_terms, lift)
+    return fit_terms(collect_terms(joined, "double"), k)
 
 
-def fit_terms(rows: pd.DataFrame, k: int, max_terms: int, min_terms: int, lift: float) -> Model:
+def fit_terms(rows: pd.DataFrame, k: int) -> Model:
     ids, labels = rows["doc_id"].to_numpy(np.int64), rows["label"].to_numpy(float)
     n, n_positive = len(ids), labels.sum()
     none = np.zeros(0, np.int64)
@@ -261,18 +214,9 @@ def fit_terms(rows: pd.DataFrame, k: int, max_terms: int, min_terms: int, lift:
     example = np.repeat(np.arange(n), [len(h) for h in hashes])
     vocabulary, term = np.unique(np.concatenate(hashes), return_inverse=True)
     df = np.bincount(term, minlength=len(vocabulary)).astype(float)
-    once = one_of_each_copy(hashes)
-    mine = once[example]
-    seen = np.bincount(term[mine], minlength=len(vocabulary)).astype(float)
-    positive = np.bincount(term[mine], labels[example[mine]], minlength=len(vocabulary))
-    chosen = select_terms(seen, positive, int(once.sum()), labels[once].sum(), max_terms, min_terms, lift)
-    place = np.full(len(vocabulary), -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[term] >= 0
-    example, term, counts = example[keep], place[term[keep]], counts[keep]
-    idf = np.log((1 + n) / (1 + df[chosen])) + 1
+    idf = np.log((1 + n) / (1 + df)) + 1
     texts = rows["text"].to_numpy(np.int64)
-    index = Index.build(vocabulary[chosen], idf, example, term, counts, ids, labels, texts)
+    index = Index.build(vocabulary, idf, example, term, counts, ids, labels, texts)
     model = Model(index, k, np.zeros(0), np.zeros(0), base)
     weight = normalised(example, idf[term] * (1 + np.log(counts)), n)
     cut = np.searchsorted(example, np.arange(n + 1))
@@ -296,8 +240,10 @@ def _scores(model: Model, part: pa.RecordBatch, doc: np.ndarray, h: np.ndarray,
         known = index.terms[term] == h
     else:
         term, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    doc, term, count = doc[known], term[known], count[known]
-    weight = normalised(doc, index.idf[term] * (1 + np.log(count)), n)
+    # a term of no example weighs what one of document frequency 0 does
+    idf = np.where(known, index.idf[term], np.log(1 + len(index.ids)) + 1) if len(index.terms) else np.ones(len(h))
+    weight = normalised(doc, idf * (1 + np.log(count)), n)[known]
+    doc, term = doc[known], term[known]
     cut = np.searchsorted(doc, np.arange(n + 1))
     scores, proofs = np.full(n, model.alone), [[] for _ in range(n)]
     for i in np.unique(doc):
@@ -313,7 +259,7 @@ def score_documents(docs: DataFrame, model: Model, evidence: int = 3) -> DataFra
     """Score every whole text: doc_id, score, predicted, evidence.
 
     `score` (0 to 1) is the calibrated vote of the k nearest examples, `predicted` is 1 from 0.5 on,
-    `evidence` lists the nearest ones as (doc_id, label, cosine).  A text with none of the index's terms
+    `evidence` lists the nearest ones as (doc_id, label, cosine).  A text that shares no term with any example
     (also a null or empty one) has no neighbours and gets the rate of the label among such examples; a
     model without examples, or without label 1 among them, scores 0.  Examples of the very same
     text have no vote, so that training documents are judged as others are; ids, labels, languages and

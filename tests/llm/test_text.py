@@ -241,6 +241,23 @@ def test_toxicity_on_held_out_documents(spark, labelled):
     assert toxicity.score_documents(odd(spark), model).count() == odd(spark).count() == toxicity.reject(odd(spark), model).count()
 
 
+def test_toxicity_cosine_is_over_whole_texts(spark):
+    texts = ["good day one", "good sun two", "vile day three vile", "rare once", "vile " + words_of(30, "z"), "once"]
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 1, 1), (3, 1, 1)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, held_out_mod=None)
+    got = {r["doc_id"]: {e["doc_id"]: e["cosine"] for e in r["evidence"]} for r in toxicity.score_documents(docs, model, evidence=9).collect()}
+    split_texts = [Counter(t.split()) for t in texts]
+    idf = lambda w: math.log(5 / (1 + sum(w in t for t in split_texts[:4]))) + 1
+    vector = [{w: idf(w) * (1 + math.log(c)) for w, c in t.items()} for t in split_texts]
+    norm = [math.sqrt(sum(x * x for x in v.values())) for v in vector]
+    for i, v in enumerate(vector):
+        want = {j: sum(x * vector[j].get(w, 0.0) for w, x in v.items()) / norm[i] / norm[j] for j in range(4) if j != i}
+        want = {j: c for j, c in want.items() if c > 0}
+        assert set(got[i]) == set(want) and all(abs(got[i][j] - c) < 1e-9 for j, c in want.items())
+    assert got[5] and got[4][2] < 0.3  # a word of one example counts; one such word doesn't make a long text
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(2)
     n, v = 300, 40
