@@ -182,6 +182,11 @@ class Mix:
     after: np.ndarray
     lower: float = 0.0
 
+    @property
+    def unmet(self) -> dict[str, float]:
+        """What each domain's total lacks of its target (negative where it is over), as a share of the target."""
+        return dict(zip(self.domains, ((self.targets - self.after) / np.maximum(self.targets, 1.0)).tolist(), strict=True))
+
     def rate(self, p: np.ndarray) -> np.ndarray:
         return rates(p, self.history, self.lower)[0]
 
@@ -190,9 +195,9 @@ def solve(table: DataFrame, domains: list[str], targets: Callable[[np.ndarray],
     """Fit the rates over a table of posteriors(), which should be written out: each round reads it once.
 
     `targets` gets the domains' present token totals and returns the wanted ones.  Rates are at least
-    `lower` (0 or more; with 1 and targets over the present totals, no document is lost).  Rounds end when all
-    totals are within `tolerance` of the targets (as a share of all tokens), when the objective stands
-    still, or after `most_rounds`.
+    `lower` (0 or more; with 1 and targets over the present totals, no document is lost).  Rounds end when each
+    domain's total is within `tolerance` of its own target (as a share of that target), when the objective
+    stands still, or after `most_rounds`; what is missing then is the solution's `unmet`.
     """
     k = len(domains)
     sc = table.sparkSession.sparkContext
@@ -236,7 +241,7 @@ def solve(table: DataFrame, domains: list[str], targets: Callable[[np.ndarray],
         t = after_t
         now = sums(history, False)
         reached, ahead = now[:k], now[k : 2 * k]
-        if float(np.abs(reached - wanted).max() / n) <= tolerance:
+        if (np.abs(reached - wanted) <= tolerance * np.maximum(wanted, 1.0)).all():
             break
         old, value = value, 0.5 * float((((reached - wanted) / n) ** 2).sum() + ridge * now[2 * k] / n)
         if value > old:  # momentum overshot: start it again
@@ -247,18 +252,19 @@ def solve(table: DataFrame, domains: list[str], targets: Callable[[np.ndarray],
     return Mix(domains, history, before, wanted, reached, lower)
 
 
-def raised(floor: float = 1.0, shares: dict[str, float] | None = None, domains: list[str] | None = None, most: float = 2.0) -> Callable[[np.ndarray], np.ndarray]:
-    """Targets that lower no domain: totals by the wanted shares, each at least `floor` and at most `most` times the present one.
+def raised(floor: float = 1.0, shares: dict[str, float] | None = None, domains: list[str] | None = None, most: float | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """Targets that lower no domain: totals by the wanted shares, each at least `floor` times the present one.
 
-    Without shares, the square roots of the present totals: rare domains gain.
+    Without shares, the square roots of the present totals: rare domains gain.  A domain of no share stays
+    as it is.  With `most`, no total grows to more than so many times the present one, so that shares may be missed.
     """
 
     def targets(present: np.ndarray) -> np.ndarray:
         live = np.maximum(present, 1e-9)
         want = np.array([shares.get(d, 0.0) for d in domains]) if shares else np.sqrt(live)
-        want = np.maximum(want / want.sum(), 1e-12)
-        scale = (live / want).max()  # the domain that is richest by its share stays as it is
-        return np.minimum(np.maximum(want * scale, floor * live), most * live)
+        scale = (live[want > 0] / want[want > 0]).max(initial=0.0)  # the domain that is richest by its share stays as it is
+        wanted = np.maximum(want * scale, floor * live)
+        return wanted if most is None else np.minimum(wanted, most * live)
 
     return targets
 

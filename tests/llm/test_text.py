@@ -354,6 +354,20 @@ def test_mixing_keeps_documents_with_a_lower_bound(spark, labelled):
     assert set(copies) == {r["doc_id"] for r in docs.collect()}
 
 
+def test_mixing_targets_are_the_wanted_shares():
+    assert np.allclose(mixing.raised()(np.array([90.0, 10.0])), [90, 30])
+    assert np.allclose(mixing.raised(shares={"a": 0.5, "b": 0.5}, domains=["a", "b"])(np.array([90.0, 10.0])), [90, 90])
+    assert np.allclose(mixing.raised(shares={"a": 1.0}, domains=["a", "b"])(np.array([90.0, 10.0])), [90, 10])
+    assert np.allclose(mixing.raised(most=2.0)(np.array([90.0, 10.0])), [90, 20])
+
+
+def test_mixing_converges_by_each_domain_s_own_target(spark):
+    rows = [(1.0, 0.0)] * 99995 + [(0.0, 1.0)] * 5  # the second has 0.005% of the tokens
+    posteriors = spark.createDataFrame([(1, list(p)) for p in rows], "n_tokens long, posterior array<double>")
+    solution = mixing.solve(posteriors, ["a", "b"], lambda now: now * np.array([1.0, 2.0]), ridge=0.0, most_rounds=5)
+    assert len(solution.history) == 5 and 0 < solution.unmet["b"] <= 0.5 and abs(solution.unmet["a"]) < 1e-9
+
+
 def test_mixing_odd_rows(spark, labelled):
     _, labels = labelled
     for l in (labels, labels.limit(0)):
