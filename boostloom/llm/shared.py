@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,30 +13,57 @@ from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one where it is unset, as in tests."""
+    """The folder that spark.checkpoint.dir names.
+
+    Where it is unset, a temporary one serves if driver and executors are one process; on a cluster this is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"{tempfile.gettempdir()}/boostloom-checkpoints"
     return f"{base.rstrip('/')}/boostloom/{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def written(rows: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder and read again: later plans start there, whatever executors are lost."""
-    path = f"{folder(rows.sparkSession)}/{uuid.uuid4().hex}"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    """The rows, written to the shared folder and read again: later plans start there, whatever executors are lost.
+
+    What the write has shuffled is dropped when it has ended, as nothing reads it again.
+    """
+    spark = rows.sparkSession
+    path = f"{folder(spark)}/{uuid.uuid4().hex}"
+    with _set(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        rows.write.parquet(path)
+    out = spark.read.schema(rows.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(rows: DataFrame) -> None:
+    """Delete a table that written() has written and that no plan reads any more."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(rows.written_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Batches of at most so many rows for what is written meanwhile; rows that hold whole texts' shingles can be large."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
+    with _set(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows)):
         yield
-    finally:
-        spark.conf.set(name, before)
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -17,7 +17,8 @@ import corpus_pipeline
 from boostloom.llm import bpe, languages, mixing, toxicity
 from boostloom.llm import words as W
 from boostloom.llm.near_dups import near_dups, probability_jaccard, shingles, signatures
-from boostloom.llm.pitman_yor import fit, language_model, score, seat
+from boostloom.llm import pitman_yor as Y
+from boostloom.llm.pitman_yor import fit, language_model, score
 from boostloom.llm.substrings import merged, substring_dedup
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
@@ -410,36 +411,119 @@ def test_language_model_beats_unigrams(spark):
     assert sum(r["score"] for r in got) > 0.6 * sum(r["base_score"] for r in got)
 
 
-def test_predictive_sums_to_one(spark):
-    from boostloom.llm import pitman_yor as Y
+def tables_exactly(customers, a, p, discount):
+    """The distribution of the number of tables of so many customers of one dish."""
+    z = {1: 1.0}
+    for k in range(1, customers):
+        n = Counter()
+        for j, w in z.items():
+            n[j] += w * (k - discount * j)
+            n[j + 1] += w * (a + discount * j) * p
+        z = {j: w / sum(n.values()) for j, w in n.items()}
+    return np.array([z.get(j, 0) for j in range(1, customers + 1)])
 
-    rng = np.random.default_rng(0)
-    v, contexts = 12, 3
-    customers = rng.integers(0, 6, (v, contexts))
-    tables = np.array([Y.seat(customers[:, u], np.full(v, 0.4), 0.5, rng) for u in range(contexts)]).T
-    assert ((tables <= customers) & ((tables > 0) == (customers > 0))).all()
-    parent = tables.sum(1)
-    parent_tables = Y.seat(parent, np.full(v, 0.2), 0.5, rng)
-    t = Y.Totals(customers.sum(), v, customers.sum(0), tables.sum(0), None, None, None, parent.sum(), parent_tables.sum(), 0.5, 0.5, 1.0)
-    uni = t.unigram(parent, parent_tables)
-    unknown = t.unigram(np.zeros(1), np.zeros(1))
-    assert abs(uni.sum() + unknown.sum() - 1) < 1e-12
-    for u in range(contexts):
-        p = t.bigram(np.full(v, u), customers[:, u], tables[:, u], uni).sum() + t.bigram(np.array([u]), np.zeros(1), np.zeros(1), unknown).sum()
-        assert abs(p - 1) < 1e-12
-
-
-def test_seating_follows_the_restaurant():
-    rng = np.random.default_rng(1)
-    got = seat(np.full(4000, 40), np.full(4000, 0.8), 0.5, rng).mean()
 
-    def one():
-        t = 1
-        for k in range(1, 40):
-            t += rng.random() < 0.8 / (k - 0.5 * t + 0.8)
-        return t
+@pytest.mark.parametrize("customers,a,p,discount", [(2, 1.5, 0.3, 0.5), (12, 3.0, 0.2, 0.6), (40, 20.0, 0.1, 0.7), (90, 0.5, 0.001, 0.4)])
+def test_reseating_keeps_the_exact_conditional(customers, a, p, discount):
+    n = 6000
+    key = W.mix(np.arange(n, dtype=np.uint64))
+    opened, openers = np.zeros(n, np.int64), np.zeros(0, np.int64)
+    for sweep in range(12):
+        opened, openers = Y.reseat(np.full(n, customers), opened, openers, np.full(n, a), np.full(n, p), discount, key, sweep)
+        assert len(openers) == opened.sum() and (not len(openers) or (openers.min() >= 1 and openers.max() < customers))
+    got = np.bincount(opened, minlength=customers)[:customers] / n
+    assert abs(got - tables_exactly(customers, a, p, discount)).sum() / 2 < 0.05
+
 
-    assert abs(got - np.mean([one() for _ in range(4000)])) < 0.15
+def test_gamma_ratio():
+    x, d = np.array([0.3, 1.0, 2.5, 40.0, 1e6]), np.array([0.7, -0.4, 3.0, 100.0, 0.5])
+    assert np.allclose(Y._gamma_ratio(x, d), [math.lgamma(a + b) - math.lgamma(a) for a, b in zip(x, d)], atol=1e-8)
+
+
+def small_model(spark, texts, **more):
+    from pyspark.sql import functions as F
+
+    docs = table(spark, texts).select("doc_id", "text", F.lit(False).alias("held_out"))
+    return fit(docs, "held_out", **more)
+
+
+def test_predictive_sums_to_one(spark):
+    """For a context, over all pairs of it and all words that don't follow it, and one unknown."""
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(list("abcdef"), 30)) for _ in range(40)]
+    model = small_model(spark, texts)
+    vocabulary = sorted(set(" ".join(texts).split()))
+    assert model.kept[0].n == 40 * 31
+    # the unigram restaurant: known tokens and one unknown
+    t = model.kept[-1]
+    parent, tables = {}, {}
+    for r in model.state.collect():
+        s = Y.State.of(r["blob"])
+        _, c, k = s.kept[-1]
+        rare = Y._is_in(model.frequent, s.hash) < 0
+        parent |= dict(zip(s.hash[rare].tolist(), c[rare].tolist()))
+        tables |= dict(zip(s.hash[rare].tolist(), k[rare].tolist()))
+    parent |= dict(zip(model.frequent.tolist(), t.parent.tolist()))
+    tables |= dict(zip(model.frequent.tolist(), t.tables.tolist()))
+    known = np.array([[parent[w], tables[w]] for w in parent])
+    assert len(parent) == t.v == len(vocabulary) + 1
+    total = t.unigram(known[:, 0], known[:, 1]).sum() + t.unigram(np.zeros(1), np.zeros(1)).sum()
+    assert abs(total - 1) < 1e-9
+
+
+def test_scores_follow_from_the_seats(spark):
+    """Every text's score, from the model's seats by plain loops; for each context the odds sum to one."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(rng.choice(list("abcdefgh"), int(n))) for n in rng.integers(0, 25, 60)]
+    held = [i % 5 == 0 for i in range(60)]
+    docs = spark.createDataFrame(list(zip(range(60), texts, held)), "doc_id long, text string, held_out boolean")
+    model = fit(docs, "held_out")
+    words = {w: int(Y.tokens(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])).hash[0]) for w in "abcdefgh"} | {"": int(Y.END)}
+    tokens = lambda t: [*split(t), ""]
+    c = Counter((u, w) for t, h in zip(texts, held) if not h for u, w in zip(["<", *tokens(t)], tokens(t)))
+    name = {h: w for w, h in words.items()} | {int(Y.START): "<"}
+    p = Counter()
+    for s, t in enumerate(model.kept):
+        tables = {k: 1 for k in c}
+        for r in model.state.collect():
+            state = Y.State.of(r["blob"])
+            for w, u, o in zip(state.hash[state.pair_word], state.context_hash[state.pair_context], state.kept[s][0]):
+                tables[name[int(u)], name[int(w)]] = 1 + int(o)
+        parent, parent_tables = Counter(), {}
+        for (_, w), k in tables.items():
+            parent[w] += k
+        parent_tables = {w: 1 for w in parent}
+        for r in model.state.collect():
+            state = Y.State.of(r["blob"])
+            parent_tables |= {name[int(h)]: int(k) for h, k in zip(state.hash, state.kept[s][2])}
+        parent_tables |= {name[int(h)]: int(k) for h, k in zip(model.frequent, t.tables) if k}
+        base, n, T = 1 / (len(parent) + 1), sum(parent.values()), sum(parent_tables.values())
+        uni = {w: (max(parent[w] - t.parent_discount * parent_tables[w], 0) + (1 + t.parent_discount * T) * base) / (1 + n) for w in parent}
+        for u in {u for u, _ in c}:
+            of, T_u = sum(k for (x, _), k in c.items() if x == u), sum(k for (x, _), k in tables.items() if x == u)
+            odds = {w: (max(c[u, w] - t.discount * tables.get((u, w), 0), 0) + (1 + t.discount * T_u) * uni[w]) / (1 + of) for w in uni}
+            unknown = (1 + t.discount * T_u) * (1 + t.parent_discount * T) * base / (1 + n) / (1 + of)
+            assert abs(sum(odds.values()) + unknown - 1) < 1e-9
+            for w, x in odds.items():
+                p[u, w] += x / len(model.kept)
+    for r in score(model).collect():
+        t = tokens(texts[r["doc_id"]])
+        assert abs(r["score"] - sum(math.log10(p[u, w]) for u, w in zip(["<", *t], t))) < 1e-5
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{int(x)}" for x in rng.zipf(1.5, 6000) % 500]
+    texts = [" ".join(words[i : i + 40]) for i in range(0, 6000, 40)]
+    got = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions, rows in (("3", table(spark, texts)), ("7", table(spark, texts).repartition(5))):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got.append({r["doc_id"]: r["score"] for r in language_model(rows).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
 
 
 def test_pipeline_stages(spark, tmp_path, labelled):
