@@ -20,6 +20,7 @@ sums are of whole numbers, so that scores don't depend on partitions.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -36,7 +37,7 @@ from boostloom.llm.toxicity import remainder
 
 SLICE = 6 << 20
 #: Tokens of a place.
-PLACE = 2_000_000
+PLACE = 1_500_000
 END = np.uint64(0x2545F4914F6CDD1D)
 #: The restaurant of the start of a text; sorts last.
 START = np.uint64(2**64 - 1)
@@ -193,6 +194,11 @@ def _at(hashes: np.ndarray, places: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)).astype(np.int64)
 
 
+def owners(places: int) -> int:
+    """Owners of restaurants: few, as every place may write to each."""
+    return min(places, 4 * math.isqrt(places))
+
+
 def _is_in(some: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The position of each value among the sorted `some`, or -1."""
     if not len(some):
@@ -410,7 +416,8 @@ def _table(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 def _messages(place: int, contexts: np.ndarray, values: list[np.ndarray], places: int) -> list[tuple[int, int, int, bytes]]:
     """Values by context (ascending), for the contexts' owners."""
-    cut = np.searchsorted(_at(contexts, places), np.arange(places + 1))
+    n = owners(places)
+    cut = np.searchsorted(_at(contexts, n), np.arange(n + 1))
     return [(MESSAGE, place, o, join_blobs([W.pack_sorted(contexts[a:b]), *[W.pack(v[a:b]) for v in values]])) for o, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if a < b]
 
 
@@ -568,7 +575,7 @@ def fit(docs: DataFrame, held_out: str, sweeps: int = 4, burn_in: int = 1, stren
     top = counted.filter(F.col("token").isNotNull() & (F.col("n") >= share * n_all)).select("token").collect()  # 8 for each partition at most
     discard(counted)
     frequent = np.sort(np.array([r["token"] for r in top], np.int64).view(np.uint64))
-    places = max(2 * partitions, -(-n_all // PLACE))
+    places = max(partitions, -(-n_all // PLACE))
     dealt = rows.mapInArrow(_deal(frequent, places), "place int, head boolean, slice long, blob binary")
     table = written(dealt.groupBy("place").applyInArrow(_gather(frequent), "place int, pairs binary, entries binary, heads binary, state binary, sums binary"))
 
@@ -704,7 +711,7 @@ def score(model: Model) -> DataFrame:
     sc = model.table.sparkSession.sparkContext
     shared = sc.broadcast((model.frequent, model.kept))
     pairs = _as_rows(model.table, PAIRS, "pairs")
-    replies = _exchange(pairs.union(model.state).groupBy("place").applyInArrow(_ask_all(len(model.kept), model.places), _ROWS))
+    replies = written(_exchange(pairs.union(model.state).groupBy("place").applyInArrow(_ask_all(len(model.kept), model.places), _ROWS)))
     parts = pairs.union(_as_rows(model.table, ENTRIES, "entries")).union(_as_rows(model.table, HEADS, "heads")).union(model.state).union(replies)
     sums = parts.groupBy("place").applyInArrow(_score(shared), "slice long, head boolean, blob binary")
     texts = sums.groupBy("slice").applyInArrow(_add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double")
