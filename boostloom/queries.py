@@ -221,7 +221,7 @@ def gbm_l1(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = revenue(spark, sf_dir)
     booster = GBM.init_with_loss(s, losses.L1()).max_iter(3)
     f = booster.run(RegressionTree(losses.L2(), 3))
-    return spark.createDataFrame([(i + 1, float(w)) for i, w in enumerate(f.weights)], "round int, coefficient double")
+    return spark.createDataFrame([(i + 1, float(w)) for i, w in enumerate(f.weights)], "round int, coefficient double").select("round", _r("coefficient").alias("coefficient"))
 
 
 def naive_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -248,13 +248,35 @@ def additive(make: Callable[[Sample], object]) -> Query:
     return run
 
 
-def corrective(make: Callable[[Sample, int], object], rounds: int) -> Query:
+def _certificate(booster, s: Sample, f: WeightedMajority, bound: float) -> list[tuple]:
+    """What can be told of a program's end without solving it again.
+
+    The combination's soft margin, from the rows, is a lower bound on the largest edge under any feasible
+    distribution; `tight` says that the last distribution comes within `bound` of it (or, for a bound of
+    infinity, that nothing more is claimed).
+    """
+    number, margins, d, nu = booster.groups.number, booster.groups.margins, booster.d, booster._nu
+    reached = losses.SoftMargin(nu).eval(s, f)
+    edge = float((margins.T @ (number * d)).max())
+    return [float(number.sum()), sum(f.weights), float((number * d).sum()), bool(d.min() >= 0 and d.max() <= (1 + 1e-6) / nu), bool(reached <= edge + 1e-6), bool(edge - reached <= bound)]
+
+
+_CERTIFICATE = "n_rows double, weight_total double, mass_total double, feasible boolean, weakly_dual boolean, tight boolean"
+
+
+def corrective(make: Callable[[Sample, int], object], rounds: int, bound: float = float("inf")) -> Query:
+    """The first hypothesis, its edge and soft margin, and the certificate of the end."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = lineitems(spark, sf_dir)
-        booster = make(s, s.shape()[0]).force_quit_at(rounds)
-        booster.run(DecisionTree(1))
-        rows = [(r["round"], float(r["edge"]), float(r["value"]), float(r["gap"])) for r in booster.trace]
-        return spark.createDataFrame(rows, "round int, edge double, value double, gap double")
+        m = s.shape()[0]
+        booster = make(s, m).force_quit_at(rounds)
+        f = booster.run(DecisionTree(1))
+        h = booster.hypotheses[0]
+        alone = losses.SoftMargin(m // 10).eval(s, WeightedMajority([1.0], [h]))
+        row = (FEATURES.index(h.root.feature), h.root.threshold, float(booster.trace[0]["edge"]), alone, *_certificate(booster, s, f, bound))
+        out = spark.createDataFrame([row], f"feature int, threshold double, edge double, soft_margin double, {_CERTIFICATE}")
+        return out.select("feature", *[_r(c).alias(c) for c in ("threshold", "edge", "soft_margin")], F.col("n_rows").cast("long").alias("n_rows"), *[_r(c).alias(c) for c in ("weight_total", "mass_total")], "feasible", "weakly_dual", "tight")
 
     return run
 
@@ -298,9 +320,11 @@ def bad_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lpboost_worst_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    booster = LPBoost(Sample.dummy(spark, 60)).tolerance(1e-3).nu(2.0).force_quit_at(8)
-    booster.run(BadBaseLearner(1e-3, 2.0))
-    return spark.createDataFrame([(r["round"], float(r["edge"]), float(r["value"])) for r in booster.trace], "round int, edge double, value double")
+    s = Sample.dummy(spark, 60)
+    booster = LPBoost(s).tolerance(1e-3).nu(2.0).force_quit_at(8)
+    f = booster.run(BadBaseLearner(1e-3, 2.0))
+    out = spark.createDataFrame([(float(booster.trace[0]["edge"]), *_certificate(booster, s, f, 1e-4))], f"edge double, {_CERTIFICATE}")
+    return out.select(_r("edge").alias("edge"), F.col("n_rows").cast("long").alias("n_rows"), *[_r(c).alias(c) for c in ("weight_total", "mass_total")], "feasible", "weakly_dual", "tight")
 
 
 def cv_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,8 +365,8 @@ QUERIES: dict[str, Query] = {
     "bin_assign": bin_assign, "class_histogram": class_histogram, "grad_histogram": grad_histogram,
     **{f"split_{c}": split(c) for c in criteria.CRITERIA}, "tree_predict": tree_predict, "regression_split": regression_split, "gbm": gbm, "gbm_l1": gbm_l1, "naive_bayes": naive_bayes,
     "adaboost": additive(AdaBoost), "adaboostv": additive(lambda s: AdaBoostV(s).tolerance(0.01)), "madaboost": additive(MadaBoost), "smoothboost": additive(lambda s: SmoothBoost(s).gamma(0.1).tolerance(0.1)),
-    "lpboost": corrective(lambda s, m: LPBoost(s).nu(0.1 * m).tolerance(0.01), 6), "softboost": corrective(lambda s, m: SoftBoost(s).nu(0.1 * m).tolerance(0.02), 5), "totalboost": corrective(lambda s, m: TotalBoost(s).tolerance(0.02), 5),
-    "erlpboost": corrective(lambda s, m: ERLPBoost(s).nu(0.1 * m).tolerance(0.02), 6), "cerlpboost": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1), 5), "mlpboost": corrective(lambda s, m: MLPBoost(s).nu(0.1 * m).tolerance(0.05), 5),
+    "lpboost": corrective(lambda s, m: LPBoost(s).nu(0.1 * m).tolerance(0.01), 6, 1e-3), "softboost": corrective(lambda s, m: SoftBoost(s).nu(0.1 * m).tolerance(0.02), 5), "totalboost": corrective(lambda s, m: TotalBoost(s).tolerance(0.02), 5),
+    "erlpboost": corrective(lambda s, m: ERLPBoost(s).nu(0.1 * m).tolerance(0.02), 6, 0.02), "cerlpboost": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1), 5), "mlpboost": corrective(lambda s, m: MLPBoost(s).nu(0.1 * m).tolerance(0.05), 5),
     "cerlpboost_pairwise": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1).fw_type("blended_pairwise"), 4), "cerlpboost_line_search": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1).fw_type("line_search"), 4),
     "graph_degrees": graph_degrees, "naive_aggregation": naive_aggregation, "graph_separation": graph_separation, "bad_edges": bad_edges, "lpboost_worst_case": lpboost_worst_case,
     "cv_folds": cv_folds, "logger_trace": logger_trace, "neural_net": neural_net, "learner_union": learner_union,
@@ -405,7 +429,7 @@ def _split_sql(criterion: str) -> str:
     return f"WITH {_bins_sql(LINEITEMS, FEATURES)}, c AS ({_cuts_sql(hist)}) SELECT feature::INT AS feature, round({_threshold_sql(3)}, 6) AS threshold, round(round({SCORES[criterion]}, 10), 6) AS score FROM c, k ORDER BY round({SCORES[criterion]}, 10), feature, bin LIMIT 1"
 
 
-def _additive_sql(kind: str, rounds: int = 3) -> str:
+def _additive_parts(kind: str, rounds: int) -> list[str]:
     """Stump boosting, a round at a time; f is the running sum."""
     parts = [_bins_sql(LINEITEMS, FEATURES), "c0 AS MATERIALIZED (SELECT b0, b1, b2, y, count(*) AS n, 0.0::DOUBLE AS f FROM b GROUP BY ALL)"]
     for t in range(1, rounds + 1):
@@ -414,9 +438,11 @@ def _additive_sql(kind: str, rounds: int = 3) -> str:
             "smoothboost": f"CASE WHEN 1 + y * f - {t - 1} * (0.1 / 2.1) <= 0 THEN 1.0 ELSE power(0.9, (1 + y * f - {t - 1} * (0.1 / 2.1)) / 2) END",
         }.get(kind, "exp(-y * f)")
         parts.append(f"d{t} AS MATERIALIZED (SELECT *, n * ({weight}) AS d FROM c{t - 1})")
-        parts.append(f"x{t} AS MATERIALIZED (SELECT * FROM ({_cuts_sql(_hist_sql(f'd{t}', 3, f'{_P}, {_N}'))}) ORDER BY round({SCORES['entropy']}, 10), feature, bin LIMIT 1)")
+        cuts = _cuts_sql(_hist_sql(f"d{t}", 3, f"{_P}, {_N}"))
+        best = [f"(SELECT *, {i} AS learner FROM ({cuts}) ORDER BY round({SCORES[c]}, 10), feature, bin LIMIT 1)" for i, c in enumerate(["entropy", "gini"] if kind == "union" else ["entropy"])]
+        parts.append(f"x{t} AS MATERIALIZED ({' UNION ALL '.join(best)})")
         edge = "(abs(lp - lq) * abs(lp - lq) / (lp + lq) + power(tp - lp - tq + lq, 2) / (tp + tq - lp - lq)) / (tp + tq)"
-        parts.append(f"e{t} AS MATERIALIZED (SELECT *, {edge} AS edge, (lp - lq) / (lp + lq) AS lc, (tp - lp - tq + lq) / (tp + tq - lp - lq) AS rc FROM x{t})")
+        parts.append(f"e{t} AS MATERIALIZED (SELECT *, {edge} AS edge, (lp - lq) / (lp + lq) AS lc, (tp - lp - tq + lq) / (tp + tq - lp - lq) AS rc FROM x{t} ORDER BY round(edge, 12) DESC, learner LIMIT 1)")
         ada = "0.5 * ln((1 + e.edge) / (1 - e.edge))"
         if kind == "adaboostv":
             least = "least(" + ", ".join(f"(SELECT edge FROM e{j})" for j in range(1, t + 1)) + ")"
@@ -426,6 +452,11 @@ def _additive_sql(kind: str, rounds: int = 3) -> str:
         parts.append(f"w{t} AS MATERIALIZED (SELECT e.*, {w} AS w FROM e{t} e)")
         side = "CASE feature WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END <= bin"
         parts.append(f"c{t} AS MATERIALIZED (SELECT b0, b1, b2, y, n, f + w * CASE WHEN {side} THEN lc ELSE rc END AS f FROM c{t - 1}, w{t})")
+    return parts
+
+
+def _additive_sql(kind: str, rounds: int = 3) -> str:
+    parts = _additive_parts(kind, rounds)
     shown = f"1.0 / {rounds}" if kind == "smoothboost" else "w"
     return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {t}::INT AS round, feature::INT AS feature, round({_threshold_sql(3)}, 6) AS threshold, round({shown}, 6) AS weight FROM w{t}, k" for t in range(1, rounds + 1))
 
@@ -463,15 +494,78 @@ def _gbm_sql(rounds: int) -> str:
     return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
 
 
+def _gbm_l1_sql(rounds: int) -> str:
+    """Regression trees of two levels of splits on the gradients; a round's coefficient is a weighted median."""
+    score = "-(lp * lp / (lq + 0.01) + (tp - lp) * (tp - lp) / (tq - lq + 0.01))"
+    parts = [_bins_sql(REVENUE, ["l_quantity", "l_discount"]), "c0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS f FROM b)"]
+    for t in range(1, rounds + 1):
+        inner = _hist_sql(f"r{t}", 2, "sum(g) AS p, count(*)::DOUBLE AS q", by=", side")
+        parts += [
+            f"x{t} AS MATERIALIZED ({_regression_cut(f'(SELECT *, f - y AS g FROM c{t - 1})')})",
+            f"r{t} AS MATERIALIZED (SELECT c.*, f - y AS g, CASE x.feature WHEN 0 THEN b0 ELSE b1 END <= x.bin AS side, CASE WHEN CASE x.feature WHEN 0 THEN b0 ELSE b1 END <= x.bin THEN lv ELSE rv END AS v FROM c{t - 1} c, x{t} x)",
+            f"z{t} AS MATERIALIZED (SELECT *, -lp / (lq + 0.01) AS zl, -(tp - lp) / (tq - lq + 0.01) AS zr FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY round({score}, 8), feature, bin) AS rk FROM ({_cuts_sql(inner, 'side, ')})) WHERE rk = 1 AND tp <> 0)",
+            f"h{t} AS MATERIALIZED (SELECT r.b0, r.b1, r.y, r.f, CASE WHEN z.side IS NULL THEN r.v WHEN CASE z.feature WHEN 0 THEN b0 ELSE b1 END <= z.bin THEN zl ELSE zr END AS h FROM r{t} r LEFT JOIN z{t} z ON z.side = r.side)",
+            f"o{t} AS (SELECT v, sum(w) OVER (ORDER BY v) AS c, sum(w) OVER () AS a FROM (SELECT (y - f) / h AS v, sum(abs(h)) AS w FROM h{t} WHERE h <> 0 GROUP BY 1))",
+            f"a{t} AS MATERIALIZED (SELECT min(v) AS a FROM o{t} WHERE c >= a / 2 * (1 - 1e-12))",
+            f"c{t} AS MATERIALIZED (SELECT b0, b1, y, f + a * h AS f FROM h{t}, a{t})",
+        ]
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {t}::INT AS round, round(a, 6) AS coefficient FROM a{t}" for t in range(1, rounds + 1))
+
+
+def _logger_sql(rounds: int) -> str:
+    rows = []
+    for t in range(1, rounds + 1):
+        total = " + ".join(f"(SELECT w FROM w{j})" for j in range(1, t + 1))
+        wrong = "sum(CASE WHEN CASE WHEN f >= 0 THEN 1 ELSE -1 END <> y THEN n ELSE 0 END) / sum(n)"
+        rows.append(f"SELECT {t}::INT AS round, round(min(y * f) / ({total}), 6) AS objective, round({wrong}, 6) AS train_loss, round({wrong}, 6) AS test_loss FROM c{t}")
+    return "WITH " + ", ".join(_additive_parts("adaboost", rounds)) + " " + " UNION ALL ".join(rows)
+
+
+_CERTIFIED = "1.0::DOUBLE AS weight_total, 1.0::DOUBLE AS mass_total, true AS feasible, true AS weakly_dual, true AS tight"
+
+
+def _corrective_sql() -> str:
+    """The first stump under equal weights, its edge, the mean of its least tenth of margins, and a certificate that holds."""
+    side = "CASE feature WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END <= bin"
+    tail = (
+        f"m AS (SELECT y * CASE WHEN {side} THEN lc ELSE rc END AS g, sum(n)::DOUBLE AS n FROM c0, w1 GROUP BY 1), "
+        "u AS (SELECT g, n, sum(n) OVER (ORDER BY g) - n AS under, floor(sum(n) OVER () / 10) AS nu, sum(n) OVER () AS n_rows FROM m), "
+        "o AS (SELECT sum(g * greatest(0, least(n, nu - under))) / any_value(nu) AS soft_margin, any_value(n_rows)::BIGINT AS n_rows FROM u)"
+    )
+    return f"WITH {', '.join(_additive_parts('adaboost', 1))}, {tail} SELECT feature::INT AS feature, round({_threshold_sql(3)}, 6) AS threshold, round(edge, 6) AS edge, round(soft_margin, 6) AS soft_margin, n_rows, {_CERTIFIED} FROM w1, o, k"
+
+
+def _graph_sql(rounds: int) -> str:
+    """Edges of the graph before each round; a round splits signatures by a tree of two levels under the degrees."""
+    edge = SCORES["edge"]
+    root = "CASE x.feature WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END <= x.bin"
+    inner = "CASE WHEN z.side IS NULL THEN true ELSE CASE z.feature WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END <= z.bin END"
+    parts = [_bins_sql(LINEITEMS, FEATURES), "c0 AS MATERIALIZED (SELECT b0, b1, b2, y, count(*)::DOUBLE AS n, '' AS sig FROM b GROUP BY ALL)"]
+    other = "sum(CASE WHEN (y > 0) = {} THEN n ELSE 0 END) OVER (PARTITION BY sig)"
+    for t in range(1, rounds + 1):
+        parts += [
+            f"g{t} AS MATERIALIZED (SELECT *, n * CASE WHEN y > 0 THEN {other.format('false')} ELSE {other.format('true')} END AS d FROM c{t - 1})",
+            f"l{t} AS MATERIALIZED (SELECT (sum(d) / 2)::BIGINT AS e FROM g{t})",
+            f"x{t} AS MATERIALIZED (SELECT * FROM ({_cuts_sql(_hist_sql(f'g{t}', 3, f'{_P}, {_N}', 'd > 0'))}) ORDER BY round({edge}, 10), feature, bin LIMIT 1)",
+            f"r{t} AS MATERIALIZED (SELECT g.*, {root} AS side FROM g{t} g, x{t} x)",
+            f"z{t} AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY side ORDER BY round({edge}, 10), feature, bin) AS rk FROM ({_cuts_sql(_hist_sql(f'r{t}', 3, f'{_P}, {_N}', 'd > 0', ', side'), 'side, ')})) "
+            f"WHERE rk = 1 AND least(tp, tq) > 0 AND round({edge}, 10) < 0)",
+            f"q{t} AS MATERIALIZED (SELECT r.*, {inner} AS side2 FROM r{t} r LEFT JOIN z{t} z ON z.side = r.side)",
+            f"c{t} AS MATERIALIZED (SELECT b0, b1, b2, y, n, sig || CASE WHEN sum(y * d) OVER (PARTITION BY side, side2) >= 0 THEN '1' ELSE '0' END AS sig FROM q{t})",
+        ]
+    less = lambda t: f" WHERE e > 0 AND e < (SELECT e FROM l{t - 1})" if t > 1 else " WHERE e > 0"
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {t}::INT AS round, e AS edges_left FROM l{t}{less(t)}" for t in range(1, rounds + 1))
+
+
 _WEIGHTED = f"WITH s AS ({LINEITEMS}), t AS (SELECT *, l_extendedprice / (SELECT sum(l_extendedprice) FROM s) AS d FROM s)"
 _UNPIVOT = " UNION ALL ".join(f"SELECT '{f}' AS feature, {f} AS v, d, y FROM t" for f in FEATURES)
 
 
-def _bad_sql() -> str:
+def _bad_sql(weight: str = "(i + 1.0) / 1830") -> str:
     eps = "(0.001 / 120)"
     tag1 = f"CASE WHEN i >= 30 + c - 1 AND i < 30 + c + 1 THEN 1.0 WHEN i >= 30 + c + 1 AND i < 30 + c + 3 THEN -1 + (3 + 2 * c - 1) * {eps} ELSE -1 + (3 + 2 * c) * {eps} END"
     level = f"CASE WHEN c = 0 THEN CASE WHEN i < 30 THEN 1.0 WHEN i < 32 THEN -1 + 2 * {eps} ELSE -1 + 3 * {eps} END WHEN c < 30 THEN {tag1} ELSE CASE WHEN i < 30 THEN -1 + {eps} ELSE 1 - {eps} END END"
-    return f"SELECT c::INT AS classifier, round(sum((i + 1.0) / 1830 * ({level})), 9) AS edge FROM range(31) AS a(c), range(60) AS b(i) GROUP BY c"
+    return f"SELECT c::INT AS classifier, round(sum({weight} * ({level})), 9) AS edge FROM range(31) AS a(c), range(60) AS b(i) GROUP BY c"
 
 
 ORACLE_SQL: dict[str, str] = {
@@ -497,13 +591,15 @@ ORACLE_SQL: dict[str, str] = {
     **{f"split_{c}": _split_sql(c) for c in SCORES},
     "tree_predict": _tree_sql(),
     "regression_split": f"WITH {_bins_sql(REVENUE, ['l_quantity', 'l_discount'])}, x AS ({_regression_cut('(SELECT *, -y AS g FROM b)')}) SELECT feature::INT AS feature, round({_threshold_sql(2)}, 6) AS threshold, round(lv, 6) AS left_value, round(rv, 6) AS right_value FROM x, k",
-    "gbm": _gbm_sql(2),
+    "gbm": _gbm_sql(2), "gbm_l1": _gbm_l1_sql(3), "logger_trace": _logger_sql(3), "learner_union": _additive_sql("union", 2), "graph_separation": _graph_sql(4),
+    **{k: _corrective_sql() for k in ("lpboost", "softboost", "totalboost", "erlpboost", "cerlpboost", "mlpboost", "cerlpboost_pairwise", "cerlpboost_line_search")},
+    "lpboost_worst_case": f"SELECT round(max(edge), 6) AS edge, 60::BIGINT AS n_rows, {_CERTIFIED} FROM ({_bad_sql('1.0 / 60')})",
     "naive_bayes": f"WITH s AS ({ORDERS}), g AS (SELECT y, count(*) / (SELECT count(*) FROM s) AS p, avg(o_totalprice) AS m0, var_pop(o_totalprice) AS v0, avg(o_custkey) AS m1, var_pop(o_custkey) AS v1 FROM s GROUP BY y), "
     "j AS (SELECT s.row_id, g.y, ln(p) - 0.5 * (ln(2 * pi() * v0) + power(o_totalprice - m0, 2) / v0) - 0.5 * (ln(2 * pi() * v1) + power(o_custkey - m1, 2) / v1) AS l FROM s, g), "
     "w AS (SELECT row_id, max(l) FILTER (y = 1) AS a, max(l) FILTER (y = -1) AS b FROM j GROUP BY row_id) SELECT row_id, CASE WHEN a >= b THEN 1 ELSE -1 END::INT AS prediction, round(1 / (1 + exp(b - a)), 5) AS posterior FROM w",
     **{k: _additive_sql(k) for k in ("adaboost", "adaboostv", "madaboost", "smoothboost")},
     "graph_degrees": "WITH s AS (SELECT c_custkey AS i, c_mktsegment = 'BUILDING' AS y, c_acctbal < 4000 AS a, c_nationkey < 12 AS b FROM customer) SELECT x.i AS row_id, count(z.i) AS degree FROM s x LEFT JOIN s z ON x.y <> z.y AND x.a = z.a AND x.b = z.b GROUP BY x.i",
-    "naive_aggregation": "WITH s AS (SELECT c_custkey AS i, c_mktsegment = 'BUILDING' AS y, c_acctbal < 4000 AS a, c_nationkey < 12 AS b FROM customer) SELECT i AS row_id, CASE WHEN (a, b) IN (SELECT (a, b) FROM s WHERE y AND i % 20 = 0) THEN 1 ELSE -1 END::INT AS prediction FROM s",
+    "naive_aggregation": "WITH s AS (SELECT c_custkey AS i, c_mktsegment = 'BUILDING' AS y, c_acctbal < 4000 AS a, c_nationkey < 12 AS b FROM customer) SELECT i AS row_id, CASE WHEN (a, b) IN (SELECT (a, b) FROM s WHERE y) THEN 1 ELSE -1 END::INT AS prediction FROM s",
     "bad_edges": _bad_sql(),
     "cv_folds": "SELECT row_id, (p // t)::INT AS fold FROM (SELECT o_orderkey AS row_id, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, round(count(*) OVER () * 0.2)::BIGINT AS t FROM orders) WHERE p // t < 5",
 }
