@@ -2,9 +2,13 @@
 
 All terms of the examples are indexed, and norms are over whole texts: a word that no example has counts in
 its text's norm.  The index holds a bounded sample of labelled examples, so it is broadcast; every text is a query against
-it and rows are never exchanged.  A query bounds the score of each block of examples by the terms'
-largest weights there, works through blocks in the order of these bounds, and stops at the first block
-whose bound is under the k-th best score so far: the k nearest are exact.
+it and rows are never exchanged.
+
+Examples stand in blocks of alike ones.  Rare terms have postings; the weights of frequent terms are kept by
+block, with each term's largest weight in the block.  A query adds up the postings of its rare terms, bounds
+every block's best score by these sums and the frequent terms' largest weights, and takes the frequent
+terms' own weights only in blocks whose bound reaches the k-th best score so far: the k nearest are exact.
+Texts are searched in batches, so that bounds and scores are products of matrices.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ from pyspark.sql import functions as F
 from boostloom.llm import words as W
 
 SLICE = 4 << 20
-BLOCK = 32
+#: Examples of a block, and texts that are searched together.
+BLOCK, BATCH = 32, 256
 
 
 def remainder(id_col: Column, modulus: int) -> Column:
@@ -31,20 +36,39 @@ def remainder(id_col: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def alike(rows: np.ndarray, size: int) -> np.ndarray:
+    """An order of the rows in which each `size` neighbours are alike: halved along the direction of most variance, again and again."""
+    out, todo = [], [np.arange(len(rows))]
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            out.append(at)
+            continue
+        x = rows[at] - rows[at].mean(0)
+        direction = x[np.argmax((x * x).sum(1))]
+        for _ in range(8):
+            direction = x.T @ (x @ direction)
+            direction /= max(np.linalg.norm(direction), 1e-300)
+        by = at[np.argsort(np.round(x @ direction, 9), kind="stable")]
+        half = -(-len(at) // (2 * size)) * size
+        todo += [by[half:], by[:half]]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 @dataclass
 class Index:
-    """Postings by term and block of examples.
+    """Examples in blocks of BLOCK; columns of `dense` and `top` are examples and blocks.
 
-    Term t has the entries pointer[t]:pointer[t + 1] of `block`, `top` (largest weight) and `begin`;
-    entry e has the postings begin[e]:begin[e + 1] of `example` and `weight`.
+    Term t is the row often[t] of `dense` (weights) and `top` (largest weight by block) if that isn't -1, and
+    else has the postings pointer[t]:pointer[t + 1] of `example` and `weight`.
     """
 
     terms: np.ndarray
     idf: np.ndarray
-    pointer: np.ndarray
-    block: np.ndarray
+    often: np.ndarray
+    dense: np.ndarray
     top: np.ndarray
-    begin: np.ndarray
+    pointer: np.ndarray
     example: np.ndarray
     weight: np.ndarray
     ids: np.ndarray
@@ -52,51 +76,70 @@ class Index:
     texts: dict[int, np.ndarray]  # examples by the hash of their text
 
     @staticmethod
-    def build(terms: np.ndarray, idf: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray, ids: np.ndarray, labels: np.ndarray, texts: np.ndarray | None = None) -> Index:
-        """From (example, term, count) triples; ids ascend, so that ties go to the smaller id."""
-        weight = normalised(example, idf[term] * (1 + np.log(count)), len(ids))
+    def build(terms: np.ndarray, idf: np.ndarray, example: np.ndarray, term: np.ndarray, count: np.ndarray, ids: np.ndarray, labels: np.ndarray, texts: np.ndarray | None = None, share: float = 1 / 16) -> Index:
+        """From (example, term, count) triples; terms of such a share of the examples are frequent."""
+        n = len(ids)
+        weight = normalised(example, idf[term] * (1 + np.log(count)), n)
+        frequent = np.flatnonzero(np.bincount(term, minlength=len(terms)) >= max(1, share * n)) if n else np.zeros(0, np.int64)
+        often = np.full(len(terms), -1)
+        often[frequent] = np.arange(len(frequent))
+        blocks = -(-n // BLOCK)
+        dense = np.zeros((len(frequent), blocks * BLOCK))
+        mine = often[term] >= 0
+        dense[often[term[mine]], example[mine]] = weight[mine]
+        order = alike(np.ascontiguousarray(dense[:, :n].T), BLOCK)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        dense[:, :n] = dense[:, order]
+        example, term, weight = place[example[~mine]], term[~mine], weight[~mine]
         by = np.lexsort((example, term))
-        example, term, weight = example[by], term[by], weight[by]
-        n_blocks = len(ids) // BLOCK + 1
-        cell = term.astype(np.int64) * n_blocks + example // BLOCK
-        new = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        top = np.maximum.reduceat(weight, new) if len(new) else np.zeros(0)
-        pointer = np.searchsorted(cell[new] // n_blocks, np.arange(len(terms) + 1))
+        pointer = np.searchsorted(term[by], np.arange(len(terms) + 1))
         same: dict[int, np.ndarray] = {}
         if texts is not None:
-            same = {int(k): np.flatnonzero(texts == k) for k in np.unique(texts)}
-        return Index(terms, idf, pointer, (cell[new] % n_blocks).astype(np.int32), top, np.r_[new, len(cell)].astype(np.int32), example.astype(np.int32), weight, ids, labels, same)
-
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine over 0 (fewer if there are no more), nearest first, and their cosines."""
-        n_blocks = self.pointer[term + 1] - self.pointer[term]
-        entry = _spans(self.pointer[term], n_blocks)
-        if not len(entry):
-            return np.zeros(0, np.int64), np.zeros(0)
-        factor, block = np.repeat(weight, n_blocks), self.block[entry]
-        bound = np.bincount(block, factor * self.top[entry])
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        best, score = np.zeros(0, np.int64), np.zeros(0)
-        at, step = 0, 8
-        while at < len(order):
-            if len(best) >= k and bound[order[at]] < score[k - 1] - 1e-12:
-                break
-            take = np.zeros(len(bound), bool)
-            take[order[at : at + step]] = True
-            use = np.flatnonzero(take[block])
-            begin = self.begin[entry[use]]
-            size = self.begin[entry[use] + 1] - begin
-            flat = _spans(begin, size)
-            sums = np.bincount(self.example[flat], self.weight[flat] * np.repeat(factor[use], size))
-            found = np.flatnonzero(sums > 0)
-            if without is not None:
-                found = found[~np.isin(found, without)]
-            best, score = np.r_[best, found], np.r_[score, sums[found]]
-            by = np.lexsort((best, -np.round(score, 12)))[:k]
-            best, score = best[by], score[by]
-            at, step = at + step, step * 4
-        return best, np.minimum(score, 1.0)
+            same = {int(k): np.flatnonzero(texts[order] == k) for k in np.unique(texts)}
+        top = dense.reshape(len(frequent), blocks, BLOCK).max(2) if blocks else np.zeros((len(frequent), 0))
+        return Index(terms, idf, often, dense, top, pointer, example[by].astype(np.int32), weight[by], ids[order], labels[order], same)
+
+    def nearest(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, n_docs: int, k: int, without: list[np.ndarray | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each document: the k examples of largest cosine over 0 (fewer if there are no more), nearest first, ties to smaller ids, and their cosines."""
+        blocks = self.top.shape[1]
+        if not blocks:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * n_docs
+        query = np.zeros((n_docs, len(self.dense)))
+        mine = self.often[term] >= 0
+        query[doc[mine], self.often[term[mine]]] = weight[mine]
+        doc, term, weight = doc[~mine], term[~mine], weight[~mine]
+        size = self.pointer[term + 1] - self.pointer[term]
+        flat = _spans(self.pointer[term], size)
+        cell = np.repeat(doc * (blocks * BLOCK), size) + self.example[flat]
+        rare = np.bincount(cell, np.repeat(weight, size) * self.weight[flat], minlength=n_docs * blocks * BLOCK).astype(float).reshape(n_docs, blocks * BLOCK)
+        for i, x in enumerate(without or []):
+            if x is not None:
+                rare[i, x] = -np.inf
+        rare[:, len(self.ids) :] = -np.inf
+        bound = query @ self.top + rare.reshape(n_docs, blocks, BLOCK).max(2)
+        score = np.full(rare.shape, -np.inf)
+
+        def take(which: np.ndarray) -> None:
+            for b in np.flatnonzero(which.any(0)):
+                rows, columns = np.flatnonzero(which[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                score[rows, columns] = rare[rows, columns] + query[rows] @ self.dense[:, columns]
+
+        first = min(blocks, -(-k // BLOCK) + 4)
+        ranked = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        begun = np.zeros(bound.shape, bool)
+        np.put_along_axis(begun, ranked, True, axis=1)
+        take(begun)
+        kth = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
+        take((bound >= np.maximum(kth, 0)[:, None] - 1e-9) & ~begun)
+        np.round(score, 12, out=score)
+        kth = -np.partition(-score, min(k, score.shape[1]) - 1, axis=1)[:, min(k, score.shape[1]) - 1]
+        out = []
+        for i in range(n_docs):
+            found = np.flatnonzero(score[i] >= max(kth[i], 1e-12))
+            found = found[np.lexsort((self.ids[found], -score[i, found]))[:k]]
+            out.append((found, np.minimum(score[i, found], 1.0)))
+        return out
 
 
 def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -108,7 +151,7 @@ def _spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 def normalised(owner: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
     """Weights over the Euclidean norm of their owner's."""
     norm = np.sqrt(np.bincount(owner, weight * weight, minlength=n))
-    return weight / norm[owner] if len(weight) else weight
+    return weight / np.maximum(norm[owner], 1e-300) if len(weight) else weight
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
@@ -138,9 +181,8 @@ class Model:
     alone: float
 
     def vote(self, best: np.ndarray, cosine: np.ndarray) -> float:
-        """The neighbours' labels, weighted by the inverse of their distance."""
-        weight = 1 / (1.05 - cosine)
-        return float(np.dot(weight, self.index.labels[best]) / weight.sum())
+        """The neighbours' labels, weighted by their nearness, the cosine."""
+        return float(np.dot(cosine, self.index.labels[best]) / cosine.sum())
 
     def score(self, vote: float) -> float:
         if not len(self.steps):
@@ -185,24 +227,30 @@ def collect_terms(rows: DataFrame, label: str) -> pd.DataFrame:
     return out.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 6000, k: int = 15, held_out_mod: int | None = 5) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_examples: int = 6000, k: int = 100, held_out_mod: int | None = 5, relevance: bool = True) -> Model:
     """Fit on at most `max_examples` labelled documents, those with the least xxhash64 of their id.
 
     Labels count where they are 0 or 1 (the largest, if a document has several) and, with
     `held_out_mod`, where crc32(doc_id as text) modulo it isn't 0.  Terms are runs of letters, digits
-    and non-ASCII characters in lower case; the cosine is over all of them.  Votes are calibrated by isotonic regression over each example's vote among those of other texts.
+    and non-ASCII characters in lower case; the cosine is over all of them, with the weights
+    (1 + ln tf) * ln((1 + n) / (1 + df)).  With `relevance` they are multiplied by the relevance frequency
+    log2(2 + a / max(1, df - a)), where a counts the examples of label 1 that have the term: 1 for most terms,
+    so that none is left out, and more for those that go with the label, without which a few toxic words
+    don't show in the cosine of a long text.  Votes are calibrated by isotonic regression over each
+    example's vote among those of other texts.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
     if held_out_mod:
         known = known.filter(remainder(F.col("doc_id"), held_out_mod) != 0)
     known = known.groupBy(F.col("doc_id").alias("example_id")).agg(F.max(label_col).cast("double").alias("label"))
     known = known.orderBy(F.xxhash64("example_id"), "example_id").limit(max_examples)
-    joined = docs.join(F.broadcast(known), F.col("doc_id") == F.col("example_id"))  # at most max_examples rows
-    joined = joined.select("doc_id", F.col("text").cast("string").alias("text"), "label")
-    return fit_terms(collect_terms(joined, "double"), k)
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    joined = texts.join(F.broadcast(known), F.col("doc_id") == F.col("example_id"))  # at most max_examples rows
+    joined = joined.select("doc_id", "text", "label")
+    return fit_terms(collect_terms(joined, "double"), k, relevance)
 
 
-def fit_terms(rows: pd.DataFrame, k: int) -> Model:
+def fit_terms(rows: pd.DataFrame, k: int, relevance: bool = True) -> Model:
     ids, labels = rows["doc_id"].to_numpy(np.int64), rows["label"].to_numpy(float)
     n, n_positive = len(ids), labels.sum()
     none = np.zeros(0, np.int64)
@@ -214,18 +262,21 @@ def fit_terms(rows: pd.DataFrame, k: int) -> Model:
     example = np.repeat(np.arange(n), [len(h) for h in hashes])
     vocabulary, term = np.unique(np.concatenate(hashes), return_inverse=True)
     df = np.bincount(term, minlength=len(vocabulary)).astype(float)
-    idf = np.log((1 + n) / (1 + df)) + 1
+    idf = np.log((1 + n) / (1 + df))
+    if relevance:
+        positive = np.bincount(term, labels[example], minlength=len(vocabulary))
+        idf *= np.log2(2 + positive / np.maximum(df - positive, 1))
     texts = rows["text"].to_numpy(np.int64)
     index = Index.build(vocabulary, idf, example, term, counts, ids, labels, texts)
     model = Model(index, k, np.zeros(0), np.zeros(0), base)
     weight = normalised(example, idf[term] * (1 + np.log(counts)), n)
     cut = np.searchsorted(example, np.arange(n + 1))
     votes = np.full(n, np.nan)
-    for i in range(n):
-        a, b = cut[i], cut[i + 1]
-        best, cosine = index.nearest(term[a:b], weight[a:b], k, index.texts[int(texts[i])])
-        if len(best):
-            votes[i] = model.vote(best, cosine)
+    for i in range(0, n, BATCH):
+        a, b, m = cut[i], cut[min(n, i + BATCH)], min(n, i + BATCH) - i
+        for j, (best, cosine) in enumerate(index.nearest(example[a:b] - i, term[a:b], weight[a:b], m, k, [index.texts[int(x)] for x in texts[i : i + m]])):
+            if len(best):
+                votes[i + j] = model.vote(best, cosine)
     voted = ~np.isnan(votes)
     model.alone = float((labels[~voted].sum() + base) / ((~voted).sum() + 1))
     model.steps, model.values = isotonic(votes[voted], labels[voted], base)
@@ -241,17 +292,19 @@ def _scores(model: Model, part: pa.RecordBatch, doc: np.ndarray, h: np.ndarray,
     else:
         term, known = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
     # a term of no example weighs what one of document frequency 0 does
-    idf = np.where(known, index.idf[term], np.log(1 + len(index.ids)) + 1) if len(index.terms) else np.ones(len(h))
+    idf = np.where(known, index.idf[term], np.log(1 + len(index.ids))) if len(index.terms) else np.ones(len(h))
     weight = normalised(doc, idf * (1 + np.log(count)), n)[known]
     doc, term = doc[known], term[known]
     cut = np.searchsorted(doc, np.arange(n + 1))
     scores, proofs = np.full(n, model.alone), [[] for _ in range(n)]
-    for i in np.unique(doc):
-        a, b = cut[i], cut[i + 1]
-        best, cosine = index.nearest(term[a:b], weight[a:b], model.k, index.texts.get(_text_key(part.column(1)[int(i)])))
-        if len(best):
-            scores[i] = model.score(model.vote(best, cosine))
-            proofs[i] = [{"doc_id": int(index.ids[x]), "label": int(index.labels[x]), "cosine": float(c)} for x, c in zip(best[:evidence], cosine, strict=False)]
+    for first in range(0, n, BATCH):
+        last = min(n, first + BATCH)
+        a, b = cut[first], cut[last]
+        same = [index.texts.get(_text_key(x)) if x.is_valid else None for x in part.column(1).slice(first, last - first)]
+        for i, (best, cosine) in enumerate(index.nearest(doc[a:b] - first, term[a:b], weight[a:b], last - first, model.k, same), first):
+            if len(best):
+                scores[i] = model.score(model.vote(best, cosine))
+                proofs[i] = [{"doc_id": int(index.ids[x]), "label": int(index.labels[x]), "cosine": float(c)} for x, c in zip(best[:evidence], cosine, strict=False)]
     return scores, proofs
 
 
