@@ -78,12 +78,13 @@ def fit(docs: DataFrame, lang_col: str = "lang", max_docs: int = 6000, held_out_
     """
     from boostloom.llm.toxicity import remainder
 
-    known = docs.filter(F.col(lang_col).isNotNull() & F.col("text").isNotNull())
+    known = docs.select("doc_id", F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    known = known.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     if held_out_mod:
         known = known.filter(remainder(F.col("doc_id"), held_out_mod) != 0)
     chosen = known.select(F.col("doc_id").alias("pick_id")).distinct().orderBy(F.xxhash64("pick_id"), "pick_id").limit(max_docs)
     rows = known.join(F.broadcast(chosen), F.col("doc_id") == F.col("pick_id"))  # at most max_docs rows
-    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    rows = rows.select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

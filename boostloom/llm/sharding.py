@@ -71,9 +71,8 @@ def assign_shards(rows: DataFrame, key: str, shards: list[str], slots: int = 655
         raise ValueError("the key must not be called slot or shard")
     table = lookup_table(rows.sparkSession, shards, slots)
     kept = rows.drop("slot", "shard")
-    placed = kept.withColumn("__slot", slot_of(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), slots))
-    joined = placed.join(F.broadcast(table), F.col("__slot") == F.col("slot"), "left")
-    return joined.drop("__slot")
+    at = slot_of(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("")), slots)
+    return kept.join(F.broadcast(table), at == F.col("slot"), "left")
 
 
 def weights_of(shards: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from boostloom.llm import words as W
 
@@ -263,9 +264,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, text_col: str = "text", id
     keyed = rows.withColumn("key", F.coalesce("id", F.lit(NO_ID)))
     marks = marks.select(F.col("id").alias("mark_key"), F.col("tag").alias("mark_tag"), "runs")
     joined = keyed.join(marks, (F.col("key") == F.col("mark_key")) & (F.col("tag") == F.col("mark_tag")), "left")
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    if with_text:
-        schema += ", removed array<struct<begin: long, end: long>>, kept_text string"
-    if with_row:
-        schema += f", row {rows.schema['row'].dataType.simpleString()}"
+    schema = StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string" + ", removed array<struct<begin: long, end: long>>, kept_text string" * with_text)
+    if with_row:  # names of any characters
+        schema = schema.add(rows.schema["row"])
     return joined.select("id", "text", "runs", *["row"] * with_row).mapInArrow(_cut(width, with_text), schema)
