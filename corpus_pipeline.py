@@ -28,8 +28,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each class of near duplicates (similarity 0.8, five words)."""
-    kept = near_dups(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = near_dups(docs).filter("kept").select("doc_id").distinct()
+    return docs.alias("every").join(kept.alias("kept"), F.col("every.doc_id").eqNullSafe(F.col("kept.doc_id")), "left_semi")
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
