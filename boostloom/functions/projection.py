@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,21 +30,38 @@ def capped(log_weight: np.ndarray, number: np.ndarray, cap: float) -> np.ndarray
     return np.maximum(back, 0.0)
 
 
-def capped_rows(rows: DataFrame, log_weight: Column, nu: float, name: str = "d") -> DataFrame:
+def capped_rows(rows: DataFrame, log_weight: Column, nu: float, name: str = "d", few: int = 10_000, bins: int = 512) -> DataFrame:
     """Add the projected weight of each row, with the cap 1 / nu.
 
-    Rows of one weight are counted first; the running sums go over the distinct weights only.
+    The heaviest weight that isn't capped is looked for as a quantile is: a histogram narrows the interval
+    that it lies in until few rows are left there; each round is one aggregate, and nothing is sorted as a whole.
     """
     keyed = rows.withColumn("__l", log_weight)
-    top = keyed.agg(F.max("__l")).first()[0]
-    groups = keyed.groupBy("__l").agg(F.count(F.lit(1)).alias("__n"))
-    up = Window.orderBy("__l").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.orderBy(F.desc("__l")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = groups.select("__l", F.sum(F.col("__n") * F.exp(F.col("__l") - top)).over(up).alias("rest"), F.coalesce(F.sum("__n").over(down), F.lit(0)).alias("before"))
-    fits = (1 - F.col("before") / nu) * F.exp(F.col("__l") - top) <= F.col("rest") / nu * (1 + 1e-12)
-    found = sums.filter(fits).orderBy(F.desc("__l")).limit(1).collect()
-    if not found:
+    low, high = keyed.agg(F.min("__l"), F.max("__l")).first()
+    top, before, under = high, 0.0, 0.0  # rows over the interval, mass under it
+    fits = lambda l, before, rest: (1 - before / nu) * math.exp(l - top) <= rest / nu * (1 + 1e-12)
+    found = None  # the largest weight so far that fits
+    while low is not None:
+        inside = keyed.filter((F.col("__l") >= low) & (F.col("__l") <= high))
+        width = (high - low) / bins
+        cell = F.least(F.floor((F.col("__l") - low) / width), F.lit(bins - 1)) if width and low + width > low else F.lit(0)
+        mass = F.sum(F.exp(F.col("__l") - top))
+        table = sorted(inside.groupBy(cell.alias("c")).agg(F.count(F.lit(1)).alias("n"), mass.alias("mass"), F.min("__l").alias("a"), F.max("__l").alias("b")).collect(), reverse=True)
+        last = len(table) == 1 or sum(r["n"] for r in table) <= few  # a few rows, or values as close as doubles can be
+        if last:
+            groups = sorted(inside.groupBy(F.col("__l").alias("b")).agg(F.count(F.lit(1)).alias("n"), mass.alias("mass")).collect(), reverse=True)
+        over, rest = None, under + sum(r["mass"] for r in (groups if last else table))
+        for r in groups if last else table:
+            if fits(r["b"], before, rest):
+                found = (r["b"], before, rest)
+                break
+            over, before, rest = (r, before), before + r["n"], rest - r["mass"]
+        if last or over is None or over[0]["a"] == over[0]["b"]:
+            break
+        (r, before), under = over, rest  # one that is larger can only be in the last cell whose largest doesn't fit
+        low, high = r["a"], r["b"]
+    if found is None:
         return keyed.withColumn(name, F.lit(1.0 / nu)).drop("__l")
-    l, rest, before = found[0]
+    l, before, rest = found
     scale = (1 - before / nu) / rest
     return keyed.withColumn(name, F.when(F.col("__l") > l, F.lit(1.0 / nu)).otherwise(F.lit(scale) * F.exp(F.col("__l") - top))).drop("__l")

@@ -5,7 +5,8 @@ from boostloom.operators.base import Classifier, Regressor, WeakLearner
 from boostloom.operators.combined import NaiveAggregation, WeightedMajority
 from boostloom.operators.naive_bayes import GaussianNB
 from boostloom.operators.neural import NeuralNetwork
+from boostloom.operators.sparse import SparseDecisionTree
 from boostloom.operators.trees import DecisionTree, RegressionTree
 from boostloom.operators.union import LearnerUnion
 
-__all__ = ["BadBaseLearner", "Classifier", "DecisionTree", "GaussianNB", "LearnerUnion", "NaiveAggregation", "NeuralNetwork", "RegressionTree", "Regressor", "WeakLearner", "WeightedMajority"]
+__all__ = ["BadBaseLearner", "Classifier", "DecisionTree", "GaussianNB", "LearnerUnion", "NaiveAggregation", "NeuralNetwork", "RegressionTree", "Regressor", "SparseDecisionTree", "WeakLearner", "WeightedMajority"]

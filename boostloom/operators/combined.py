@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boostloom.operators.base import Classifier, Regressor
@@ -96,6 +96,22 @@ class NaiveAggregation(Classifier):
     def from_slice(hypotheses: list[Classifier], signatures: DataFrame) -> NaiveAggregation:
         return NaiveAggregation(hypotheses, signatures)
 
+    @staticmethod
+    def of(hypotheses: list[Classifier], signatures: list[str]) -> NaiveAggregation:
+        """From a list of signatures, as JSON has them."""
+        rows = SparkSession.active().createDataFrame([(s,) for s in signatures], "signature string")
+        return NaiveAggregation(hypotheses, rows)
+
+    def _known(self) -> list[str]:
+        known = [r[0] for r in self.signatures.limit(10_001).collect()]
+        if len(known) > 10_000:
+            raise ValueError("too many signatures for a list; use predict_rows()")
+        return known
+
+    def to_json(self) -> str:
+        """Only for few signatures, as confidence()."""
+        return json.dumps({"kind": "naive_aggregation", "hypotheses": [json.loads(h.to_json()) for h in self.hypotheses], "signatures": sorted(self._known())})
+
     @staticmethod
     def signature(hypotheses: list[Classifier], binned: bool = False) -> Column:
         bits = [F.when(h.confidence(binned) >= 0, "1").otherwise("0") for h in hypotheses]
@@ -103,9 +119,7 @@ class NaiveAggregation(Classifier):
 
     def confidence(self, binned: bool = False) -> Column:
         """Only for few signatures: they become a list in the expression.  predict_rows() has no such bound."""
-        known = [r[0] for r in self.signatures.limit(10_001).collect()]
-        if len(known) > 10_000:
-            raise ValueError("too many signatures for an expression; use predict_rows()")
+        known = self._known()
         return F.when(self.signature(self.hypotheses, binned).isin(known), 1.0).otherwise(-1.0) if known else F.lit(-1.0)
 
     def predict_rows(self, rows: DataFrame, name: str = "prediction", binned: bool = False) -> DataFrame:

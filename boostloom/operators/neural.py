@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -58,6 +59,29 @@ def one_hot(y: np.ndarray, n: int) -> np.ndarray:
     return hot[:, None].astype(float) if n == 1 else np.eye(n)[np.minimum(hot, n - 1)]
 
 
+@dataclass(frozen=True)
+class NNLoss:
+    """A network's loss, squares or cross entropy: its mean over rows, and its gradient by the last layer's input.
+
+    With softmax or sigmoid outputs for cross entropy, and id for squares, that gradient is p - target.
+    """
+
+    kind: str = "cross_entropy"
+
+    def value(self, p: np.ndarray, target: np.ndarray) -> float:
+        if self.kind == "l2":
+            return float(((p - target) ** 2).sum(1).mean() / 2)
+        if target.shape[1] == 1:
+            p, target = np.c_[1 - p, p], np.c_[1 - target, target]
+        return float(-(target * np.log(np.maximum(p, 1e-300))).sum(1).mean())
+
+    def gradient(self, p: np.ndarray, target: np.ndarray) -> np.ndarray:
+        return p - target
+
+
+L2, CROSS_ENTROPY = NNLoss("l2"), NNLoss("cross_entropy")
+
+
 class Network:
     """Layers of matrices with a bias."""
 
@@ -71,14 +95,23 @@ class Network:
             x = f(x @ w + b)
         return x
 
-    def train(self, x: np.ndarray, target: np.ndarray, rate: float) -> None:
-        """One gradient step; the output's delta is p - target (softmax or sigmoid with cross entropy, id with squares)."""
+    def to_dict(self) -> dict:
+        return {"activations": [[f.kind, f.value] for f in self.activations], "weights": [w.tolist() for w in self.weights], "bias": [b.tolist() for b in self.bias]}
+
+    @staticmethod
+    def from_dict(d: dict) -> Network:
+        out = Network([], [Activation(*f) for f in d["activations"]], np.random.default_rng(0))
+        out.weights, out.bias = [np.array(w, float) for w in d["weights"]], [np.array(b, float) for b in d["bias"]]
+        return out
+
+    def train(self, x: np.ndarray, target: np.ndarray, rate: float, loss: NNLoss = CROSS_ENTROPY) -> None:
+        """One gradient step against the loss."""
         inputs, sums = [], []
         for w, b, f in zip(self.weights, self.bias, self.activations, strict=True):
             inputs.append(x)
             sums.append(x @ w + b)
             x = f(sums[-1])
-        delta = x - target
+        delta = loss.gradient(x, target)
         for i in reversed(range(len(self.weights))):
             back = delta @ self.weights[i].T
             self.weights[i] -= rate * inputs[i].T @ delta
@@ -91,10 +124,19 @@ class Network:
         return {"mean": float(flat.mean()), "min": float(flat.min()), "max": float(flat.max()), "n": float(flat.size)}
 
 
-class NetworkClassifier(Classifier):
+class _Scored:
+    kind = ""
+
     def __init__(self, network: Network, features: list[str]):
         self.network, self.features = network, features
 
+    def to_json(self) -> str:
+        return json.dumps({"kind": self.kind, "features": self.features, "network": self.network.to_dict()})
+
+
+class NetworkClassifier(_Scored, Classifier):
+    kind = "network_classifier"
+
     def confidence(self, binned: bool = False) -> Column:
         network = self.network
 
@@ -108,9 +150,8 @@ class NetworkClassifier(Classifier):
         return run(F.struct(*[col(f) for f in self.features]))
 
 
-class NetworkRegressor(Regressor):
-    def __init__(self, network: Network, features: list[str]):
-        self.network, self.features = network, features
+class NetworkRegressor(_Scored, Regressor):
+    kind = "network_regressor"
 
     def predict(self, binned: bool = False) -> Column:
         network = self.network
@@ -184,5 +225,5 @@ class NeuralNetwork(WeakLearner):
                 x, y = part[features].to_numpy(float), part[TARGET].to_numpy(float)
                 target = one_hot(y, out) if self._task == "binary" else y[:, None]
                 for _ in range(self._iterations):
-                    network.train(x, target, self._rate / batch)
+                    network.train(x, target, self._rate / batch, CROSS_ENTROPY if self._task == "binary" else L2)
         return NetworkClassifier(network, features) if self._task == "binary" else NetworkRegressor(network, features)

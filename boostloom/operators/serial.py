@@ -6,14 +6,19 @@ import json
 
 
 def from_dict(d: dict):
-    from boostloom.operators.combined import WeightedMajority
+    from boostloom.operators.combined import NaiveAggregation, WeightedMajority
     from boostloom.operators.naive_bayes import GaussianClassifier
+    from boostloom.operators.neural import Network, NetworkClassifier, NetworkRegressor
     from boostloom.operators.trees import Node, TreeClassifier, TreeRegressor
 
     if d["kind"] == "weighted_majority":
         return WeightedMajority(d["weights"], [from_dict(h) for h in d["hypotheses"]])
     if d["kind"] == "gaussian_nb":
         return GaussianClassifier(d["classes"])
+    if d["kind"] == "naive_aggregation":
+        return NaiveAggregation.of([from_dict(h) for h in d["hypotheses"]], d["signatures"])
+    if d["kind"].startswith("network_"):
+        return {"network_classifier": NetworkClassifier, "network_regressor": NetworkRegressor}[d["kind"]](Network.from_dict(d["network"]), d["features"])
     return {"tree_classifier": TreeClassifier, "tree_regressor": TreeRegressor}[d["kind"]](Node.from_dict(d["root"]))
 
 

@@ -14,6 +14,10 @@ from boostloom.lineage import cut
 from boostloom.sources.sample import TARGET, Sample
 
 
+#: Hypotheses up to which the table of signatures is broadcast: rows of one signature then needn't meet.
+FEW = 16
+
+
 class GraphSepBoost(Booster):
     """Two rows are joined while their labels differ and all hypotheses predict the same for both.
 
@@ -37,6 +41,8 @@ class GraphSepBoost(Booster):
         df = self.train.df.drop("__degree")
         of = df.groupBy("__sig").agg(F.sum(F.when(F.col(TARGET) > 0, F.col("n")).otherwise(0)).alias("__pos"), F.sum(F.when(F.col(TARGET) > 0, 0).otherwise(F.col("n"))).alias("__neg"))
         of = of.withColumnRenamed("__sig", "__s")
+        if len(self.hypotheses) <= FEW:  # 2 ** FEW signatures at most
+            of = F.broadcast(of)
         rows = df.join(of, F.col("__sig") == F.col("__s")).withColumn("__degree", F.when(F.col(TARGET) > 0, F.col("__neg")).otherwise(F.col("__pos"))).drop("__s", "__pos", "__neg")
         return rows
 

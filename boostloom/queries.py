@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from boostloom.functions import losses, projection, stats
 from boostloom.operators import BadBaseLearner, DecisionTree, GaussianNB, LearnerUnion, NaiveAggregation, NeuralNetwork, RegressionTree, WeightedMajority
-from boostloom.operators import binning, criteria, neural, trees
+from boostloom.operators import binning, criteria, neural, sparse, trees
 from boostloom.operators.trees import Node, TreeClassifier
 from boostloom.plans import GBM, AdaBoost, AdaBoostV, CERLPBoost, CrossValidation, ERLPBoost, GraphSepBoost, LoggerBuilder, LPBoost, MadaBoost, MLPBoost, SmoothBoost, SoftBoost, TotalBoost
 from boostloom.sources.sample import Sample, validation
@@ -181,6 +181,29 @@ def grad_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.histogram(train.df, s.features, F.lit(0), sums).select("feature", "bin", _r("g", 4).alias("g"), "h")
 
 
+def _sparse(spark: SparkSession, sf_dir: str) -> Sample:
+    """The line items as rows of (index, value), without the zeros; four more indices are 0 in most rows."""
+    rows = lineitems(spark, sf_dir).df
+    entries = F.map_from_arrays(F.array(*[F.lit(i) for i in range(3)]), F.array(*[F.col(f) for f in FEATURES]))
+    rare = F.map_from_arrays(F.array(F.lit(3) + F.col("l_quantity").cast("int") % 4), F.array(F.when(F.col("l_discount") > 0.09, F.col("l_tax")).otherwise(0.0)))
+    return sparse.sparse_sample(rows.select("y", F.map_filter(F.map_concat(entries, rare), lambda _, v: v != 0).alias("features")))
+
+
+def sparse_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = sparse.SparseDecisionTree().prepare(_sparse(spark, sf_dir))
+    p, q = _masses()
+    table = sparse.sparse_histogram(train.df, train.extra["bins"], train.extra["few"], F.lit(0), p, q)
+    return table.filter("positive + negative > 0").select("feature", "bin", "positive", "negative")
+
+
+def sparse_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _sparse(spark, sf_dir)
+    h = sparse.SparseDecisionTree(1, "entropy").fit(s)
+    feature, threshold, left, right = h.root
+    rows = [(feature, threshold, left, right, h.edge)]
+    return spark.createDataFrame(rows, "feature int, threshold double, left_value double, right_value double, edge double").select("feature", *[_r(c).alias(c) for c in ("threshold", "left_value", "right_value", "edge")])
+
+
 def split(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         train = _prepared(spark, sf_dir)
@@ -362,7 +385,7 @@ QUERIES: dict[str, Query] = {
     "sample_validate": sample_validate, "sample_features": sample_features, "sample_targets": sample_targets, "sample_dummy": sample_dummy,
     "weighted_moments": weighted_moments, "label_moments": label_moments, "edges": edges, "regression_losses": regression_losses, "entropy_kl": entropy_kl,
     "objectives": objectives, "capped_projection": capped_projection, "weighted_median": weighted_median,
-    "bin_assign": bin_assign, "class_histogram": class_histogram, "grad_histogram": grad_histogram,
+    "bin_assign": bin_assign, "class_histogram": class_histogram, "grad_histogram": grad_histogram, "sparse_histogram": sparse_histogram, "sparse_tree": sparse_tree,
     **{f"split_{c}": split(c) for c in criteria.CRITERIA}, "tree_predict": tree_predict, "regression_split": regression_split, "gbm": gbm, "gbm_l1": gbm_l1, "naive_bayes": naive_bayes,
     "adaboost": additive(AdaBoost), "adaboostv": additive(lambda s: AdaBoostV(s).tolerance(0.01)), "madaboost": additive(MadaBoost), "smoothboost": additive(lambda s: SmoothBoost(s).gamma(0.1).tolerance(0.1)),
     "lpboost": corrective(lambda s, m: LPBoost(s).nu(0.1 * m).tolerance(0.01), 6, 1e-3), "softboost": corrective(lambda s, m: SoftBoost(s).nu(0.1 * m).tolerance(0.02), 5), "totalboost": corrective(lambda s, m: TotalBoost(s).tolerance(0.02), 5),
@@ -568,6 +591,20 @@ def _bad_sql(weight: str = "(i + 1.0) / 1830") -> str:
     return f"SELECT c::INT AS classifier, round(sum({weight} * ({level})), 9) AS edge FROM range(31) AS a(c), range(60) AS b(i) GROUP BY c"
 
 
+#: The features of the sparse rows as columns, zeros included.
+_SPARSE = ["l_quantity", "l_discount", "l_tax", *[f"CASE WHEN l_quantity::INT % 4 = {i} AND l_discount > 0.09 THEN l_tax ELSE 0 END" for i in range(4)]]
+_SPARSE_BINS = _bins_sql("SELECT y, " + ", ".join(f"{f} AS f{i}" for i, f in enumerate(_SPARSE)) + f" FROM ({LINEITEMS})", [f"f{i}" for i in range(7)])
+
+
+def _sparse_tree_sql() -> str:
+    cuts = _cuts_sql(_hist_sql("(SELECT *, 1.0::DOUBLE AS d FROM b)", 7, f"{_P}, {_N}"))
+    edge = "(power(lp - lq, 2) / (lp + lq) + power(tp - lp - tq + lq, 2) / (tp + tq - lp - lq)) / (tp + tq)"
+    return (
+        f"WITH {_SPARSE_BINS} SELECT feature::INT AS feature, round({_threshold_sql(7)}, 6) AS threshold, round((lp - lq) / (lp + lq), 6) AS left_value, "
+        f"round((tp - lp - tq + lq) / (tp + tq - lp - lq), 6) AS right_value, round({edge}, 6) AS edge FROM ({cuts}), k ORDER BY round({SCORES['entropy']}, 10), feature, bin LIMIT 1"
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "sample_validate": f"SELECT count(*) AS n_rows, count(DISTINCT y) AS n_labels, min(y) AS min_label, max(y) AS max_label, count(*) FILTER (y <> floor(y)) AS n_fractional FROM ({ORDERS})",
     "sample_features": " UNION ALL ".join(f"SELECT '{f}' AS feature, count({f}) AS n_rows, count(DISTINCT {f}) AS n_distinct, count(*) FILTER ({f} = 0) AS n_zero, min({f}) AS min_value, max({f}) AS max_value FROM lineitem" for f in FEATURES),
@@ -588,6 +625,8 @@ ORACLE_SQL: dict[str, str] = {
     "bin_assign": f"WITH {_bins_sql(ORDERS, ['o_totalprice', 'o_custkey'], ', row_id')} SELECT row_id, b0 AS price_bin, b1 AS customer_bin FROM b",
     "class_histogram": f"WITH {_bins_sql(LINEITEMS, FEATURES)} SELECT feature::INT AS feature, bin, p AS positive, q AS negative FROM ({_hist_sql('(SELECT *, 1.0::DOUBLE AS d FROM b)', 3, f'{_P}, {_N}')})",
     "grad_histogram": f"WITH {_bins_sql(REVENUE, ['l_quantity', 'l_discount'])} SELECT feature::INT AS feature, bin, round(g, 4) AS g, h FROM ({_hist_sql('b', 2, 'sum(10.0 - y) AS g, count(*)::DOUBLE AS h')})",
+    "sparse_histogram": f"WITH {_SPARSE_BINS} SELECT feature::INT AS feature, bin, p AS positive, q AS negative FROM ({_hist_sql('(SELECT *, 1.0::DOUBLE AS d FROM b)', 7, f'{_P}, {_N}')})",
+    "sparse_tree": _sparse_tree_sql(),
     **{f"split_{c}": _split_sql(c) for c in SCORES},
     "tree_predict": _tree_sql(),
     "regression_split": f"WITH {_bins_sql(REVENUE, ['l_quantity', 'l_discount'])}, x AS ({_regression_cut('(SELECT *, -y AS g FROM b)')}) SELECT feature::INT AS feature, round({_threshold_sql(2)}, 6) AS threshold, round(lv, 6) AS left_value, round(rv, 6) AS right_value FROM x, k",

@@ -6,12 +6,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from boostloom.functions.losses import L1, L2
 from boostloom import queries
-from boostloom.operators import BadBaseLearner, DecisionTree, GaussianNB, LearnerUnion, NaiveAggregation, NeuralNetwork, RegressionTree, WeightedMajority, binning, criteria, neural, trees
+from boostloom.functions.losses import L1, L2
+from boostloom.functions.projection import capped, capped_rows
+from boostloom.operators import BadBaseLearner, DecisionTree, GaussianNB, LearnerUnion, NaiveAggregation, NeuralNetwork, RegressionTree, SparseDecisionTree, WeightedMajority, binning, criteria, neural, trees
 from boostloom.operators.base import edge_of
 from boostloom.operators.serial import from_json
+from boostloom.operators.sparse import sparse_sample, value_of
 from boostloom.operators.trees import Node, TreeClassifier
+from boostloom.plans import AdaBoost
 from boostloom.sources.sample import Sample
 from boostloom.streaming import score_stream
 from tests.test_samples import TOY
@@ -269,3 +272,68 @@ def test_scoring_a_stream(spark, toy, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scored").filter("prediction = y").count() == 7
+
+
+def sparse_rows(spark, n=400, features=12, seed=0):
+    """Rows of (row_id, y, map), and the same as a matrix; indices are far apart and one is never there."""
+    rng = np.random.default_rng(seed)
+    index = np.arange(features) * 1000 + 3
+    x = np.where(rng.random((n, features)) < 0.25, rng.integers(-4, 9, (n, features)), 0).astype(float)
+    x[:, 1] = rng.integers(1, 5, n)  # in every row
+    y = np.where(x[:, 0] + x[:, 1] - 2 * x[:, 2] + rng.normal(0, 2, n) > 2, 1.0, -1.0)
+    explicit = rng.random((n, features)) < 0.05  # zeros may also be written down
+    rows = [(i, float(y[i]), {int(index[j]): float(x[i, j]) for j in range(features) if x[i, j] or explicit[i, j]}) for i in range(n)]
+    return spark.createDataFrame(rows, "row_id long, y double, features map<int, double>"), x, y, index
+
+
+@pytest.mark.parametrize("criterion,depth", [("entropy", 1), ("gini", 2), ("edge", 3)])
+def test_sparse_trees_are_those_of_dense_columns(spark, criterion, depth):
+    rows, x, _, index = sparse_rows(spark, seed=depth)
+    sparse = SparseDecisionTree(depth, criterion).fit(sparse_sample(rows))
+    columns = [value_of(int(i)).alias(f"f{j:02d}") for j, i in enumerate(index)]
+    dense_rows = rows.select("row_id", "y", "features", *columns)
+    dense = DecisionTree(depth, criterion).fit(Sample(dense_rows, [f"f{j:02d}" for j in range(len(index))]))
+    got = dense_rows.select(sparse.confidence().alias("a"), dense.confidence().alias("b")).collect()
+    assert all(r["a"] == pytest.approx(r["b"]) for r in got) and sparse.edge == pytest.approx(dense.edge)
+
+
+def test_sparse_boosting_and_odd_rows(spark):
+    rows, _, _, index = sparse_rows(spark)
+    f = AdaBoost(sparse_sample(rows)).force_quit_at(3).run(SparseDecisionTree(2))
+    dense = Sample(rows.select("y", *[value_of(int(i)).alias(f"f{j:02d}") for j, i in enumerate(index)]), [f"f{j:02d}" for j in range(len(index))])
+    assert f.weights == pytest.approx(AdaBoost(dense).force_quit_at(3).run(DecisionTree(2, "entropy")).weights)
+    odd = spark.createDataFrame([(1.0, {5: 1.0}), (1.0, {5: 2.0, 7: None}), (-1.0, {}), (-1.0, None), (-1.0, {7: 0.0})], "y double, features map<int, double>")
+    h = SparseDecisionTree(2).fit(sparse_sample(odd))
+    assert [r["prediction"] for r in h.predict_all(sparse_sample(odd)).collect()] == [1, 1, -1, -1, -1] and h.edge == pytest.approx(1)
+    none = SparseDecisionTree(2).fit(sparse_sample(odd.withColumn("features", F.lit(None).cast("map<int,double>"))))
+    assert none.root == pytest.approx(-0.2)
+
+
+def test_json_of_networks_and_aggregations(spark, toy):
+    network = NeuralNetwork().append(4, neural.relu(0.0)).append(2, neural.softmax()).n_epoch(2).n_iter(3).fit(toy)
+    again = from_json(network.to_json())
+    pairs = toy.df.select(network.confidence().alias("a"), again.confidence().alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in pairs)
+    h = NaiveAggregation.learned([DecisionTree(1).fit(toy), DecisionTree(1, "edge").fit(toy)], toy.df)
+    both = toy.df.select(h.predict().alias("a"), from_json(h.to_json()).predict().alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both)
+
+
+def test_network_losses():
+    p, t = np.array([[0.2, 0.8], [0.5, 0.5]]), np.array([[0.0, 1.0], [1.0, 0.0]])
+    assert neural.CROSS_ENTROPY.value(p, t) == pytest.approx(-(np.log(0.8) + np.log(0.5)) / 2)
+    assert neural.CROSS_ENTROPY.value(p[:, 1:], t[:, 1:]) == pytest.approx(-(np.log(0.8) + np.log(0.5)) / 2)
+    assert neural.L2.value(p, t) == pytest.approx((0.08 / 2 + 0.5 / 2) / 2)
+    assert (neural.L2.gradient(p, t) == p - t).all()
+
+
+@pytest.mark.parametrize("kind", ["spread", "two values", "one value", "clusters"])
+def test_capped_rows_match_the_sorted_solution(spark, kind):
+    rng = np.random.default_rng(4)
+    n = 3000
+    l = {"spread": rng.normal(0, 2, n), "two values": rng.integers(0, 2, n) * 3.0, "one value": np.ones(n), "clusters": rng.integers(0, 3, n) + rng.random(n) * 1e-9}[kind]
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(l)], "i long, l double")
+    for nu in (1.0, 40.0, 1500.0, float(n)):
+        got = np.array([r["d"] for r in capped_rows(rows, F.col("l"), nu, few=50, bins=8).orderBy("i").collect()])
+        assert np.allclose(got, capped(l, np.ones(n), 1 / nu), rtol=1e-9, atol=1e-15) and got.sum() == pytest.approx(1)
+    assert capped_rows(rows.limit(0), F.col("l"), 3.0).count() == 0
