@@ -10,9 +10,10 @@ weighs 1 + ln c, so that one line that is repeated all over doesn't make two tex
 2. Nodes that agree in all registers of a band share a bucket.  Each node is paired with the least node
    of each of its buckets; pairs that may reach the threshold by their signatures are verified on whole
    shingle counts, the best of each node first.
-3. Nodes that verified pairs join are contracted.  In buckets that still hold several components, pairs
-   across components are estimated in blocks of bounded size and verified there; blocks return links,
-   not candidates.  Pairs within a component can't change any class.
+3. Nodes that verified pairs join are contracted.  In buckets that still hold several components, the nodes
+   outside the bucket's largest component meet all others in blocks of bounded size, where pairs across
+   components are estimated and verified; blocks return links, not candidates.  Pairs within a
+   component can't change any class, so a bucket's work follows its nodes times those outside.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from boostloom.llm.shared import components, small_batches, written
 SLICE = 1 << 20
 #: Nodes of a side of a block of pairs.
 BLOCK = 384
+#: Rows of a bucket that one task joins with what is known of the bucket.
+SALT = 1024
 #: Rows of a batch: what it holds is in memory several times over.
 BATCH = 256
 #: Standard errors under the threshold down to which an estimate leads to verification.
@@ -164,29 +167,32 @@ def _verify_pairs(threshold: float):
     return run
 
 
-_BLOCK_ROWS = "bucket long, i int, j int, side int, node long, component long, sig binary, bands array<long>"
+_BLOCK_ROWS = "bucket long, i int, j int, side int, major boolean, node long, component long, sig binary, bands array<long>"
 
 
 def _sides(table: pd.DataFrame) -> list[dict[str, np.ndarray]]:
-    """The block's two sides; a side alone meets itself."""
+    """The block's two sides: nodes outside the largest component (0), and nodes that they meet (1)."""
     out = []
     for side in (0, 1):
         x = table[table["side"] == side]
-        if len(x):
-            out.append({"at": x.index.to_numpy(), "node": x["node"].to_numpy(), "component": x["component"].to_numpy(), "sig": np.stack([np.frombuffer(v, "<u2") for v in x["sig"]]), "bands": np.stack(x["bands"].to_numpy())})
-    return out if len(out) == 2 else out * 2
+        if not len(x):
+            return []
+        out.append({"at": x.index.to_numpy(), "node": x["node"].to_numpy(), "component": x["component"].to_numpy(), "major": x["major"].to_numpy(bool), "sig": np.stack([np.frombuffer(v, "<u2") for v in x["sig"]]), "bands": np.stack(x["bands"].to_numpy())})
+    return out
 
 
 def _pairs(table: pd.DataFrame, cut: float) -> Iterator[tuple[int, np.ndarray]]:
     """Row numbers of pairs in different components that agree in a share `cut` of registers, by the row on the left.
 
-    A pair that shares several buckets is taken in the first of its bands only.
+    Of two nodes outside the largest component, the smaller stands on the left.  A pair that shares several
+    buckets is taken in the first of its bands only.
     """
-    if not len(table):
+    sides = _sides(table)
+    if not sides:
         return
-    bucket, (left, right) = table["bucket"].iloc[0], _sides(table)
+    bucket, (left, right) = table["bucket"].iloc[0], sides
     for k in range(len(left["node"])):
-        m = np.flatnonzero((right["component"] != left["component"][k]) & ((right["node"] > left["node"][k]) | (left is not right)))
+        m = np.flatnonzero((right["component"] != left["component"][k]) & (right["major"] | (right["node"] > left["node"][k])))
         m = m[(right["sig"][m] == left["sig"][k]).mean(1) >= cut] if len(m) else m
         if len(m):
             same = right["bands"][m] == left["bands"][k]
@@ -272,16 +278,19 @@ def _classes(source: DataFrame, threshold: float, width: int, bands: int, rows:
     links = written(links.union(_verified(rest.select(F.col("node").alias("a"), F.col("least").alias("b")), bags, threshold)))
     labels = components(links)
 
-    several = _labelled(bucketed.filter("size > 2").select("bucket", "node"), labels, "node", "component")
-    mixed = several.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 <> c2")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows_of = several.join(mixed.select("bucket", "n"), "bucket").withColumn("parts", parts)
-    rows_of = rows_of.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows_of = rows_of.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    placed = rows_of.select(
-        "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"), "node", "component"
-    )
-    blocks = placed.join(nodes.select("node", "sig", "bands"), "node").select("bucket", "i", "j", "side", "node", "component", "sig", "bands")
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SALT)).cast("int")
+    several = written(_labelled(bucketed.filter("size > 2").select("bucket", "node", "size"), labels, "node", "component").withColumn("salt", salt))
+    by_component = several.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
+    largest = F.max(F.struct("m", "component"))
+    mixed = by_component.groupBy("bucket").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"), largest.alias("largest")).filter("k > 1")
+    mixed = mixed.select("bucket", F.col("largest.component").alias("of"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"), F.ceil((F.col("n") - F.col("largest.m")) / BLOCK).cast("int").alias("minor"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / SALT).cast("int") - 1)).alias("salt"))
+    rows_of = several.join(mixed, ["bucket", "salt"]).withColumn("major", F.col("component") == F.col("of"))
+    group = lambda parts: F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+    columns = ["bucket", "i", "j", "side", "major", "node", "component"]
+    left = rows_of.filter("not major").withColumn("i", group("minor")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(0))
+    right = rows_of.withColumn("j", group("parts")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("minor") - 1))).withColumn("side", F.lit(1))
+    placed = left.select(*columns).union(right.select(*columns))
+    blocks = placed.join(nodes.select("node", "sig", "bands"), "node").select(*columns, "sig", "bands")
     involved = written(blocks.groupBy("bucket", "i", "j").applyInPandas(_involved(estimate_cut), _BLOCK_ROWS))
     full = involved.join(bags.dropDuplicates(["node"]), "node")
     links = written(links.union(full.groupBy("bucket", "i", "j").applyInPandas(_verify_block(estimate_cut, threshold), "a long, b long")))
@@ -305,11 +314,11 @@ def near_dups(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: in
     Null and empty texts and texts without words are in no class but their own row's.  Rows of the same
     text are one class whatever their number; rows that repeat an id are judged by their texts, and both
     are kept if one is.  A null id counts as smaller than all others; its class has a null component_id.
-    Other columns are ignored; an empty table gives no rows.  Texts are told apart by 60 bits of their
+    Other columns are ignored; an empty table gives no rows.  Texts are told apart by 64 bits of their
     MD5 digest.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    digest = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    digest = F.conv(F.substring(F.md5(text.cast("binary")), 1, 16), 16, -10).cast("long")
     source = docs.select(F.col(id_col).cast("long").alias("id"), digest.alias("node"), text.alias("text"))
 
     with small_batches(docs.sparkSession, BATCH):
