@@ -6,22 +6,26 @@ their targets.  The rates solve
 
     min  1/2 sum_k ((sum_i r_i n_i p_ik - T_k) / N)^2 + ridge / 2 sum_i (n_i / N) (r_i - 1)^2,   r >= 0
 
-(N: all tokens) by projected gradient with momentum.  In the metric of the second term a step moves r_i
-by a linear function of p_i, so a document's rate after t steps depends on its posterior and on the t
-residual vectors only.  A round is one pass that replays the residuals and sums r n p by partition: what
-travels is one small vector for each partition, and a lost executor costs a recomputation, no state.
+(N: all tokens) by projected gradient: a point moves against the gradient and the rates are its projection
+onto the bounds.  The gradient at a document is a linear function of its posterior, so the point is one small
+vector for all documents, r_i = max(lower, 1 - p_i . point), and no rate is stored.  Steps are
+scaled by the inverse of the second-moment matrix of the posteriors of documents that aren't at their
+bound (domains by domains) and halved until the dual objective rises enough.  A round is one pass that
+sums vectors by partition: what travels is one of them for each partition, and a lost executor costs a
+recomputation, no state.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boostloom.llm import words as W
 from boostloom.llm.shared import written
@@ -87,8 +91,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_cols: tuple[str, ..
     name = F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in label_cols])
     known = known.groupBy(F.col("doc_id").alias("example_id")).agg(F.max(name).alias("label"))
     known = known.orderBy(F.xxhash64("example_id"), "example_id").limit(max_examples)
-    joined = docs.join(F.broadcast(known), F.col("doc_id") == F.col("example_id"))  # at most max_examples rows
-    rows = joined.select("doc_id", F.col("text").cast("string").alias("text"), "label")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(known), F.col("doc_id") == F.col("example_id")).select("doc_id", "text", "label")  # at most max_examples rows
     rows = collect_terms(rows, "string")
     domains = sorted(set(rows["label"]))
     if not domains:
@@ -159,28 +163,22 @@ def _token_counts(buffer: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out + np.bincount(full[(word[at[full]] == 1) & (word[at[full] + 1] == 1)], minlength=len(out))  # a text may touch the one before
 
 
-def rates(p: np.ndarray, history: list[tuple[np.ndarray, float]], least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Rates after the steps of the history, and those at which the next gradient is taken.
-
-    A step is (step length times residuals, then step length times ridge; momentum).
-    """
-    r = y = np.ones(len(p))
-    for direction, momentum in history:
-        after = np.maximum(least, y - p @ direction[:-1] - direction[-1] * (y - 1.0))
-        y, r = after + momentum * (after - r), after
-    return r, y
+def rates(p: np.ndarray, point: np.ndarray, least: float = 0.0) -> np.ndarray:
+    return np.maximum(least, 1.0 - p @ point)
 
 
 @dataclass
 class Mix:
-    """A solution: the steps that give any document's rate, and what the totals come to."""
+    """A solution: the point that gives any document's rate, what the totals come to, and the points on the way."""
 
     domains: list[str]
-    history: list[tuple[np.ndarray, float]]
+    point: np.ndarray
     before: np.ndarray
     targets: np.ndarray
     after: np.ndarray
     lower: float = 0.0
+    converged: bool = True
+    history: list[np.ndarray] = field(default_factory=list)
 
     @property
     def unmet(self) -> dict[str, float]:
@@ -188,68 +186,69 @@ class Mix:
         return dict(zip(self.domains, ((self.targets - self.after) / np.maximum(self.targets, 1.0)).tolist(), strict=True))
 
     def rate(self, p: np.ndarray) -> np.ndarray:
-        return rates(p, self.history, self.lower)[0]
+        return rates(p, self.point, self.lower)
 
 
-def solve(table: DataFrame, domains: list[str], targets: Callable[[np.ndarray], np.ndarray], ridge: float = 1e-4, lower: float = 0.0, most_rounds: int = 60, tolerance: float = 1e-4) -> Mix:
+def solve(table: DataFrame, domains: list[str], targets: Callable[[np.ndarray], np.ndarray], ridge: float = 1e-4, lower: float = 0.0, most_rounds: int | None = None, tolerance: float = 1e-4) -> Mix:
     """Fit the rates over a table of posteriors(), which should be written out: each round reads it once.
 
     `targets` gets the domains' present token totals and returns the wanted ones.  Rates are at least
     `lower` (0 or more; with 1 and targets over the present totals, no document is lost).  Rounds end when each
-    domain's total is within `tolerance` of its own target (as a share of that target), when the objective
-    stands still, or after `most_rounds`; what is missing then is the solution's `unmet`.
+    domain's total is within `tolerance` of its own target (as a share of that target) or when the objective
+    is within a millionth of its dual bound; what is missing then (targets may be out of reach, and the
+    ridge pulls rates to 1) is the solution's `unmet`.  With `most_rounds` they may end before, which
+    `converged` tells.
     """
     k = len(domains)
     sc = table.sparkSession.sparkContext
+    ridge = max(ridge, 1e-9)
 
-    def sums(history: list[tuple[np.ndarray, float]], gram: bool) -> np.ndarray:
-        shared = sc.broadcast(history)
+    def sums(point: np.ndarray) -> np.ndarray:
+        """Totals now and at the rates, tokens times squared moves, tokens, and second moments of the free documents' posteriors."""
+        shared = sc.broadcast(point)
+        size = 2 * k + 2 + k * k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(2 * k + 1 + (k * k + 1 if gram else 0))
+            total = np.zeros(size)
             for batch in batches:
                 p = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
                 n = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
-                r, y = rates(p, shared.value, lower)
-                total[:k] += (n * r) @ p
-                total[k : 2 * k] += (n * y) @ p
-                total[2 * k] += n @ (r - 1) ** 2
-                if gram:
-                    total[2 * k + 1 :] += np.r_[((p * n[:, None]).T @ p).reshape(-1), n.sum()]
+                r = rates(p, shared.value, lower)
+                free = p[r > lower]
+                total += np.r_[n @ p, (n * r) @ p, n @ (r - 1) ** 2, n.sum(), ((free * n[r > lower, None]).T @ free).ravel()]
             yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["total"])
 
         parts = table.select("n_tokens", "posterior").mapInArrow(run, "total array<double>")
         cells = parts.select(F.posexplode("total").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(2 * k + 1 + (k * k + 1 if gram else 0))
+        out = np.zeros(size)
         for row in cells:
             out[row["i"]] = row["x"]
         return out
 
-    first = sums([], True)
-    before, n = first[:k], first[-1]
+    now = sums(np.zeros(k))
+    before, n = now[:k], now[2 * k + 1]
     wanted = np.asarray(targets(before), float)
     if n <= 0:
-        return Mix(domains, [], before, wanted, before, lower)
-    # in the metric of the token shares the Hessian is that of p p' averaged over tokens, plus the ridge
-    step = 1.0 / (float(np.linalg.eigvalsh(first[2 * k + 1 : -1].reshape(k, k) / n).max()) + ridge)
-    history: list[tuple[np.ndarray, float]] = []
-    t, ahead, reached = 1.0, before, before
-    value, still = np.inf, 0
-    for _ in range(most_rounds):
-        after_t = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        history.append((np.r_[step * (ahead - wanted) / n, step * ridge], (t - 1) / after_t))
-        t = after_t
-        now = sums(history, False)
-        reached, ahead = now[:k], now[k : 2 * k]
-        if (np.abs(reached - wanted) <= tolerance * np.maximum(wanted, 1.0)).all():
-            break
-        old, value = value, 0.5 * float((((reached - wanted) / n) ** 2).sum() + ridge * now[2 * k] / n)
-        if value > old:  # momentum overshot: start it again
-            t = 1.0
-        still = still + 1 if abs(old - value) <= 1e-4 * value else 0
-        if still == 3:
+        return Mix(domains, np.zeros(k), before, wanted, before, lower)
+    dual = lambda x, mu: -0.5 * mu @ mu + 0.5 * ridge * x[2 * k] / n + mu @ (x[k : 2 * k] - wanted) / n
+    mu, history, converged = np.zeros(k), [], False
+    while not converged and (most_rounds is None or len(history) < most_rounds):
+        gap = (now[k : 2 * k] - wanted) / n
+        value = 0.5 * gap @ gap + 0.5 * ridge * now[2 * k] / n
+        converged = bool((np.abs(now[k : 2 * k] - wanted) <= tolerance * np.maximum(wanted, 1.0)).all() or value - dual(now, mu) <= 1e-6 * value)
+        if converged:
             break
-    return Mix(domains, history, before, wanted, reached, lower)
+        step = np.linalg.solve(np.eye(k) + now[2 * k + 2 :].reshape(k, k) / (n * ridge), gap - mu)
+        size, rise = 1.0, (gap - mu) @ step
+        while True:
+            after = sums((mu + size * step) / ridge)
+            if dual(after, mu + size * step) >= dual(now, mu) + 1e-4 * size * rise or size < 1e-6:
+                break
+            size /= 2
+        converged = size < 1e-6  # no step is left that rounding lets rise
+        mu, now = mu + size * step, after
+        history.append(mu / ridge)
+    return Mix(domains, mu / ridge, before, wanted, now[k : 2 * k], lower, converged, history)
 
 
 def raised(floor: float = 1.0, shares: dict[str, float] | None = None, domains: list[str] | None = None, most: float | None = None) -> Callable[[np.ndarray], np.ndarray]:
@@ -321,8 +320,8 @@ def resample(docs: DataFrame, model: Classifier, solution: Mix) -> DataFrame:
                 _, p = _posterior(model, buffer, offsets)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(solution.rate(p))], names=["doc_id", "row", "rate"])
 
-    kind = rows.schema["row"].dataType.simpleString()
-    rated = rows.mapInArrow(run, f"doc_id long, row {kind}, rate double")
+    kind = T.StructType([T.StructField("doc_id", T.LongType()), rows.schema["row"], T.StructField("rate", T.DoubleType())])
+    rated = rows.mapInArrow(run, kind)
     copies = _copies("rate")
     repeated = rated.filter(copies > 0).select("row", F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
     return repeated.select(*[F.col("row")[c].alias(c) for c in names])
