@@ -112,6 +112,26 @@ def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups(documents(spark, sf_dir))
 
 
+#: s: weighted shingles of different texts.  Pairs whose shares of weight in common reach the threshold (a bound
+#: on the similarity) are compared; cells count a pair's shingles of equal weights.
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+u AS MATERIALIZED (SELECT t, min(doc_id) AS u, any_value(w) AS w FROM d WHERE len(w) > 0 GROUP BY t),
+s AS MATERIALIZED (SELECT u, s, 1 + ln(count(*)) AS w FROM (SELECT u, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS s FROM u, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS r(i)) GROUP BY u, s),
+total AS MATERIALIZED (SELECT u, sum(w) AS t FROM s GROUP BY u),
+pair AS MATERIALIZED (SELECT x.u AS a, y.u AS b FROM s x JOIN s y ON x.s = y.s AND x.u < y.u JOIN total p ON p.u = x.u JOIN total q ON q.u = y.u
+                      GROUP BY ALL HAVING sum(least(x.w / p.t, y.w / q.t)) >= 0.8 - 1e-9),
+cell AS MATERIALIZED (SELECT a, b, x, y, count(*) AS n FROM (
+  SELECT a, b, s, max(x) AS x, max(y) AS y FROM (SELECT a, b, s, w AS x, 0 AS y FROM pair JOIN s ON u = a UNION ALL SELECT a, b, s, 0, w FROM pair JOIN s ON u = b) GROUP BY a, b, s) GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM (SELECT p.a, p.b, p.n / sum(q.n * greatest(q.x / p.x, q.y / p.y)) AS part FROM cell p JOIN cell q ON p.a = q.a AND p.b = q.b WHERE p.x > 0 AND p.y > 0 GROUP BY p.a, p.b, p.x, p.y, p.n)
+                      GROUP BY a, b HAVING sum(part) >= 0.8),
+way AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach(a, b) AS (SELECT a, b FROM way UNION SELECT r.a, l.b FROM reach r JOIN way l ON r.b = l.a),
+class AS (SELECT u, t, least(u, coalesce(min(b), u)) AS c FROM u LEFT JOIN reach ON a = u GROUP BY u, t)
+SELECT doc_id, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM d LEFT JOIN class ON class.t = d.t AND len(d.w) > 0
+"""
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -140,6 +160,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_cover_tree": OP2_SQL,
+    "op4_near_dups": OP4_SQL,
     "op6_lookup_sharding": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
 }
