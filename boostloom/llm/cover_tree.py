@@ -202,10 +202,10 @@ def centres(sample: pd.DataFrame, sizes: dict[str, int], most: int) -> dict[str,
     return out
 
 
-def _by_label(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """(label, rows, their unit vectors); vectors of one label have one length."""
+def _by_label(batch: pa.RecordBatch, of: dict[str, np.ndarray]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """(label, rows, their unit vectors) for labels with centres; vectors of one label have one length."""
     labels = np.array(batch.column(1).to_pylist(), object)
-    for label in sorted(set(labels)):
+    for label in sorted(set(labels) & of.keys()):
         mine = np.flatnonzero(labels == label)
         x = V.matrix(batch.column(2).take(pa.array(mine)))
         yield label, mine, x / np.sqrt((x * x).sum(1))[:, None]
@@ -215,11 +215,11 @@ def _homes(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
         for batch in batches:
-            home, d = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
-            for label, mine, unit in _by_label(batch):
+            home, d = np.zeros(batch.num_rows, np.int32), np.full(batch.num_rows, np.nan)
+            for label, mine, unit in _by_label(batch, of):
                 far = distance(unit, of[label])
                 home[mine], d[mine] = far.argmin(1), far.min(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(d)], names=["node", "label", "vector", "copies", "home", "far"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(d, mask=np.isnan(d))], names=["node", "label", "vector", "copies", "home", "far"])
 
     return run
 
@@ -232,7 +232,7 @@ def _visits(shared, reach: float):
         for batch in batches:
             n, home = batch.num_rows, batch.column(4).to_numpy()
             row, centre = [np.arange(n)], [home.astype(np.int64)]
-            for label, mine, unit in _by_label(batch):
+            for label, mine, unit in _by_label(batch, of):
                 near = distance(unit, of[label]) <= radii[label][None] + reach + SLACK
                 i, j = np.nonzero(near & (np.arange(len(of[label]))[None] > home[mine][:, None]))
                 row.append(mine[i])
@@ -257,8 +257,9 @@ def near_dups(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
     number.  Repeated rows (same id, vector and label) are one vector and get equal results; a null id
     links with nothing and its component is null.  Other columns are ignored; an empty table gives no rows.
 
-    The sample for the centres is at most `max_sample` vectors, and all labels together have at most
-    `max_centres` (and one each at least): that bounds what is broadcast, not what is compared.
+    The sample for the centres is at most `max_sample` vectors of the `max_centres` largest labels that
+    are more than a chunk, and these labels together have at most `max_centres` and one each: that
+    bounds what is broadcast, not what is compared.  All other labels are one place each.
     """
     spark = vectors.sparkSession
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * threshold)))
@@ -269,18 +270,16 @@ def near_dups(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
     rows = V.rows(named, id_col, vector_col, F.col("__label").alias("label"))
     nodes = rows.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes.select("node", "label", "vector", "copies"))
-    sizes = {r["label"]: r["count"] for r in nodes.groupBy("label").count().collect()}  # a row for each label
+    large = nodes.groupBy("label").count().filter(F.col("count") > CHUNK).orderBy(F.desc("count"), "label").limit(max_centres)
+    sizes = {r["label"]: r["count"] for r in large.collect()}  # at most max_centres rows
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(F.col(label_col).isNotNull() & V.usable(vector_col), F.col(vector_col).cast("array<double>")).alias("v"), key(F.col(vector_col)).alias("l"))
-    sample = nodes.orderBy(F.xxhash64("node"), "node").limit(max_sample).toPandas()
-    missing = set(sizes) - set(sample["label"])
-    if missing:  # labels too rare for the sample: one vector of each
-        rare = nodes.filter(F.col("label").isin(*missing)).groupBy("label").agg(F.min_by("vector", "node").alias("vector"))
-        sample = pd.concat([sample, rare.toPandas()])
-    of = centres(sample, sizes, max_centres) if len(sample) else {}
+    names = spark.createDataFrame([(label,) for label in sizes], "of string")
+    sample = nodes.join(F.broadcast(names), F.col("label") == F.col("of"), "left_semi").orderBy(F.xxhash64("node"), "node").limit(max_sample).toPandas()
+    of = centres(sample, sizes, max_centres) if len(sample) else {}  # a label that the sample misses is one place
     homes = nodes.mapInArrow(_homes(spark.sparkContext.broadcast(of)), "node long, label string, vector array<double>, copies long, home int, far double")
     homes = written(homes)
     radii = {label: np.full(len(c), -np.inf) for label, c in of.items()}
-    for r in homes.groupBy("label", "home").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # a row for each centre
+    for r in homes.filter("far is not null").groupBy("label", "home").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("n")).collect():  # a row for each centre
         radii[r["label"]][r["home"]] = r["far"]
     visits = homes.mapInArrow(_visits(spark.sparkContext.broadcast((of, radii)), reach), "node long, label string, vector array<double>, copies long, centre int, side int")
     visits = written(visits)

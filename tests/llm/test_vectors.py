@@ -129,6 +129,17 @@ def test_near_dups_match_brute_force(spark, monkeypatch):
                     assert (r["n_links"], r["component_id"], r["kept"]) == (count[i], root[i], root[i] == i), (chunk, threshold, i)
 
 
+def test_near_dups_with_few_centres(spark, monkeypatch):
+    """Labels beyond the largest, and those that the sample misses, are one place each; no link is lost."""
+    monkeypatch.setattr(cover_tree, "CHUNK", 4)
+    rng = np.random.default_rng(6)
+    rows = [(i, v.tolist(), i % 9) for i, v in enumerate(rng.normal(size=(90, 8)).astype(np.float32))]
+    count, root = brute_links(rows, 0.6)
+    for most, sample in ((1, 8192), (3, 2), (2048, 1)):
+        got = cover_tree.near_dups(frame(spark, rows), 0.6, max_centres=most, max_sample=sample)
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == {i: (count[i], root[i]) for i, _, _ in rows}
+
+
 def test_near_dups_of_clusters(spark):
     rng = np.random.default_rng(5)
     rows = []
