@@ -1,7 +1,7 @@
 """Language identification as a mixture: proportions by expectation-maximisation over n-gram likelihoods.
 
-The n-grams are three neighbouring letters (word borders count as one), as classes of bytes, so that one
-language's model is a table of fixed size.  A text's n-grams are drawn from a mixture of the languages'
+The n-grams are three neighbouring bytes of letters (word borders count as one; bytes outside ASCII are letters, all told
+apart).  A language's model has a row for each n-gram that the training texts have.  A text's n-grams are drawn from a mixture of the languages'
 tables; EM finds the proportions, and the set of languages is the one of largest penalised likelihood.
 Rows are never exchanged; the broadcast grows with the number of languages only.
 """
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from boostloom.llm import words as W
 
 SLICE = 2 << 20
-#: Byte classes: 0 for borders, 1-26 for letters, the rest for bytes outside ASCII.
-CLASSES = 64
+#: Byte classes: 0 for borders, 1-26 for letters, the rest for the bytes outside ASCII.
+CLASSES = 27 + 128
 CELLS = CLASSES**3
 UNKNOWN = "und"
 _LETTER = re.compile(r"[A-Za-z]")
@@ -30,9 +30,7 @@ def _classes() -> np.ndarray:
     out = np.zeros(256, np.uint32)
     for i in range(26):
         out[65 + i] = out[97 + i] = i + 1
-    high = np.arange(128, 256)
-    out[128:] = 27 + (high * 2654435761 >> 7) % 37
-    out[0xC3] = 27  # leads most letters of western languages
+    out[128:] = np.arange(27, CLASSES)
     return out
 
 
@@ -62,19 +60,26 @@ def _counted(buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Model:
-    """Log likelihoods of cells by language."""
+    """Likelihoods by language of the cells that training texts have, and of any other one (the last row)."""
 
-    def __init__(self, languages: list[str], counts: np.ndarray, alpha: float = 0.05):
-        self.languages = languages
-        total = counts.sum(0, keepdims=True)
-        self.likelihood = ((counts + alpha) / (total + alpha * CELLS)).astype(np.float32)
+    def __init__(self, languages: list[str], cells: np.ndarray, counts: np.ndarray, alpha: float = 0.05):
+        self.languages, self.cells = languages, cells
+        counts = np.vstack([counts, np.zeros(counts.shape[1])])
+        self.rows = ((counts + alpha) / (counts.sum(0) + alpha * len(counts))).astype(np.float32)
+        self._place: np.ndarray | None = None
+
+    def likelihood(self, cell: np.ndarray) -> np.ndarray:
+        if self._place is None:  # made where it is used: it is larger than what it is made of
+            self._place = np.full(CELLS, len(self.cells), np.int32)
+            self._place[self.cells] = np.arange(len(self.cells))
+        return self.rows[self._place[cell]]
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", max_docs: int = 6000, held_out_mod: int | None = 5) -> Model:
     """Fit on whole texts of at most `max_docs` documents with a language, those of least xxhash64 of their id.
 
-    With `held_out_mod`, only documents whose crc32(doc_id as text) modulo it isn't 0.  The number of
-    languages must be small (their tables are broadcast: 1 MB each).
+    With `held_out_mod`, only documents whose crc32(doc_id as text) modulo it isn't 0.  What is broadcast has a
+    number for each language and each n-gram of the training texts.
     """
     from boostloom.llm.toxicity import remainder
 
@@ -101,10 +106,12 @@ def fit(docs: DataFrame, lang_col: str = "lang", max_docs: int = 6000, held_out_
 
     found = rows.mapInArrow(run, "lang string, cells binary, counts binary").toPandas()
     languages = sorted(found["lang"].unique())
-    counts = np.zeros((CELLS, max(1, len(languages))))
-    for lang, cells, n in found.itertuples(index=False):
-        counts[W.unpack_sorted(cells).astype(np.int64), languages.index(lang)] += W.unpack(n)
-    return Model(languages, counts)
+    lists = [W.unpack_sorted(x).astype(np.int64) for x in found["cells"]]
+    every = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+    counts = np.zeros((len(every), max(1, len(languages))))
+    for cells, lang, n in zip(lists, found["lang"], found["counts"], strict=True):
+        counts[np.searchsorted(every, cells), languages.index(lang)] += W.unpack(n)
+    return Model(languages, every, counts)
 
 
 def em(doc: np.ndarray, count: np.ndarray, q: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +145,10 @@ def select_languages(doc: np.ndarray, count: np.ndarray, q: np.ndarray, rounds:
     price = np.log(np.maximum(total, 2)) / 2 + gain * total
     out = np.zeros_like(full)
     out[np.arange(n_docs), best] = 1.0
-    # the full mixture is an upper bound on the likelihood of every set
-    several = np.flatnonzero(value - price > single[np.arange(n_docs), best]) if n_lang > 1 else np.zeros(0, np.int64)
+    # the likelihood is concave: no mixture's is over this one's by more than the steepest slope towards one language
+    slope = np.add.reduceat(q * (count / (q * full.astype(np.float32)[doc]).sum(1))[:, None], new, axis=0).astype(float)
+    most = value + np.maximum(slope.max(1) - total, 0)
+    several = np.flatnonzero(most - price > single[np.arange(n_docs), best]) if n_lang > 1 else np.zeros(0, np.int64)
     if len(several):
         place = np.full(n_docs, -1)
         place[several] = np.arange(len(several))
@@ -150,7 +159,7 @@ def select_languages(doc: np.ndarray, count: np.ndarray, q: np.ndarray, rounds:
         for k in range(2, n_lang + 1):
             allowed = np.zeros((len(several), n_lang))
             np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-            p, v = em(d, c, qq, allowed, 2 * rounds)
+            p, v = em(d, c, qq, allowed, 5 * rounds)
             v = v - (k - 1) * price[several]
             better = v > reached
             out[several[better]], reached = p[better], np.where(better, v, reached)
@@ -176,7 +185,7 @@ def identify(docs: DataFrame, model: Model, rounds: int = 6, gain: float = 0.02)
                 doc, cell, count = _counted(buffer, offsets)
                 if len(doc) and model.languages:
                     rows, place = np.unique(doc, return_inverse=True)
-                    chosen, full = select_languages(place, count, model.likelihood[cell], rounds, gain)
+                    chosen, full = select_languages(place, count, model.likelihood(cell), rounds, gain)
                     texts = part.column(1)
                     for i, row in enumerate(rows):
                         text = texts[int(row)].as_py()
