@@ -256,7 +256,7 @@ def substring_dedup(docs: DataFrame, width: int = 20, text_col: str = "text", id
     ranges = 2 * buckets
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[row] * with_row)
-    tag = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b""))).bitwiseAND(F.lit(0xFFFF))
+    tag = F.crc32(F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")))  # tells rows of one id apart
     rows = rows.withColumn("tag", tag.cast("long"))
     dealt = rows.select("id", "text", "tag").mapInArrow(_first_windows(width, ranges), "part int, blob binary, local boolean")
     found = dealt.groupBy("part").applyInArrow(lambda table: _repeats(table, buckets), "bucket int, blob binary")
