@@ -28,7 +28,7 @@ from boostloom.llm import words as W
 
 SLICE = 4 << 20
 #: Examples of a block, and texts that are searched together.
-BLOCK, BATCH = 32, 256
+BLOCK, BATCH = 32, 64
 
 
 def remainder(id_col: Column, modulus: int) -> Column:
@@ -112,7 +112,7 @@ class Index:
         size = self.pointer[term + 1] - self.pointer[term]
         flat = _spans(self.pointer[term], size)
         cell = np.repeat(doc * (blocks * BLOCK), size) + self.example[flat]
-        rare = np.bincount(cell, np.repeat(weight, size) * self.weight[flat], minlength=n_docs * blocks * BLOCK).astype(float).reshape(n_docs, blocks * BLOCK)
+        rare = np.bincount(cell, np.repeat(weight, size) * self.weight[flat], minlength=n_docs * blocks * BLOCK).astype(float, copy=False).reshape(n_docs, blocks * BLOCK)
         for i, x in enumerate(without or []):
             if x is not None:
                 rare[i, x] = -np.inf
