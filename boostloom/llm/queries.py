@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boostloom.llm import bpe, cover_tree, languages, multi_index, toxicity
+from boostloom.llm.fill_middle import fill_in_middle, restore
+from boostloom.llm.licenses import scan_licenses
 from boostloom.llm.mixing import mix
 from boostloom.llm.near_dups import near_dups
 from boostloom.llm.pitman_yor import language_model
 from boostloom.llm.sharding import assign_shards
+from boostloom.llm.spelling import spelling_variants
 from boostloom.llm.substrings import substring_dedup
 
 #: Shards and slots of op6: 128 slots for each shard, give or take one.
@@ -145,6 +148,50 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (toxicity.remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "mixture")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fill_in_middle(documents(spark, sf_dir))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha(F.col("output")).alias("output_sha256"), sha(restore(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS u, [('0x' || substr(h, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM d),
+c AS (SELECT doc_id, t, u, len(u) AS n, least(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS a, greatest(h[1] % (len(u) + 1), h[2] % (len(u) + 1)) AS b,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT doc_id, t, n, form, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(p || m || s) AS restored_sha256
+FROM p
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir), typo=97)
+
+
+#: CRC-32 by its table, which a rule makes; deletions as strings; chains by recursion.
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) AS r(i)),
+low AS (SELECT coalesce(doc_id::VARCHAR, '') AS i, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents),
+run AS MATERIALIZED (SELECT i, r, count(*) AS n, hex(encode(i || ':' || r)) AS x FROM low WHERE length(r) >= 5 GROUP BY i, r),
+h AS MATERIALIZED (SELECT r, n, xor(list_reduce(list_prepend(4294967295, [('0x' || substr(x, 2 * k + 1, 2))::BIGINT FOR k IN range(length(x) // 2)]), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) AS h FROM run, crc),
+w AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, n FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+del AS MATERIALIZED (SELECT word, k, substr(word, 1, k) || substr(word, k + 2) AS s FROM w, unnest(range(length(word))) AS u(k)),
+pair AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT x.word AS a, y.word AS b FROM del x JOIN del y ON x.s = y.s AND x.k = y.k AND x.word <> y.word
+                      UNION ALL SELECT del.word, w.word FROM del JOIN w ON del.s = w.word UNION ALL SELECT w.word, del.word FROM del JOIN w ON del.s = w.word)),
+best AS MATERIALIZED (SELECT a, count(*) AS n_near, arg_min(b, (-w.n, b)) AS b, max(w.n) AS m FROM pair JOIN w ON w.word = b GROUP BY a),
+f AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * w.n THEN b END AS form, CASE WHEN m >= 2 * w.n THEN m END AS form_n FROM w LEFT JOIN best ON a = w.word),
+way(word, spot) AS (SELECT word, word FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.spot WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.spot AS root, f.n, f.n_near, f.form_n FROM f JOIN way ON way.word = f.word JOIN f AS g ON g.word = way.spot WHERE g.form IS NULL
+"""
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_multi_index": op1_multi_index,
     "op2_cover_tree": op2_cover_tree,
@@ -156,6 +203,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_pitman_yor": op9_pitman_yor,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_spelling": op12_spelling,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL = {
@@ -163,4 +213,6 @@ ORACLE_SQL = {
     "op4_near_dups": OP4_SQL,
     "op6_lookup_sharding": OP6_SQL,
     "op8_substring_dedup": OP8_SQL,
+    "op11_fill_middle": OP11_SQL,
+    "op12_spelling": OP12_SQL,
 }
