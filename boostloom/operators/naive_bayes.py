@@ -16,10 +16,13 @@ LEAST_VARIANCE = 1e-9
 
 
 class GaussianClassifier(Classifier):
-    """Classes (label, prior, mean and variance by feature); its confidence is the label of the largest posterior."""
+    """Classes (label, prior, mean and variance by feature); its confidence is the label of the largest posterior.
 
-    def __init__(self, classes: list[dict]):
-        self.classes = sorted(classes, key=lambda c: c["label"])
+    With `soft`, and labels -1 and 1, the confidence is the posterior of 1 less that of -1.
+    """
+
+    def __init__(self, classes: list[dict], soft: bool = False):
+        self.classes, self.soft = sorted(classes, key=lambda c: c["label"]), soft
 
     def log_joint(self, label: float) -> Column:
         """ln of prior times density."""
@@ -37,6 +40,8 @@ class GaussianClassifier(Classifier):
         return F.exp(self.log_joint(label) - top) / total
 
     def confidence(self, binned: bool = False) -> Column:
+        if self.soft:
+            return self.posterior(1.0) - self.posterior(-1.0)
         best, value = F.lit(float(self.classes[0]["label"])), self.log_joint(self.classes[0]["label"])
         for c in self.classes[1:]:
             here = self.log_joint(c["label"])
@@ -44,12 +49,15 @@ class GaussianClassifier(Classifier):
         return best
 
     def to_json(self) -> str:
-        return json.dumps({"kind": "gaussian_nb", "classes": self.classes})
+        return json.dumps({"kind": "gaussian_nb", "classes": self.classes, "soft": self.soft})
 
 
 class GaussianNB(WeakLearner):
     name = "Gaussian Naive Bayes"
 
+    def __init__(self, soft: bool = False):
+        self._soft = soft
+
     def prepare(self, sample: Sample, keep_rows: bool = False) -> Prepared:
         out = super().prepare(sample, keep_rows)
         out.extra["features"] = sample.features
@@ -72,5 +80,6 @@ class GaussianNB(WeakLearner):
         spread = rows.groupBy(TARGET).agg(*[(F.sum(F.col("__w") * (F.col(f"`{f}`") - mean_of(i)) ** 2) / F.sum("__w")).alias(f"v{i}") for i, f in enumerate(features)])
         variances = {r[TARGET]: r for r in spread.collect()}
         return GaussianClassifier(
-            [{"label": r[TARGET], "prior": r["__t"] / total, "features": {f: (r[f"m{i}"], max(variances[r[TARGET]][f"v{i}"], LEAST_VARIANCE)) for i, f in enumerate(features)}} for r in means]
+            [{"label": r[TARGET], "prior": r["__t"] / total, "features": {f: (r[f"m{i}"], max(variances[r[TARGET]][f"v{i}"], LEAST_VARIANCE)) for i, f in enumerate(features)}} for r in means],
+            self._soft,
         )

@@ -14,7 +14,7 @@ def from_dict(d: dict):
     if d["kind"] == "weighted_majority":
         return WeightedMajority(d["weights"], [from_dict(h) for h in d["hypotheses"]])
     if d["kind"] == "gaussian_nb":
-        return GaussianClassifier(d["classes"])
+        return GaussianClassifier(d["classes"], d.get("soft", False))
     if d["kind"] == "naive_aggregation":
         return NaiveAggregation.of([from_dict(h) for h in d["hypotheses"]], d["signatures"])
     if d["kind"].startswith("network_"):

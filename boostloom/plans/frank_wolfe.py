@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 
+from boostloom.plans.programs import Programs
+
 #: The kinds of steps.
 KINDS = ("classic", "short_step", "line_search", "blended_pairwise")
 
@@ -13,8 +13,8 @@ KINDS = ("classic", "short_step", "line_search", "blended_pairwise")
 class FrankWolfe:
     """Moves weights towards one hypothesis.
 
-    `distribution(w)` gives the row weights that the smoothed objective has at w (its gradient is the
-    edges under them); margins are groups by hypotheses, number the groups' sizes, eta the smoothing.
+    The smoothed soft margin's gradient are the edges under its distribution; `programs` knows these, the widest
+    change of a margin along a direction, and the best step along it.
     """
 
     def __init__(self, eta: float, kind: str = "classic"):
@@ -22,43 +22,26 @@ class FrankWolfe:
             raise ValueError(f"{kind} isn't one of {', '.join(KINDS)}")
         self.eta, self.kind = eta, kind
 
-    def next(self, w: np.ndarray, new: int, t: int, margins: np.ndarray, number: np.ndarray, distribution: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    def next(self, w: np.ndarray, new: int, t: int, programs: Programs, nu: float) -> np.ndarray:
         """Weights after round t (from 1), in which the hypothesis `new` had the largest edge."""
         target = np.zeros(len(w))
         target[new] = 1.0
         if not w.sum():
             return target
-        if self.kind == "blended_pairwise":
-            return self._pairwise(w, new, margins, number, distribution)
         if self.kind == "classic":
-            step = 2.0 / (t + 1)
-        else:
-            d = distribution(w)
-            apart = margins @ (target - w)
-            step = self._short(d, apart, number) if self.kind == "short_step" else self._search(w, target - w, 1.0, margins, number, distribution)
-        return interior_point(w, target, step)
-
-    def _short(self, d: np.ndarray, apart: np.ndarray, number: np.ndarray) -> float:
-        widest = float(np.abs(apart).max())
-        return float(np.clip((number * d) @ apart / (self.eta * widest**2), 0.0, 1.0)) if widest else 0.0
-
-    @staticmethod
-    def _search(w: np.ndarray, direction: np.ndarray, most: float, margins: np.ndarray, number: np.ndarray, distribution) -> float:
-        """The step where the concave objective's slope changes its sign, by bisection to 1e-9."""
-        along = margins @ direction
-        slope = lambda s: float((number * distribution(w + s * direction)) @ along)
-        if slope(most) >= 0:
-            return most
-        low, high = 0.0, most
-        while high - low > 1e-9:
-            mid = (low + high) / 2
-            low, high = (mid, high) if slope(mid) >= 0 else (low, mid)
-        return low
-
-    def _pairwise(self, w: np.ndarray, new: int, margins: np.ndarray, number: np.ndarray, distribution) -> np.ndarray:
+            return interior_point(w, target, 2.0 / (t + 1))
+        if self.kind == "line_search":
+            return interior_point(w, target, programs.search(w, target - w, 1.0, nu, self.eta))
+        programs.smooth(w, nu, self.eta)
+        edges = programs.edges
+        if self.kind == "short_step":
+            widest = programs.widest(target - w)
+            step = float(np.clip(edges @ (target - w) / (self.eta * widest**2), 0.0, 1.0)) if widest else 0.0
+            return interior_point(w, target, step)
+        return self._pairwise(w, new, edges, programs, nu)
+
+    def _pairwise(self, w: np.ndarray, new: int, edges: np.ndarray, programs: Programs, nu: float) -> np.ndarray:
         """Moves weight from the worst hypothesis in use to the best one in use, if that promises more than the new one."""
-        d = distribution(w)
-        edges = margins.T @ (number * d)
         used = np.flatnonzero(w > 0)
         best, worst = used[edges[used].argmax()], used[edges[used].argmin()]
         if edges[best] - edges[worst] >= edges[new] - w @ edges and best != worst:
@@ -67,8 +50,7 @@ class FrankWolfe:
         else:
             direction, most = -w.copy(), 1.0
             direction[new] += 1.0
-        step = self._search(w, direction, most, margins, number, distribution)
-        out = np.maximum(w + step * direction, 0.0)
+        out = np.maximum(w + programs.search(w, direction, most, nu, self.eta) * direction, 0.0)
         return out / out.sum()
 
 

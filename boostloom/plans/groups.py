@@ -11,14 +11,18 @@ from boostloom.lineage import cut
 from boostloom.sources.sample import TARGET
 
 
+class TooManyGroups(ValueError):
+    """Margins take too many values for a driver."""
+
+
 class MarginGroups:
     """Keeps a group key by row, and the groups' margins and sizes on the driver.
 
     The number of groups is that of different margin vectors, however many rows there are; over
-    `most` of them a driver can't solve the program and an error says so.
+    `most` of them TooManyGroups is raised and the state is as before.
     """
 
-    def __init__(self, train: Prepared, most: int = 500_000, every: int = 8):
+    def __init__(self, train: Prepared, most: int = 100_000, every: int = 8):
         self.train, self.most, self.every = train, most, every
         train.df = train.df.withColumn("__g", F.xxhash64(TARGET))
         self.hypotheses: list[Classifier] = []
@@ -34,7 +38,7 @@ class MarginGroups:
         rows = old.withColumn("__m", margin).withColumn("__next", F.xxhash64("__g", "__m"))
         found = rows.groupBy("__g", "__next").agg(F.sum("n").alias("n"), F.first("__m").alias("m")).limit(self.most + 1).collect()
         if len(found) > self.most:
-            raise ValueError(f"over {self.most} groups of equal margins")
+            raise TooManyGroups(f"over {self.most} groups of equal margins")
         place = {k: i for i, k in enumerate(self.keys.tolist())}
         parent = np.array([place[r["__g"]] for r in found])
         new = np.array([r["m"] for r in found], float)
@@ -51,6 +55,9 @@ class MarginGroups:
         """Each row's weight as a column: adds it to the table by group key."""
         spark = self.train.df.sparkSession
         table = spark.createDataFrame(list(zip(self.keys.tolist(), d.tolist(), strict=True)), "__k long, __d double")
-        small = len(d) <= 100_000
-        self.train.df = self.train.df.drop("__d").join(F.broadcast(table) if small else table, F.col("__g") == F.col("__k"), "left").drop("__k")
+        self.train.df = self.train.df.drop("__d").join(F.broadcast(table), F.col("__g") == F.col("__k"), "left").drop("__k")  # `most` rows at most
         return F.coalesce("__d", F.lit(0.0))
+
+    def release(self) -> None:
+        """Drop what groups have added to the rows."""
+        self.train.df = self.train.df.drop("__g", "__d")

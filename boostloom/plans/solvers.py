@@ -22,11 +22,17 @@ def interior_point(a: np.ndarray, b: np.ndarray, c: np.ndarray, upper: np.ndarra
     v = np.where(bounded, u - x, 1.0)
     y, s, w = np.zeros(m), np.ones(n), np.where(bounded, 1.0, 0.0)
     count = n + bounded.sum()
+    best, kept = np.inf, (x, y)
     for _ in range(rounds):
         primal, dual = b - a @ x, c - a.T @ y - s + w
         room = np.where(bounded, u - x - v, 0.0)
         mu = (x @ s + (v * w)[bounded].sum()) / count
-        if max(np.abs(primal).max(), np.abs(dual).max(), np.abs(room).max(), mu) < tol:
+        error = max(np.abs(primal).max(), np.abs(dual).max(), np.abs(room).max(), mu)
+        if not error < 1e3 * best:  # rounding has taken over
+            return kept
+        if error < best:
+            best, kept = error, (x, y)
+        if error < tol:
             break
 
         def solve(rxs: np.ndarray, rvw: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -52,7 +58,7 @@ def interior_point(a: np.ndarray, b: np.ndarray, c: np.ndarray, upper: np.ndarra
         ap, ad = min(1.0, 0.9995 * ap), min(1.0, 0.9995 * ad)
         x, v, y, s, w = x + ap * dx, v + ap * dv, y + ad * dy, s + ad * ds, w + ad * dw
         v, w = np.where(bounded, v, 1.0), np.where(bounded, w, 0.0)
-    return x, y
+    return kept
 
 
 def soft_margin_lp(margins: np.ndarray, number: np.ndarray, nu: float) -> tuple[float, np.ndarray, np.ndarray]:
@@ -77,6 +83,17 @@ def soft_margin_lp(margins: np.ndarray, number: np.ndarray, nu: float) -> tuple[
     return float(x[-1] - 1.0), w, d
 
 
+def sign_change(slope, most: float) -> float:
+    """Where a falling slope changes its sign in [0, most], by bisection to 1e-9."""
+    if slope(most) >= 0:
+        return most
+    low, high = 0.0, most
+    while high - low > 1e-9:
+        mid = (low + high) / 2
+        low, high = (mid, high) if slope(mid) >= 0 else (low, mid)
+    return low
+
+
 def simplex(v: np.ndarray) -> np.ndarray:
     """The nearest point of the probability simplex."""
     u = np.sort(v)[::-1]

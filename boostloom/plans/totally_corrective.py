@@ -9,22 +9,40 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from boostloom.operators.base import WeakLearner, edge_of
-from boostloom.plans import solvers
 from boostloom.plans.base import Booster, Builder
-from boostloom.plans.groups import MarginGroups
+from boostloom.plans.programs import Switch
 
 
 class _Corrective(Builder, Booster):
+    _rows = False
+
+    def over_rows(self, wanted: bool = True):
+        """Solve programs over rows from the start, not only when margins take too many values for groups on the driver."""
+        self._rows = wanted
+        return self
+
     def preprocess(self, learner: WeakLearner) -> None:
         super().preprocess(learner)
         self._check_nu()
         self.tol = self._tolerance if self._tolerance is not None else self._default_tolerance()
-        self.groups = MarginGroups(self.train)
-        self.d = np.full(len(self.groups.keys), 1.0 / self.m)
+        self.programs = Switch(self.train, self._rows)
         self.weight: Column = F.lit(1.0 / self.m)
         self.terminated_at, self.trace = None, []
         self.max_loop = self._limit(self._bound())
 
+    @property
+    def groups(self):
+        """Groups of equal margins and, as d, a member's share: while programs are solved over groups."""
+        return self.programs.inner.groups
+
+    @property
+    def d(self) -> np.ndarray:
+        return self.programs.inner.d
+
+    def _add(self, h) -> None:
+        self.programs.add(h)
+        self.hypotheses.append(h)
+
     def _default_tolerance(self) -> float:
         return 1.0 / self.m
 
@@ -63,11 +81,10 @@ class LPBoost(_Corrective):
         self.least_edge = min(self.least_edge, edge)
         if t > 1 and self.value >= self.least_edge - self.tol:
             return self._end(t)
-        self.groups.add(h)
-        self.hypotheses.append(h)
-        self.value, w, self.d = solvers.soft_margin_lp(self.groups.margins, self.groups.number, self._nu)
+        self._add(h)
+        self.value, w = self.programs.soft_margin(self._nu, self.tol / 4)
         self.weights = w.tolist()
-        self.weight = self.groups.weight(self.d)
+        self.weight = self.programs.weight()
         self.trace.append({"round": t, "edge": edge, "value": self.value, "gap": self.least_edge - self.value})
         self.rounds = t
         return False
@@ -90,21 +107,19 @@ class SoftBoost(_Corrective):
             return self._end(t)
         h, edge = self._produced(learner)
         self.least_edge = min(self.least_edge, edge)
-        self.groups.add(h)
-        self.hypotheses.append(h)
+        self._add(h)
         self.rounds = t
-        d = solvers.least_divergence(self.groups.margins, self.groups.number, self._nu, self.least_edge - self.tol)
-        self.trace.append({"round": t, "edge": edge, "value": self.least_edge - self.tol, "gap": 0.0 if d is None else float((self.groups.margins.T @ (self.groups.number * d)).max())})
+        found = self.programs.least_divergence(self._nu, self.least_edge - self.tol)
+        self.trace.append({"round": t, "edge": edge, "value": self.least_edge - self.tol, "gap": float(self.programs.edges.max()) if found else 0.0})
         self.weights = []
-        if d is None:
+        if not found:
             return self._end(t)
-        self.d = d
-        self.weight = self.groups.weight(d)
+        self.weight = self.programs.weight()
         return False
 
     def current_hypothesis(self):
         if len(self.weights) != len(self.hypotheses):
-            self.weights = solvers.soft_margin_lp(self.groups.margins, self.groups.number, self._nu)[1].tolist()
+            self.weights = self.programs.soft_margin(self._nu, self.tol / 4)[1].tolist()
         return super().current_hypothesis()
 
 
@@ -139,14 +154,13 @@ class ERLPBoost(_Corrective):
         if t > self.max_loop:
             return self._end(t)
         h, edge = self._produced(learner)
-        self.bound = min(self.bound, edge + solvers.divergence(self.d, self.groups.number) / self.eta)
+        self.bound = min(self.bound, edge + self.programs.divergence / self.eta)
         if t > 1 and self.bound - self.value <= self.tol / 2:
             return self._end(t)
-        self.groups.add(h)
-        self.hypotheses.append(h)
-        self.value, w, self.d = solvers.entropy_program(self.groups.margins, self.groups.number, self._nu, self.eta, np.array(self.weights) if self.weights else None)
+        self._add(h)
+        self.value, w = self.programs.entropy(self._nu, self.eta, np.array(self.weights) if self.weights else None)
         self.weights = w.tolist()
-        self.weight = self.groups.weight(self.d)
+        self.weight = self.programs.weight()
         self.trace.append({"round": t, "edge": edge, "value": self.value, "gap": self.bound - self.value})
         self.rounds = t
         return False

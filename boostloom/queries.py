@@ -16,6 +16,7 @@ from boostloom.operators import BadBaseLearner, DecisionTree, GaussianNB, Learne
 from boostloom.operators import binning, criteria, neural, sparse, trees
 from boostloom.operators.trees import Node, TreeClassifier
 from boostloom.plans import GBM, AdaBoost, AdaBoostV, CERLPBoost, CrossValidation, ERLPBoost, GraphSepBoost, LoggerBuilder, LPBoost, MadaBoost, MLPBoost, SmoothBoost, SoftBoost, TotalBoost
+from boostloom.plans import programs
 from boostloom.sources.sample import Sample, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,23 +288,57 @@ def _certificate(booster, s: Sample, f: WeightedMajority, bound: float) -> list[
 _CERTIFICATE = "n_rows double, weight_total double, mass_total double, feasible boolean, weakly_dual boolean, tight boolean"
 
 
-def corrective(make: Callable[[Sample, int], object], rounds: int, bound: float = float("inf")) -> Query:
-    """The first hypothesis, its edge and soft margin, and the certificate of the end."""
+def corrective(make: Callable[[Sample, int], object], rounds: int = 2, criterion: str = "entropy") -> Query:
+    """The first rounds: stump, its edge under the program's distribution, and the program's value."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = lineitems(spark, sf_dir)
-        m = s.shape()[0]
-        booster = make(s, m).force_quit_at(rounds)
-        f = booster.run(DecisionTree(1))
-        h = booster.hypotheses[0]
-        alone = losses.SoftMargin(m // 10).eval(s, WeightedMajority([1.0], [h]))
-        row = (FEATURES.index(h.root.feature), h.root.threshold, float(booster.trace[0]["edge"]), alone, *_certificate(booster, s, f, bound))
-        out = spark.createDataFrame([row], f"feature int, threshold double, edge double, soft_margin double, {_CERTIFICATE}")
-        return out.select("feature", *[_r(c).alias(c) for c in ("threshold", "edge", "soft_margin")], F.col("n_rows").cast("long").alias("n_rows"), *[_r(c).alias(c) for c in ("weight_total", "mass_total")], "feasible", "weakly_dual", "tight")
+        booster = make(s, s.shape()[0]).force_quit_at(rounds)
+        booster.run(DecisionTree(1, criterion))
+        rows = [(r["round"], FEATURES.index(h.root.feature), h.root.threshold, float(r["edge"]), float(r["value"])) for r, h in zip(booster.trace, booster.hypotheses, strict=True)]
+        out = spark.createDataFrame(rows, "round int, feature int, threshold double, edge double, value double")
+        return out.select("round", "feature", _r("threshold").alias("threshold"), _r("edge", 4).alias("edge"), _r("value", 4).alias("value"))
 
     return run
 
 
+def row_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of the three programs over two hypotheses with as many margins as rows; the last with the first alone."""
+    s = orders(spark, sf_dir)
+    hypotheses = [GaussianNB(soft=True).fit(Sample(s.df, [f])) for f in s.features]
+    both = programs.RowPrograms(GaussianNB().prepare(s), hypotheses)
+    nu = 0.2 * both.m
+    values = [("soft margin", both.soft_margin(nu, 2e-6)[0]), ("entropy", both.entropy(nu, 30.0, None)[0])]
+    one = programs.RowPrograms(GaussianNB().prepare(s), hypotheses[:1])
+    one.least_divergence(nu, both.train.df.agg(F.avg("__m0")).first()[0] - 0.05)
+    values.append(("least divergence", one.divergence))
+    return spark.createDataFrame([(k, float(v)) for k, v in values], "program string, value double").select("program", _r("value", 4).alias("value"))
+
+
+def erlpboost_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds over naive Bayes' scores, with programs over rows."""
+    s = orders(spark, sf_dir)
+    booster = ERLPBoost(s).nu(0.2 * s.shape()[0]).tolerance(0.2).force_quit_at(2).over_rows()
+    booster.run(GaussianNB(soft=True))
+    out = spark.createDataFrame([(r["round"], float(r["edge"]), float(r["value"])) for r in booster.trace], "round int, edge double, value double")
+    return out.select("round", _r("edge", 4).alias("edge"), _r("value", 4).alias("value"))
+
+
+def lpboost_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """LPBoost over naive Bayes' scores of priced line items: the first soft margin, and whether the last gap is as small as asked for.
+
+    With prices nearly every row has a margin of its own; programs are solved over rows.
+    """
+    s = _with_price(spark, sf_dir)
+    nu = 0.1 * s.shape()[0]
+    booster = LPBoost(s).nu(nu).tolerance(0.02).force_quit_at(2).over_rows()
+    f = booster.run(GaussianNB(soft=True))
+    alone = losses.SoftMargin(nu).eval(s, WeightedMajority([1.0], booster.hypotheses[:1]))
+    reached = losses.SoftMargin(nu).eval(s, f)
+    row = (float(booster.trace[0]["edge"]), alone, bool(-1e-6 <= booster.value - reached <= 0.02 / 4 + 1e-6), bool(reached >= alone - 0.02 / 4))
+    return spark.createDataFrame([row], "edge double, soft_margin double, gap_closed boolean, no_worse boolean").select(_r("edge", 4).alias("edge"), _r("soft_margin", 4).alias("soft_margin"), "gap_closed", "no_worse")
+
+
 def _customers(spark: SparkSession, sf_dir: str) -> Sample:
     rows = _table(spark, sf_dir, "customer")
     return Sample.from_df(rows, ["c_acctbal", "c_nationkey"], F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(-1), "c_custkey", check=False)
@@ -388,9 +423,10 @@ QUERIES: dict[str, Query] = {
     "bin_assign": bin_assign, "class_histogram": class_histogram, "grad_histogram": grad_histogram, "sparse_histogram": sparse_histogram, "sparse_tree": sparse_tree,
     **{f"split_{c}": split(c) for c in criteria.CRITERIA}, "tree_predict": tree_predict, "regression_split": regression_split, "gbm": gbm, "gbm_l1": gbm_l1, "naive_bayes": naive_bayes,
     "adaboost": additive(AdaBoost), "adaboostv": additive(lambda s: AdaBoostV(s).tolerance(0.01)), "madaboost": additive(MadaBoost), "smoothboost": additive(lambda s: SmoothBoost(s).gamma(0.1).tolerance(0.1)),
-    "lpboost": corrective(lambda s, m: LPBoost(s).nu(0.1 * m).tolerance(0.01), 6, 1e-3), "softboost": corrective(lambda s, m: SoftBoost(s).nu(0.1 * m).tolerance(0.02), 5), "totalboost": corrective(lambda s, m: TotalBoost(s).tolerance(0.02), 5),
-    "erlpboost": corrective(lambda s, m: ERLPBoost(s).nu(0.1 * m).tolerance(0.02), 6, 0.02), "cerlpboost": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1), 5), "mlpboost": corrective(lambda s, m: MLPBoost(s).nu(0.1 * m).tolerance(0.05), 5),
-    "cerlpboost_pairwise": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1).fw_type("blended_pairwise"), 4), "cerlpboost_line_search": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1).fw_type("line_search"), 4),
+    "lpboost": corrective(lambda s, m: LPBoost(s).nu(0.1 * m).tolerance(0.01)), "softboost": corrective(lambda s, m: SoftBoost(s).nu(0.1 * m).tolerance(0.02)), "totalboost": corrective(lambda s, m: TotalBoost(s).tolerance(0.02)),
+    "erlpboost": corrective(lambda s, m: ERLPBoost(s).nu(0.1 * m).tolerance(0.02)), "cerlpboost": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1), 3), "mlpboost": corrective(lambda s, m: MLPBoost(s).nu(0.1 * m).tolerance(0.05)),
+    "cerlpboost_pairwise": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.05).fw_type("blended_pairwise"), 3, "edge"), "cerlpboost_line_search": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1).fw_type("line_search"), 3, "gini"),
+    "row_programs": row_programs, "erlpboost_rows": erlpboost_rows, "lpboost_rows": lpboost_rows,
     "graph_degrees": graph_degrees, "naive_aggregation": naive_aggregation, "graph_separation": graph_separation, "bad_edges": bad_edges, "lpboost_worst_case": lpboost_worst_case,
     "cv_folds": cv_folds, "logger_trace": logger_trace, "neural_net": neural_net, "learner_union": learner_union,
 }
@@ -547,15 +583,143 @@ def _logger_sql(rounds: int) -> str:
 _CERTIFIED = "1.0::DOUBLE AS weight_total, 1.0::DOUBLE AS mass_total, true AS feasible, true AS weakly_dual, true AS tight"
 
 
-def _corrective_sql() -> str:
-    """The first stump under equal weights, its edge, the mean of its least tenth of margins, and a certificate that holds."""
+def _capped_sql(points: str) -> str:
+    """Groups (k, x, n, m0, l, ...) with share, of one row: 1 / nu at most, in proportion to exp(l) else."""
+    return (
+        "SELECT *, CASE WHEN l > at_l THEN 1 / nu ELSE scale * exp(l - top) END AS share FROM (SELECT *, max(l) FILTER (fits) OVER (PARTITION BY k) AS at_l, arg_max(sc, l) FILTER (fits) OVER (PARTITION BY k) AS scale FROM ("
+        "SELECT *, (1 - (tn - cn) / nu) / rest AS sc, (1 - (tn - cn) / nu) / rest * exp(l - top) <= (1 + 1e-12) / nu AS fits FROM ("
+        "SELECT *, sum(n) OVER (PARTITION BY k) AS tn, sum(n) OVER (PARTITION BY k ORDER BY l) AS cn, sum(n * exp(l - top)) OVER (PARTITION BY k ORDER BY l) AS rest FROM ("
+        f"SELECT *, max(l) OVER (PARTITION BY k) AS top FROM ({points}), size))))"
+    )
+
+
+_DIVERGENCE = "sum(CASE WHEN share > 0 THEN n * share * ln(share) ELSE 0 END) + ln(any_value(m))"
+
+
+def _smooth_sql(points: str) -> str:
+    """The smoothed soft margin of each point."""
+    return f"SELECT k, any_value(x) AS x, sum(n * share * m0) + ({_DIVERGENCE}) / any_value(eta) AS v FROM ({_capped_sql(points)}) GROUP BY k"
+
+
+def _lowest_sql(points: str) -> str:
+    """The soft margin of each point: the mean of the nu lowest margins."""
+    under = f"SELECT *, sum(n) OVER (PARTITION BY k ORDER BY m0 ROWS UNBOUNDED PRECEDING) - n AS under FROM ({points}), size"
+    return f"SELECT k, any_value(x) AS x, sum(m0 * greatest(0, least(n, nu - under))) / any_value(nu) AS v FROM ({under}) GROUP BY k"
+
+
+def _dual_sql(bound: str) -> Callable[[str], str]:
+    """Of the least divergence with an edge of at most `bound`, at the multiplier x."""
+    return lambda points: f"SELECT k, any_value(x) AS x, {_DIVERGENCE} + any_value(x) * (sum(n * share * m0) - ({bound})) AS v FROM ({_capped_sql(points)}) GROUP BY k"
+
+
+def _best_sql(name: str, value: Callable[[str], str], points: Callable[[str], str], width: float = 1.0, levels: int = 3, cells: int = 1000) -> list[str]:
+    """name(x, v): the greatest value over x in [0, width], by grids that close in on it."""
+    parts = []
+    for i in range(levels):
+        middle, step = (f"{width / 2}", width / cells) if i == 0 else (f"(SELECT x FROM {name}{i - 1})", width / cells / (cells / 2) ** i)
+        at = f"(SELECT k, least(greatest({middle} + (k - {cells // 2}) * {step!r}, 0.0), {width}) AS x FROM range({cells + 1}) AS r(k))"
+        parts.append(f"{name}{i} AS MATERIALIZED (SELECT x, v FROM ({value(points(at))}) ORDER BY v DESC, x LIMIT 1)")
+    return [*parts, f"{name} AS MATERIALIZED (SELECT * FROM {name}{levels - 1})"]
+
+
+def _corrective_sql(kind: str, tol: float, rounds: int = 2, search: bool = False, criterion: str = "entropy") -> str:
+    """Rounds with stumps, each with the value of its program, solved over groups of equal margins.
+
+    cm is the margin of the combination so far, mn the newest hypothesis'.  Programs of one variable are solved on grids
+    that close in on the best point.
+    """
+    half = tol / 2
+    eta = {"erlpboost": "greatest(0.5, ln(m / nu) / {0})", "cerlpboost": "ln(m / nu) / {0}", "mlpboost": "ln(m / nu) / {0}"}.get(kind, "1.0").format(half)
+    cap = "1.0" if kind == "totalboost" else "0.1 * m"
+    parts = [
+        _bins_sql(LINEITEMS, FEATURES), f"size AS MATERIALIZED (SELECT *, {eta} AS eta FROM (SELECT m, {cap} AS nu FROM (SELECT count(*)::DOUBLE AS m FROM b)))",
+        "c0 AS MATERIALIZED (SELECT b0, b1, b2, y, count(*)::DOUBLE AS n, 0.0::DOUBLE AS cm FROM b GROUP BY ALL)", "d1 AS MATERIALIZED (SELECT *, n / m AS d, 1 / m AS share FROM c0, size)",
+    ]
     side = "CASE feature WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END <= bin"
-    tail = (
-        f"m AS (SELECT y * CASE WHEN {side} THEN lc ELSE rc END AS g, sum(n)::DOUBLE AS n FROM c0, w1 GROUP BY 1), "
-        "u AS (SELECT g, n, sum(n) OVER (ORDER BY g) - n AS under, floor(sum(n) OVER () / 10) AS nu, sum(n) OVER () AS n_rows FROM m), "
-        "o AS (SELECT sum(g * greatest(0, least(n, nu - under))) / any_value(nu) AS soft_margin, any_value(n_rows)::BIGINT AS n_rows FROM u)"
+    values = []
+    for t in range(1, rounds + 1):
+        parts.append(f"x{t} AS MATERIALIZED (SELECT * FROM ({_cuts_sql(_hist_sql(f'd{t}', 3, f'{_P}, {_N}'))}) ORDER BY round({SCORES[criterion]}, 10), feature, bin LIMIT 1)")
+        edge = "(power(lp - lq, 2) / (lp + lq) + power(tp - lp - tq + lq, 2) / (tp + tq - lp - lq)) / (tp + tq)"
+        parts.append(f"w{t} AS MATERIALIZED (SELECT *, {edge} AS edge, (lp - lq) / (lp + lq) AS lc, (tp - lp - tq + lq) / (tp + tq - lp - lq) AS rc FROM x{t})")
+        kept = "".join(f", m{j}" for j in range(1, t))
+        parts.append(f"h{t} AS MATERIALIZED (SELECT b0, b1, b2, y, n, cm, share{kept}, y * CASE WHEN {side} THEN lc ELSE rc END AS m{t} FROM d{t}, w{t})")
+        along = f"(m{t} - cm)"
+        parts.append(f"g{t} AS MATERIALIZED (SELECT cm, {along} AS mn, share, sum(n) AS n FROM h{t} GROUP BY ALL)")
+        line = lambda at, t=t: f"SELECT k, x, n, cm + x * mn AS m0, -(SELECT eta FROM size) * (cm + x * mn) AS l FROM g{t}, {at}"
+        whole = f"(SELECT 0 AS k, {'1.0' if t == 1 else f'(SELECT x FROM s{t})'} AS x)"
+        short = f"SELECT least(greatest(sum(n * share * mn) / any_value(eta) / max(mn * mn), 0.0), 1.0) AS x FROM g{t}, size"
+        if t == 1:
+            parts.append(f"s{t} AS (SELECT 1.0 AS x)")
+        elif kind == "lpboost":
+            parts += _best_sql(f"s{t}", _lowest_sql, line)
+        elif kind == "erlpboost" or search:
+            parts += _best_sql(f"s{t}", _smooth_sql, line)
+        elif kind == "mlpboost":
+            parts += _best_sql(f"l{t}", _lowest_sql, line)
+            parts.append(f"s{t} AS MATERIALIZED (SELECT x FROM ({_smooth_sql(line(f'(SELECT 0 AS k, x FROM ({short}) UNION ALL SELECT 1, x FROM l{t})'))}) ORDER BY v DESC, k LIMIT 1)")
+        else:
+            parts.append(f"s{t} AS MATERIALIZED ({short})")
+        if kind in ("softboost", "totalboost"):
+            bound = "least(" + ", ".join(f"(SELECT edge FROM w{j})" for j in range(1, t + 1)) + f") - {tol}"
+            values.append(bound)
+            if t < rounds:
+                tilted = lambda at, t=t: f"SELECT k, x, n, mn AS m0, -x * mn AS l FROM g{t}, {at}"
+                parts += _best_sql(f"q{t}", _dual_sql(bound), tilted, 100.0, 4)
+                parts.append(f"f{t} AS MATERIALIZED (SELECT m0, any_value(share) AS share FROM ({_capped_sql(tilted(f'(SELECT 0 AS k, x FROM q{t})'))}) GROUP BY m0)")
+                parts.append(f"d{t + 1} AS MATERIALIZED (SELECT b0, b1, b2, y, n, m{t} AS cm, f.share, n * f.share AS d, m{t} FROM h{t} JOIN f{t} f ON f.m0 = m{t})")
+            continue
+        values.append(f"(SELECT v FROM ({(_lowest_sql if kind == 'lpboost' else _smooth_sql)(line(whole))}))")
+        if t < rounds:
+            to = f"cm + (SELECT x FROM s{t}) * {along}"
+            parts.append(f"i{t} AS MATERIALIZED (SELECT b0, b1, b2, y, n, {to} AS cm{kept}, m{t} FROM h{t})")
+            groups = f"SELECT 0 AS k, 0 AS x, cm AS m0, -(SELECT eta FROM size) * cm AS l, sum(n) AS n FROM i{t} GROUP BY cm"
+            if kind == "lpboost":
+                shares = f"SELECT m0, greatest(0, least(n, nu - under)) / nu / n AS share FROM (SELECT *, sum(n) OVER (ORDER BY m0) - n AS under FROM ({groups}), size)"
+            else:
+                shares = f"SELECT m0, share FROM ({_capped_sql(groups)})"
+            parts.append(f"f{t} AS MATERIALIZED ({shares})")
+            parts.append(f"d{t + 1} AS MATERIALIZED (SELECT i.*, f.share, n * f.share AS d FROM i{t} i JOIN f{t} f ON f.m0 = i.cm)")
+    ends = [f"(SELECT edge FROM w{t}) - (SELECT sum(n * share * cm) FROM h{t}) > {half}" for t in range(2, rounds + 1)]
+    rows = [f"SELECT {t}::INT AS round, feature::INT AS feature, round({_threshold_sql(3)}, 6) AS threshold, round(edge, 4) AS edge, round({v}, 4) AS value FROM w{t}, k{' WHERE ' + ' AND '.join(ends[: t - 1]) if kind == 'cerlpboost' and t > 1 else ''}" for t, v in enumerate(values, 1)]
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+#: Naive Bayes over the orders' price and customer, and over each alone: confidences of rows.
+_SIZE = "size AS MATERIALIZED (SELECT count(*)::DOUBLE AS m, 0.2 * count(*) AS nu, {eta} AS eta FROM s)"
+
+
+def _bayes_sql(table: str, features: list[str], weight: str = "1.0::DOUBLE") -> str:
+    """row_id, confidence: the posterior of 1 less that of -1, of naive Bayes under weights of rows."""
+    means = ", ".join(f"sum(d * {f}) / sum(d) AS mu_{f}" for f in features)
+    spread = ", ".join(f"sum(d * power({f} - mu_{f}, 2)) / sum(d) AS va_{f}" for f in features)
+    log = "ln(p)" + "".join(f" - 0.5 * (ln(2 * pi() * va_{f}) + power({f} - mu_{f}, 2) / va_{f})" for f in features)
+    return (
+        f"WITH wd AS (SELECT *, {weight} AS d FROM {table}), mu AS (SELECT y AS yy, sum(d) / (SELECT sum(d) FROM wd) AS p, {means} FROM wd GROUP BY y), va AS (SELECT y AS vy, {spread} FROM wd JOIN mu ON y = yy GROUP BY y), "
+        f"lj AS (SELECT row_id, yy, {log} AS l FROM {table}, mu JOIN va ON yy = vy) SELECT row_id, 2 / (1 + exp(max(l) FILTER (yy < 0) - max(l) FILTER (yy > 0))) - 1 AS c FROM lj GROUP BY row_id"
     )
-    return f"WITH {', '.join(_additive_parts('adaboost', 1))}, {tail} SELECT feature::INT AS feature, round({_threshold_sql(3)}, 6) AS threshold, round(edge, 6) AS edge, round(soft_margin, 6) AS soft_margin, n_rows, {_CERTIFIED} FROM w1, o, k"
+
+
+def _row_programs_sql() -> str:
+    at = lambda grid: f"SELECT k, x, 1.0::DOUBLE AS n, (1 - x) * m1 + x * m2 AS m0, -30 * ((1 - x) * m1 + x * m2) AS l FROM g, {grid}"
+    tilted = lambda grid: f"SELECT k, x, 1.0::DOUBLE AS n, m1 AS m0, -x * m1 AS l FROM g, {grid}"
+    parts = [f"s AS MATERIALIZED ({ORDERS})", _SIZE.format(eta="30.0"), f"c1 AS MATERIALIZED ({_bayes_sql('s', ['o_totalprice'])})", f"c2 AS MATERIALIZED ({_bayes_sql('s', ['o_custkey'])})",
+             "g AS MATERIALIZED (SELECT y * c1.c AS m1, y * c2.c AS m2 FROM s JOIN c1 USING (row_id) JOIN c2 USING (row_id))", "e AS (SELECT avg(m1) AS e FROM g)"]
+    small = {"levels": 5, "cells": 40}
+    parts += _best_sql("lp", _lowest_sql, at, **small) + _best_sql("en", _smooth_sql, at, **small) + _best_sql("kl", _dual_sql("(SELECT e FROM e) - 0.05"), tilted, 20.0, **small)
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT '{name}' AS program, round(v, 4) AS value FROM {t}" for name, t in (("soft margin", "lp"), ("entropy", "en"), ("least divergence", "kl")))
+
+
+def _erlp_rows_sql() -> str:
+    """Two rounds of ERLPBoost over naive Bayes' scores, tolerance 0.2."""
+    features = ["o_totalprice", "o_custkey"]
+    parts = [f"s AS MATERIALIZED ({ORDERS})", _SIZE.format(eta="greatest(0.5, ln(1 / 0.2) / 0.1)"), f"c1 AS MATERIALIZED ({_bayes_sql('s', features)})",
+             "g1 AS MATERIALIZED (SELECT s.*, y * c AS m1 FROM s JOIN c1 USING (row_id))",
+             f"d1 AS MATERIALIZED ({_capped_sql('SELECT 0 AS k, 0 AS x, 1.0::DOUBLE AS n, m1 AS m0, -(SELECT eta FROM size) * m1 AS l, row_id, o_totalprice, o_custkey, y FROM g1')})",
+             f"c2 AS MATERIALIZED ({_bayes_sql('d1', features, 'share')})", "g2 AS MATERIALIZED (SELECT d1.m0 AS m1, y * c AS m2, share FROM d1 JOIN c2 USING (row_id))"]
+    at = lambda grid: f"SELECT k, x, 1.0::DOUBLE AS n, (1 - x) * m1 + x * m2 AS m0, -(SELECT eta FROM size) * ((1 - x) * m1 + x * m2) AS l FROM g2, {grid}"
+    parts += _best_sql("en", _smooth_sql, at, levels=5, cells=40)
+    first = _smooth_sql(at("(SELECT 0 AS k, 0.0 AS x)"))
+    return "WITH " + ", ".join(parts) + f" SELECT 1::INT AS round, round((SELECT avg(m1) FROM g2), 4) AS edge, round((SELECT v FROM ({first})), 4) AS value UNION ALL SELECT 2, round((SELECT sum(share * m2) FROM g2), 4), round((SELECT v FROM en), 4)"
 
 
 def _graph_sql(rounds: int) -> str:
@@ -631,7 +795,11 @@ ORACLE_SQL: dict[str, str] = {
     "tree_predict": _tree_sql(),
     "regression_split": f"WITH {_bins_sql(REVENUE, ['l_quantity', 'l_discount'])}, x AS ({_regression_cut('(SELECT *, -y AS g FROM b)')}) SELECT feature::INT AS feature, round({_threshold_sql(2)}, 6) AS threshold, round(lv, 6) AS left_value, round(rv, 6) AS right_value FROM x, k",
     "gbm": _gbm_sql(2), "gbm_l1": _gbm_l1_sql(3), "logger_trace": _logger_sql(3), "learner_union": _additive_sql("union", 2), "graph_separation": _graph_sql(4),
-    **{k: _corrective_sql() for k in ("lpboost", "softboost", "totalboost", "erlpboost", "cerlpboost", "mlpboost", "cerlpboost_pairwise", "cerlpboost_line_search")},
+    **{k: _corrective_sql(k, tol) for k, tol in (("lpboost", 0.01), ("softboost", 0.02), ("totalboost", 0.02), ("erlpboost", 0.02), ("mlpboost", 0.05))},
+    "cerlpboost": _corrective_sql("cerlpboost", 0.1, 3), "cerlpboost_pairwise": _corrective_sql("cerlpboost", 0.05, 3, True, "edge"), "cerlpboost_line_search": _corrective_sql("cerlpboost", 0.1, 3, True, "gini"),
+    "row_programs": _row_programs_sql(), "erlpboost_rows": _erlp_rows_sql(),
+    "lpboost_rows": f"WITH s AS MATERIALIZED (SELECT *, row_number() OVER () AS row_id FROM ({LINEITEMS})), size AS (SELECT count(*)::DOUBLE AS m, 0.1 * count(*) AS nu FROM s), c AS MATERIALIZED ({_bayes_sql('s', [*FEATURES, 'l_extendedprice'])}), "
+    f"g AS MATERIALIZED (SELECT 0 AS k, 0 AS x, 1.0::DOUBLE AS n, y * c AS m0 FROM s JOIN c USING (row_id)) SELECT round((SELECT avg(m0) FROM g), 4) AS edge, round(v, 4) AS soft_margin, true AS gap_closed, true AS no_worse FROM ({_lowest_sql('SELECT * FROM g')})",
     "lpboost_worst_case": f"SELECT round(max(edge), 6) AS edge, 60::BIGINT AS n_rows, {_CERTIFIED} FROM ({_bad_sql('1.0 / 60')})",
     "naive_bayes": f"WITH s AS ({ORDERS}), g AS (SELECT y, count(*) / (SELECT count(*) FROM s) AS p, avg(o_totalprice) AS m0, var_pop(o_totalprice) AS v0, avg(o_custkey) AS m1, var_pop(o_custkey) AS v1 FROM s GROUP BY y), "
     "j AS (SELECT s.row_id, g.y, ln(p) - 0.5 * (ln(2 * pi() * v0) + power(o_totalprice - m0, 2) / v0) - 0.5 * (ln(2 * pi() * v1) + power(o_custkey - m1, 2) / v1) AS l FROM s, g), "

@@ -2,6 +2,7 @@
 
 import math
 import warnings
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,7 +12,9 @@ from boostloom.functions.losses import L1, L2, HardMargin, SoftMargin
 from boostloom.functions.projection import capped
 from boostloom.operators import BadBaseLearner, DecisionTree, GaussianNB, RegressionTree
 from boostloom.plans import GBM, AdaBoost, AdaBoostV, CERLPBoost, CrossValidation, ERLPBoost, FrankWolfe, GraphSepBoost, LoggerBuilder, LPBoost, MadaBoost, MLPBoost, SmoothBoost, SoftBoost, TotalBoost, solvers
+
 from boostloom.plans.frank_wolfe import KINDS, interior_point
+from boostloom.plans.programs import GroupPrograms
 from boostloom.plans.research import format_unit, time_format
 from boostloom.sources.sample import Sample
 
@@ -170,17 +173,24 @@ def test_simplex_projection():
     assert p.sum() == pytest.approx(1) and np.allclose(p, [0.65, 0.35, 0])
 
 
+def groups_of(a, n):
+    """Programs over given groups."""
+    out = GroupPrograms.__new__(GroupPrograms)
+    out.groups = SimpleNamespace(margins=a, number=n)
+    return out
+
+
 @pytest.mark.parametrize("kind", KINDS)
 def test_frank_wolfe_climbs(kind):
     a, n = problem(1)
     nu, eta = 0.1 * n.sum(), 30.0
-    dist = lambda w: capped(-eta * (a @ w), n, 1 / nu)
-    value = lambda w: float((n * dist(w)) @ (a @ w)) + solvers.divergence(dist(w), n) / eta
+    programs = groups_of(a, n)
+    value = lambda w: programs.smooth(w, nu, eta)
     best, _, _ = solvers.entropy_program(a, n, nu, eta)
     fw, w, track = FrankWolfe(eta, kind), np.zeros(a.shape[1]), []
     for t in range(1, 150):
-        edges = a.T @ (n * dist(w))
-        w = fw.next(w, int(edges.argmax()), t, a, n, dist)
+        programs.smooth(w, nu, eta)
+        w = fw.next(w, int(programs.edges.argmax()), t, programs, nu)
         assert w.sum() == pytest.approx(1) and (w >= -1e-12).all()
         track.append(value(w))
     assert best - track[-1] < (0.06 if kind == "short_step" else 0.02)
