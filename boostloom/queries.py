@@ -15,7 +15,7 @@ from boostloom.functions import losses, projection, stats
 from boostloom.operators import BadBaseLearner, DecisionTree, GaussianNB, LearnerUnion, NaiveAggregation, NeuralNetwork, RegressionTree, WeightedMajority
 from boostloom.operators import binning, criteria, neural, sparse, trees
 from boostloom.operators.trees import Node, TreeClassifier
-from boostloom.plans import GBM, AdaBoost, AdaBoostV, CERLPBoost, CrossValidation, ERLPBoost, GraphSepBoost, LoggerBuilder, LPBoost, MadaBoost, MLPBoost, SmoothBoost, SoftBoost, TotalBoost
+from boostloom.plans import GBM, AdaBoost, AdaBoostV, CERLPBoost, CrossValidation, ERLPBoost, ExpLev, GraphSepBoost, LoggerBuilder, LPBoost, MadaBoost, MLPBoost, SmoothBoost, SoftBoost, SquareLevR, TotalBoost
 from boostloom.plans import programs
 from boostloom.sources.sample import Sample, validation
 
@@ -302,6 +302,25 @@ def corrective(make: Callable[[Sample, int], object], rounds: int = 2, criterion
     return run
 
 
+def square_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = revenue(spark, sf_dir)
+    booster = SquareLevR(s).max_iter(3)
+    booster.run(RegressionTree(losses.L2(), 2))
+    rows = [(r["round"], s.features.index(h.root.feature), h.root.threshold, r["weight"], r["potential"], r["correlation"]) for r, h in zip(booster.trace, booster.hypotheses, strict=True)]
+    out = spark.createDataFrame(rows, "round int, feature int, threshold double, weight double, potential double, correlation double")
+    return out.select("round", "feature", *[_r(c, d).alias(c) for c, d in (("threshold", 6), ("weight", 5), ("potential", 4), ("correlation", 6))])
+
+
+def exp_lev(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem")
+    s = Sample.from_df(rows, ["l_quantity", "l_discount"], F.col("l_quantity") + F.col("l_extendedprice") / 2000 - 50, check=False)
+    booster = ExpLev(s).softness(0.1).max_iter(3)
+    booster.run(DecisionTree(1))
+    rows = [(r["round"], s.features.index(h.root.feature), h.root.threshold, r["weight"], r["potential"], r["correlation"]) for r, h in zip(booster.trace, booster.hypotheses, strict=True)]
+    out = spark.createDataFrame(rows, "round int, feature int, threshold double, weight double, potential double, correlation double")
+    return out.select("round", "feature", *[_r(c, d).alias(c) for c, d in (("threshold", 6), ("weight", 5), ("potential", 5), ("correlation", 6))])
+
+
 def row_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of the three programs over two hypotheses with as many margins as rows; the last with the first alone."""
     s = orders(spark, sf_dir)
@@ -426,7 +445,7 @@ QUERIES: dict[str, Query] = {
     "lpboost": corrective(lambda s, m: LPBoost(s).nu(0.1 * m).tolerance(0.01)), "softboost": corrective(lambda s, m: SoftBoost(s).nu(0.1 * m).tolerance(0.02)), "totalboost": corrective(lambda s, m: TotalBoost(s).tolerance(0.02)),
     "erlpboost": corrective(lambda s, m: ERLPBoost(s).nu(0.1 * m).tolerance(0.02)), "cerlpboost": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1), 3), "mlpboost": corrective(lambda s, m: MLPBoost(s).nu(0.1 * m).tolerance(0.05)),
     "cerlpboost_pairwise": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.05).fw_type("blended_pairwise"), 3, "edge"), "cerlpboost_line_search": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1).fw_type("line_search"), 3, "gini"),
-    "row_programs": row_programs, "erlpboost_rows": erlpboost_rows, "lpboost_rows": lpboost_rows,
+    "square_lev": square_lev, "exp_lev": exp_lev, "row_programs": row_programs, "erlpboost_rows": erlpboost_rows, "lpboost_rows": lpboost_rows,
     "graph_degrees": graph_degrees, "naive_aggregation": naive_aggregation, "graph_separation": graph_separation, "bad_edges": bad_edges, "lpboost_worst_case": lpboost_worst_case,
     "cv_folds": cv_folds, "logger_trace": logger_trace, "neural_net": neural_net, "learner_union": learner_union,
 }
@@ -722,6 +741,32 @@ def _erlp_rows_sql() -> str:
     return "WITH " + ", ".join(parts) + f" SELECT 1::INT AS round, round((SELECT avg(m1) FROM g2), 4) AS edge, round((SELECT v FROM ({first})), 4) AS value UNION ALL SELECT 2, round((SELECT sum(share * m2) FROM g2), 4), round((SELECT v FROM en), 4)"
 
 
+def _square_lev_sql(rounds: int) -> str:
+    parts = [_bins_sql(REVENUE, ["l_quantity", "l_discount"]), "c0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS f FROM b)"]
+    for t in range(1, rounds + 1):
+        parts.append(f"p{t} AS MATERIALIZED (SELECT var_pop(y - f) AS potential FROM c{t - 1})")
+        parts.append(f"x{t} AS MATERIALIZED ({_regression_cut(f'(SELECT *, f - y AS g FROM c{t - 1})')})")
+        parts.append(f"h{t} AS MATERIALIZED (SELECT c.*, CASE WHEN CASE x.feature WHEN 0 THEN b0 ELSE b1 END <= x.bin THEN lv ELSE rv END AS h FROM c{t - 1} c, x{t} x)")
+        parts.append(f"a{t} AS MATERIALIZED (SELECT regr_slope(y - f, h) AS a, corr(y - f, h) AS r FROM h{t})")
+        parts.append(f"c{t} AS MATERIALIZED (SELECT b0, b1, y, f + a * h AS f FROM h{t}, a{t})")
+    rows = [f"SELECT {t}::INT AS round, feature::INT AS feature, round({_threshold_sql(2)}, 6) AS threshold, round(a, 5) AS weight, round(potential, 4) AS potential, round(r, 6) AS correlation FROM x{t}, k, a{t}, p{t}" for t in range(1, rounds + 1)]
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+def _exp_lev_sql(rounds: int, s: float = 0.1) -> str:
+    parts = [_bins_sql("SELECT l_quantity, l_discount, l_quantity + l_extendedprice / 2000 - 50 AS y FROM lineitem", ["l_quantity", "l_discount"]), "c0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS f FROM b)"]
+    for t in range(1, rounds + 1):
+        size = f"exp({s} * abs(y - f)) - exp(-{s} * abs(y - f))"
+        parts.append(f"p{t} AS MATERIALIZED (SELECT ln(sum(exp({s} * (y - f)) + exp(-{s} * (y - f)) - 2)) AS potential FROM c{t - 1})")
+        parts.append(f"d{t} AS MATERIALIZED (SELECT b0, b1, CASE WHEN y - f >= 0 THEN 1.0 ELSE -1.0 END AS y, {size} AS d FROM c{t - 1})")
+        parts.append(f"x{t} AS MATERIALIZED (SELECT * FROM ({_cuts_sql(_hist_sql(f'd{t}', 2, f'{_P}, {_N}'))}) ORDER BY round({SCORES['entropy']}, 10), feature, bin LIMIT 1)")
+        edge = "(power(lp - lq, 2) / (lp + lq) + power(tp - lp - tq + lq, 2) / (tp + tq - lp - lq)) / (tp + tq)"
+        parts.append(f"w{t} AS MATERIALIZED (SELECT *, ln((1 + e) / (1 - e)) / {2 * s} AS w FROM (SELECT *, {edge} AS e, (lp - lq) / (lp + lq) AS lc, (tp - lp - tq + lq) / (tp + tq - lp - lq) AS rc FROM x{t}))")
+        parts.append(f"c{t} AS MATERIALIZED (SELECT b0, b1, y, f + w * CASE WHEN CASE feature WHEN 0 THEN b0 ELSE b1 END <= bin THEN lc ELSE rc END AS f FROM c{t - 1}, w{t})")
+    rows = [f"SELECT {t}::INT AS round, feature::INT AS feature, round({_threshold_sql(2)}, 6) AS threshold, round(w, 5) AS weight, round(potential, 5) AS potential, round(e, 6) AS correlation FROM w{t}, k, p{t}" for t in range(1, rounds + 1)]
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
 def _graph_sql(rounds: int) -> str:
     """Edges of the graph before each round; a round splits signatures by a tree of two levels under the degrees."""
     edge = SCORES["edge"]
@@ -797,7 +842,7 @@ ORACLE_SQL: dict[str, str] = {
     "gbm": _gbm_sql(2), "gbm_l1": _gbm_l1_sql(3), "logger_trace": _logger_sql(3), "learner_union": _additive_sql("union", 2), "graph_separation": _graph_sql(4),
     **{k: _corrective_sql(k, tol) for k, tol in (("lpboost", 0.01), ("softboost", 0.02), ("totalboost", 0.02), ("erlpboost", 0.02), ("mlpboost", 0.05))},
     "cerlpboost": _corrective_sql("cerlpboost", 0.1, 3), "cerlpboost_pairwise": _corrective_sql("cerlpboost", 0.05, 3, True, "edge"), "cerlpboost_line_search": _corrective_sql("cerlpboost", 0.1, 3, True, "gini"),
-    "row_programs": _row_programs_sql(), "erlpboost_rows": _erlp_rows_sql(),
+    "square_lev": _square_lev_sql(3), "exp_lev": _exp_lev_sql(3), "row_programs": _row_programs_sql(), "erlpboost_rows": _erlp_rows_sql(),
     "lpboost_rows": f"WITH s AS MATERIALIZED (SELECT *, row_number() OVER () AS row_id FROM ({LINEITEMS})), size AS (SELECT count(*)::DOUBLE AS m, 0.1 * count(*) AS nu FROM s), c AS MATERIALIZED ({_bayes_sql('s', [*FEATURES, 'l_extendedprice'])}), "
     f"g AS MATERIALIZED (SELECT 0 AS k, 0 AS x, 1.0::DOUBLE AS n, y * c AS m0 FROM s JOIN c USING (row_id)) SELECT round((SELECT avg(m0) FROM g), 4) AS edge, round(v, 4) AS soft_margin, true AS gap_closed, true AS no_worse FROM ({_lowest_sql('SELECT * FROM g')})",
     "lpboost_worst_case": f"SELECT round(max(edge), 6) AS edge, 60::BIGINT AS n_rows, {_CERTIFIED} FROM ({_bad_sql('1.0 / 60')})",
