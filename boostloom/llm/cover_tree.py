@@ -286,6 +286,7 @@ def near_dups(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
     place = ["label", "centre"]
     many = visits.groupBy(*place).agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("n0"), F.sum("side").alias("n1"))
     many = many.select(F.col("label").alias("m_label"), F.col("centre").alias("m_centre"), F.greatest(F.ceil(F.col("n0") / CHUNK), F.lit(1)).cast("int").alias("p0"), F.ceil(F.col("n1") / CHUNK).cast("int").alias("p1"))
+    many = written(many)  # so that the join reads it by an exchange of its own, and a large place is split where it isn't broadcast
     chunked = visits.join(many, (F.col("label") == F.col("m_label")) & (F.col("centre") == F.col("m_centre")))
     part = F.pmod(F.xxhash64("node"), F.when(F.col("side") == 0, F.col("p0")).otherwise(F.col("p1")))
     chunked = chunked.withColumn("part", part.cast("int"))
@@ -296,6 +297,7 @@ def near_dups(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id
     none = F.array().cast("array<struct<i: int, j: int, s: int>>")
     meets = F.when(F.col("side") == 0, F.concat(residents, F.coalesce(guests, none))).otherwise(as_guest)
     met = chunked.withColumn("meet", F.explode(meets)).select(*place, F.col("meet.i").alias("i"), F.col("meet.j").alias("j"), F.col("meet.s").alias("side"), "node", "vector", "copies")
+    met = met.repartition(*place, "i", "j")  # not by place alone, as the join may have left it
     found = written(met.groupBy(*place, "i", "j").applyInPandas(_chunk(threshold), "a long, b long, n long"))
     labels = components(found.filter(F.col("b").isNotNull()).select("a", "b"))
     counts = found.filter(F.col("b").isNull()).groupBy(F.col("a").alias("c_node")).agg(F.sum("n").alias("n"))
