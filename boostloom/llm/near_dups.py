@@ -242,6 +242,10 @@ def _verify_block(cut: float, threshold: float):
     return run
 
 
+#: Parts of a bucket that meet its least node apart from each other: a bucket may hold a third of all nodes.
+SPREAD = 64
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, node: str, name: str) -> DataFrame:
     """Adds the component of a node, itself if no link has it."""
     of = labels.select(F.col("node").alias("__node"), F.col("component").alias("__component"))
@@ -255,9 +259,11 @@ def _classes(source: DataFrame, threshold: float, width: int, bands: int, rows:
     one = Window.partitionBy("node").orderBy(F.col("id").asc_nulls_first())
     nodes = written(found.withColumn("rank", F.row_number().over(one)).filter("rank = 1").drop("rank"))
 
-    member = nodes.select("node", F.explode("bands").alias("bucket"))
-    least = member.groupBy("bucket").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    bucketed = written(member.join(least, "bucket"))
+    member = nodes.select("node", F.explode("bands").alias("bucket")).withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SPREAD)))
+    parts = written(member.groupBy("bucket", "salt").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("size")))
+    least = parts.groupBy("bucket").agg(F.min("least").alias("least"), F.sum("size").alias("size")).filter("size > 1")
+    least = parts.select(F.col("bucket").alias("b"), "salt").join(least, F.col("b") == F.col("bucket")).select("bucket", "salt", "least", "size")
+    bucketed = written(member.join(least, ["bucket", "salt"]).select("bucket", "node", "least", "size"))
     to_least = bucketed.filter("node <> least").groupBy("node", "least").agg(F.min("size").alias("size"))
     sig_a = nodes.select(F.col("node").alias("n_a"), F.col("sig").alias("sig_a"))
     sig_b = nodes.select(F.col("node").alias("n_b"), F.col("sig").alias("sig_b"))
