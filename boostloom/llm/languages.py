@@ -92,17 +92,18 @@ def fit(docs: DataFrame, lang_col: str = "lang", max_docs: int = 6000, held_out_
     rows = rows.select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
+        names: dict[str, int] = {}
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)  # (language, cell), as many as there are
         for batch in batches:
             for part, buffer, offsets in W.slices(batch, "text", SLICE):
-                langs = np.array(part.column(0).to_pylist(), dtype=object)
+                of = np.array([names.setdefault(x, len(names)) for x in part.column(0).to_pylist()], np.int64)
                 doc, cell = grams(buffer, offsets)
-                for lang in set(langs):
-                    mine = np.array([x == lang for x in langs])
-                    sums[lang] = sums.get(lang, 0) + np.bincount(cell[mine[doc]], minlength=CELLS)
-        for lang, x in sums.items():
-            used = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([W.pack_sorted(used)]), pa.array([W.pack(x[used])])], names=["lang", "cells", "counts"])
+                found, n = np.unique(of[doc] * CELLS + cell, return_counts=True)
+                keys, where = np.unique(np.concatenate([keys, found]), return_inverse=True)
+                counts = np.bincount(where, np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+        cut = np.searchsorted(keys, np.arange(len(names) + 1) * CELLS)
+        for lang, a, b in zip(names, cut, cut[1:], strict=False):
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([W.pack_sorted(keys[a:b] % CELLS)]), pa.array([W.pack(counts[a:b])])], names=["lang", "cells", "counts"])
 
     found = rows.mapInArrow(run, "lang string, cells binary, counts binary").toPandas()
     languages = sorted(found["lang"].unique())
