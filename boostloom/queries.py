@@ -11,13 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from boostloom import lineage
 from boostloom.functions import losses, projection, stats
-from boostloom.operators import BadBaseLearner, DecisionTree, GaussianNB, LearnerUnion, NaiveAggregation, NeuralNetwork, RegressionTree, WeightedMajority
+from boostloom.operators import BadBaseLearner, DecisionTree, GaussianNB, LearnerUnion, NaiveAggregation, NeuralNetwork, RegressionTree, SparseGaussianNB, WeightedMajority
 from boostloom.operators import binning, criteria, neural, sparse, trees
 from boostloom.operators.trees import Node, TreeClassifier
 from boostloom.plans import GBM, AdaBoost, AdaBoostV, CERLPBoost, CrossValidation, ERLPBoost, ExpLev, GraphSepBoost, LoggerBuilder, LPBoost, MadaBoost, MLPBoost, SmoothBoost, SoftBoost, SquareLevR, TotalBoost
 from boostloom.plans import programs
-from boostloom.sources.sample import Sample, validation
+from boostloom.sources.sample import Sample, read_svmlight, validation
 
 Query = Callable[[SparkSession, str], DataFrame]
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -182,9 +183,9 @@ def grad_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.histogram(train.df, s.features, F.lit(0), sums).select("feature", "bin", _r("g", 4).alias("g"), "h")
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> Sample:
+def _sparse(spark: SparkSession, sf_dir: str, target: Column | None = None) -> Sample:
     """The line items as rows of (index, value), without the zeros; four more indices are 0 in most rows."""
-    rows = lineitems(spark, sf_dir).df
+    rows = lineitems(spark, sf_dir).df if target is None else _table(spark, sf_dir, "lineitem").withColumn("y", target)
     entries = F.map_from_arrays(F.array(*[F.lit(i) for i in range(3)]), F.array(*[F.col(f) for f in FEATURES]))
     rare = F.map_from_arrays(F.array(F.lit(3) + F.col("l_quantity").cast("int") % 4), F.array(F.when(F.col("l_discount") > 0.09, F.col("l_tax")).otherwise(0.0)))
     return sparse.sparse_sample(rows.select("y", F.map_filter(F.map_concat(entries, rare), lambda _, v: v != 0).alias("features")))
@@ -205,6 +206,29 @@ def sparse_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "feature int, threshold double, left_value double, right_value double, edge double").select("feature", *[_r(c).alias(c) for c in ("threshold", "left_value", "right_value", "edge")])
 
 
+def sparse_gbm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _sparse(spark, sf_dir, F.col("l_quantity") * (1 - F.col("l_discount")) * (1 + F.col("l_tax")))
+    booster = GBM(s, losses.L2()).max_iter(2)
+    f = booster.run(sparse.SparseRegressionTree(losses.L2(), 2))
+    rows = [(i + 1, h.root[0], h.root[1], w, float(s.df.agg(losses.L2().mean(WeightedMajority(f.weights[: i + 1], f.hypotheses[: i + 1]).predict())).first()[0])) for i, (w, h) in enumerate(zip(f.weights, f.hypotheses, strict=True))]
+    return spark.createDataFrame(rows, "round int, feature int, threshold double, coefficient double, l2 double").select("round", "feature", _r("threshold").alias("threshold"), _r("coefficient").alias("coefficient"), _r("l2", 4).alias("l2"))
+
+
+def svmlight_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as an SVMLight file with an index for each of 100,000 numbers of customers; naive Bayes on its entries."""
+    rows = _table(spark, sf_dir, "orders")
+    y = F.when(F.col("o_totalprice") + 100 * F.col("o_custkey") >= 250000, 1).otherwise(-1)
+    index = 2 + F.col("o_custkey") % 100_000
+    line = F.format_string("%d 0:%s 1:%s %d:1", y, F.col("o_orderkey").cast("string"), (F.col("o_totalprice") / 100000).cast("string"), index)
+    path = lineage.place(spark)
+    rows.select(line.alias("value")).write.text(path)
+    read = read_svmlight(spark, path)
+    key = F.col("features")[0].cast("long").alias("row_id")  # the file's own number of the order, which isn't a feature
+    s = sparse.sparse_sample(read.select(key, "y", F.map_filter("features", lambda k, _: k > 0).alias("features")))
+    model = SparseGaussianNB().fit(s)
+    return model.posterior(s.df, 1.0).select("row_id", "y", _r("posterior", 4).alias("posterior"))
+
+
 def split(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         train = _prepared(spark, sf_dir)
@@ -445,6 +469,7 @@ QUERIES: dict[str, Query] = {
     "lpboost": corrective(lambda s, m: LPBoost(s).nu(0.1 * m).tolerance(0.01)), "softboost": corrective(lambda s, m: SoftBoost(s).nu(0.1 * m).tolerance(0.02)), "totalboost": corrective(lambda s, m: TotalBoost(s).tolerance(0.02)),
     "erlpboost": corrective(lambda s, m: ERLPBoost(s).nu(0.1 * m).tolerance(0.02)), "cerlpboost": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1), 3), "mlpboost": corrective(lambda s, m: MLPBoost(s).nu(0.1 * m).tolerance(0.05)),
     "cerlpboost_pairwise": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.05).fw_type("blended_pairwise"), 3, "edge"), "cerlpboost_line_search": corrective(lambda s, m: CERLPBoost(s).nu(0.1 * m).tolerance(0.1).fw_type("line_search"), 3, "gini"),
+    "sparse_gbm": sparse_gbm, "svmlight_bayes": svmlight_bayes,
     "square_lev": square_lev, "exp_lev": exp_lev, "row_programs": row_programs, "erlpboost_rows": erlpboost_rows, "lpboost_rows": lpboost_rows,
     "graph_degrees": graph_degrees, "naive_aggregation": naive_aggregation, "graph_separation": graph_separation, "bad_edges": bad_edges, "lpboost_worst_case": lpboost_worst_case,
     "cv_folds": cv_folds, "logger_trace": logger_trace, "neural_net": neural_net, "learner_union": learner_union,
@@ -555,8 +580,8 @@ def _tree_sql() -> str:
     )
 
 
-def _regression_cut(table: str) -> str:
-    hist = _hist_sql(table, 2, "sum(g) AS p, count(*)::DOUBLE AS q")
+def _regression_cut(table: str, n: int = 2) -> str:
+    hist = _hist_sql(table, n, "sum(g) AS p, count(*)::DOUBLE AS q")
     score = "-(lp * lp / (lq + 0.01) + (tp - lp) * (tp - lp) / (tq - lq + 0.01))"
     return f"SELECT *, -lp / (lq + 0.01) AS lv, -(tp - lp) / (tq - lq + 0.01) AS rv FROM ({_cuts_sql(hist)}) ORDER BY round({score}, 8), feature, bin LIMIT 1"
 
@@ -814,6 +839,34 @@ def _sparse_tree_sql() -> str:
     )
 
 
+def _sparse_gbm_sql(rounds: int) -> str:
+    bins = _bins_sql("SELECT l_quantity * (1 - l_discount) * (1 + l_tax) AS y, " + ", ".join(f"{f} AS f{i}" for i, f in enumerate(_SPARSE)) + " FROM lineitem", [f"f{i}" for i in range(7)])
+    side = "CASE x.feature " + " ".join(f"WHEN {i} THEN b{i}" for i in range(7)) + " END <= x.bin"
+    parts = [bins, "c0 AS MATERIALIZED (SELECT *, 0.0::DOUBLE AS f FROM b)"]
+    for t in range(1, rounds + 1):
+        parts.append(f"x{t} AS MATERIALIZED ({_regression_cut(f'(SELECT *, f - y AS g FROM c{t - 1})', 7)})")
+        parts.append(f"h{t} AS MATERIALIZED (SELECT c.*, CASE WHEN {side} THEN lv ELSE rv END AS h FROM c{t - 1} c, x{t} x)")
+        parts.append(f"a{t} AS MATERIALIZED (SELECT sum((y - f) * h) / sum(h * h) AS a FROM h{t})")
+        parts.append(f"c{t} AS MATERIALIZED (SELECT * EXCLUDE (h, f, a), f + a * h AS f FROM h{t}, a{t})")
+    rows = [f"SELECT {t}::INT AS round, feature::INT AS feature, round({_threshold_sql(7)}, 6) AS threshold, round(a, 6) AS coefficient, (SELECT round(avg(power(f - y, 2)), 4) FROM c{t}) AS l2 FROM x{t}, k, a{t}" for t in range(1, rounds + 1)]
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(rows)
+
+
+#: Means and variances by (label, feature) from the entries and the labels' numbers of rows; a row's log density corrects an all-zero row's.
+_SVMLIGHT_SQL = """
+WITH o AS MATERIALIZED (SELECT o_orderkey AS row_id, CASE WHEN o_totalprice + 100 * o_custkey >= 250000 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS y, o_totalprice / 100000 AS price, 2 + o_custkey % 100000 AS i FROM orders),
+n AS (SELECT y AS l, count(*)::DOUBLE AS m FROM o GROUP BY y),
+e AS MATERIALIZED (SELECT row_id, y, 1 AS f, price AS v FROM o UNION ALL SELECT row_id, y, i, 1.0 FROM o),
+p0 AS (SELECT f, l, m, coalesce(s, 0) / m AS mu, coalesce(k, 0) AS k FROM (SELECT DISTINCT f FROM e) CROSS JOIN n LEFT JOIN (SELECT f, y AS l, sum(v) AS s, count(*) AS k FROM e GROUP BY f, y) USING (f, l)),
+p AS MATERIALIZED (SELECT f, l, any_value(m) AS m, any_value(mu) AS mu, greatest((coalesce(sum(power(v - mu, 2)), 0) + (any_value(m) - any_value(k)) * power(any_value(mu), 2)) / any_value(m), 1e-9) AS va
+      FROM p0 LEFT JOIN e USING (f) WHERE e.y IS NULL OR e.y = l GROUP BY f, l
+      UNION ALL SELECT f, l, m, mu, 1e-9 FROM p0 WHERE k = 0),
+z AS (SELECT l, ln(any_value(m) / (SELECT count(*) FROM o)) - 0.5 * sum(ln(2 * pi() * va) + mu * mu / va) AS z FROM p GROUP BY l),
+j AS (SELECT row_id, e.y, p.l, any_value(z) - 0.5 * sum((power(v - mu, 2) - mu * mu) / va) AS lj FROM e JOIN p USING (f) JOIN z ON z.l = p.l GROUP BY row_id, e.y, p.l)
+SELECT row_id, y, round(1 / (1 + exp(max(lj) FILTER (l < 0) - max(lj) FILTER (l > 0))), 4) AS posterior FROM j GROUP BY row_id, y
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "sample_validate": f"SELECT count(*) AS n_rows, count(DISTINCT y) AS n_labels, min(y) AS min_label, max(y) AS max_label, count(*) FILTER (y <> floor(y)) AS n_fractional FROM ({ORDERS})",
     "sample_features": " UNION ALL ".join(f"SELECT '{f}' AS feature, count({f}) AS n_rows, count(DISTINCT {f}) AS n_distinct, count(*) FILTER ({f} = 0) AS n_zero, min({f}) AS min_value, max({f}) AS max_value FROM lineitem" for f in FEATURES),
@@ -835,7 +888,7 @@ ORACLE_SQL: dict[str, str] = {
     "class_histogram": f"WITH {_bins_sql(LINEITEMS, FEATURES)} SELECT feature::INT AS feature, bin, p AS positive, q AS negative FROM ({_hist_sql('(SELECT *, 1.0::DOUBLE AS d FROM b)', 3, f'{_P}, {_N}')})",
     "grad_histogram": f"WITH {_bins_sql(REVENUE, ['l_quantity', 'l_discount'])} SELECT feature::INT AS feature, bin, round(g, 4) AS g, h FROM ({_hist_sql('b', 2, 'sum(10.0 - y) AS g, count(*)::DOUBLE AS h')})",
     "sparse_histogram": f"WITH {_SPARSE_BINS} SELECT feature::INT AS feature, bin, p AS positive, q AS negative FROM ({_hist_sql('(SELECT *, 1.0::DOUBLE AS d FROM b)', 7, f'{_P}, {_N}')})",
-    "sparse_tree": _sparse_tree_sql(),
+    "sparse_tree": _sparse_tree_sql(), "sparse_gbm": _sparse_gbm_sql(2), "svmlight_bayes": _SVMLIGHT_SQL,
     **{f"split_{c}": _split_sql(c) for c in SCORES},
     "tree_predict": _tree_sql(),
     "regression_split": f"WITH {_bins_sql(REVENUE, ['l_quantity', 'l_discount'])}, x AS ({_regression_cut('(SELECT *, -y AS g FROM b)')}) SELECT feature::INT AS feature, round({_threshold_sql(2)}, 6) AS threshold, round(lv, 6) AS left_value, round(rv, 6) AS right_value FROM x, k",
