@@ -28,7 +28,7 @@ from pyspark.sql.types import StructType
 from boostloom.llm import words as W
 
 #: Bytes of text whose windows are compared before they are dealt out.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: Stands for a null id: before all others.
 NO_ID = -(2**63)
 _LOW = np.uint64(2**63)
