@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from boostloom.llm import words as W
 
@@ -337,14 +338,17 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows whose text scores under `threshold`, with all their columns; scores as in score_documents()."""
     shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by max_examples
     names = docs.columns
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
+    # the text goes to the workers once; it comes back as it went
+    apart = names.count("text") == 1 and docs.schema["text"].dataType == StringType()
+    beside = [c for c in names if not apart or c != "text"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in beside]).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = pickle.loads(shared.value)
         for batch in batches:
             for part, doc, h, count in _term_counts(batch):
                 keep = _scores(model, part, doc, h, count, 0)[0] < threshold
-                yield part.select([2]).filter(pa.array(keep))
+                yield part.select([1, 2] if apart else [2]).filter(pa.array(keep))
 
-    kept = rows.mapInArrow(run, rows.select("__row").schema)
-    return kept.select(*[F.col("__row")[c].alias(c) for c in names])
+    kept = rows.mapInArrow(run, rows.select(*["__text"] * apart, "__row").schema)
+    return kept.select(*[(F.col("__row")[c] if c in beside else F.col("__text")).alias(c) for c in names])
