@@ -69,11 +69,14 @@ class NNLoss:
     kind: str = "cross_entropy"
 
     def value(self, p: np.ndarray, target: np.ndarray) -> float:
+        return float(self.by_row(p, target).mean())
+
+    def by_row(self, p: np.ndarray, target: np.ndarray) -> np.ndarray:
         if self.kind == "l2":
-            return float(((p - target) ** 2).sum(1).mean() / 2)
+            return ((p - target) ** 2).sum(1) / 2
         if target.shape[1] == 1:
             p, target = np.c_[1 - p, p], np.c_[1 - target, target]
-        return float(-(target * np.log(np.maximum(p, 1e-300))).sum(1).mean())
+        return -(target * np.log(np.maximum(p, 1e-300))).sum(1)
 
     def gradient(self, p: np.ndarray, target: np.ndarray) -> np.ndarray:
         return p - target
@@ -106,18 +109,36 @@ class Network:
 
     def train(self, x: np.ndarray, target: np.ndarray, rate: float, loss: NNLoss = CROSS_ENTROPY) -> None:
         """One gradient step against the loss."""
+        self.move(-rate * self.gradient(x, target, loss))
+
+    def gradient(self, x: np.ndarray, target: np.ndarray, loss: NNLoss, weight: np.ndarray | None = None) -> np.ndarray:
+        """The gradient of the loss, summed over rows (by their weights), in the order of flat()."""
         inputs, sums = [], []
         for w, b, f in zip(self.weights, self.bias, self.activations, strict=True):
             inputs.append(x)
             sums.append(x @ w + b)
             x = f(sums[-1])
         delta = loss.gradient(x, target)
+        if weight is not None:
+            delta = delta * weight[:, None]
+        out = []
         for i in reversed(range(len(self.weights))):
-            back = delta @ self.weights[i].T
-            self.weights[i] -= rate * inputs[i].T @ delta
-            self.bias[i] -= rate * delta.sum(0)
+            out += [delta.sum(0), (inputs[i].T @ delta).ravel()]
             if i:
-                delta = back * self.activations[i - 1].slope(sums[i - 1])
+                delta = (delta @ self.weights[i].T) * self.activations[i - 1].slope(sums[i - 1])
+        return np.concatenate(out[::-1])
+
+    def flat(self) -> np.ndarray:
+        """All weights: a layer's matrix by rows, then its bias, layer after layer."""
+        return np.concatenate([a for w, b in zip(self.weights, self.bias, strict=True) for a in (w.ravel(), b)])
+
+    def move(self, by: np.ndarray) -> None:
+        """Add to all weights, in the order of flat()."""
+        at = 0
+        for i, (w, b) in enumerate(zip(self.weights, self.bias, strict=True)):
+            self.weights[i] = w + by[at : at + w.size].reshape(w.shape)
+            self.bias[i] = b + by[at + w.size : at + w.size + b.size]
+            at += w.size + b.size
 
     def stats(self) -> dict[str, float]:
         flat = np.concatenate([w.ravel() for w in self.weights])
@@ -169,6 +190,7 @@ class NeuralNetwork(WeakLearner):
 
     An epoch's minibatch is a weighted sample without replacement, the rows of the least -ln(u) / weight,
     drawn by a top-k plan; so at most minibatch_size rows reach the driver whatever the table's size.
+    With in_partitions() no row reaches it: minibatches stay where they are and a step is one aggregate.
     """
 
     name = "Neural Network"
@@ -177,6 +199,8 @@ class NeuralNetwork(WeakLearner):
         self._layers: list[tuple[int, Activation]] = []
         self._epochs, self._iterations, self._batch, self._rate = 100, 200, 128, 1e-3
         self._seed, self._task = seed, task
+        self._parallel, self._scale = False, 5.0
+        self.trace: list = []
 
     def append(self, dim: int, activation: Activation):
         self._layers.append((dim, activation))
@@ -198,6 +222,25 @@ class NeuralNetwork(WeakLearner):
         self._task = task
         return self
 
+    def learning_rate(self, rate: float):
+        """Of the mean gradient over a minibatch."""
+        self._rate = rate
+        return self
+
+    def initial_scale(self, scale: float):
+        """Standard deviation of the first weights, times the root of a layer's inputs."""
+        self._scale = scale
+        return self
+
+    def in_partitions(self, flag: bool = True):
+        """Train by steps over minibatches that stay in their partitions.
+
+        An epoch draws about minibatch_size rows by weight (all, by their weights, if there are no more), and each of
+        its n_iter steps is a job, so this is for large minibatches and few steps.  `trace` then has the steps.
+        """
+        self._parallel = flag
+        return self
+
     def info(self) -> dict[str, str]:
         return {"task": self._task, "minibatch": str(self._batch), "epochs": str(self._epochs), "layers": str(len(self._layers))}
 
@@ -208,10 +251,12 @@ class NeuralNetwork(WeakLearner):
 
     def produce(self, train: Prepared, weight: Column) -> NetworkClassifier | NetworkRegressor:
         features, batch = train.extra["features"], self._batch
+        if self._parallel:
+            return self._produce_in_partitions(train, weight, features)
         while batch > train.m:
             batch //= 2
         rng = np.random.default_rng(self._seed)
-        network = Network([len(features), *[d for d, _ in self._layers]], [a for _, a in self._layers], rng)
+        network = Network([len(features), *[d for d, _ in self._layers]], [a for _, a in self._layers], rng, self._scale)
         out = self._layers[-1][0]
         # one draw serves all epochs: a row may be in several of them
         w = mass(weight)
@@ -227,3 +272,17 @@ class NeuralNetwork(WeakLearner):
                 for _ in range(self._iterations):
                     network.train(x, target, self._rate / batch, CROSS_ENTROPY if self._task == "binary" else L2)
         return NetworkClassifier(network, features) if self._task == "binary" else NetworkRegressor(network, features)
+
+    def _produce_in_partitions(self, train: Prepared, weight: Column, features: list[str]) -> NetworkClassifier | NetworkRegressor:
+        from boostloom.operators.draws import Weighted
+        from boostloom.operators.parallel import descend
+
+        network = Network([len(features), *[d for d, _ in self._layers]], [a for _, a in self._layers], np.random.default_rng(self._seed), self._scale)
+        loss = CROSS_ENTROPY if self._task == "binary" else L2
+        whole, self.trace = Weighted.of(train, weight, features), []
+        for epoch in range(self._epochs):
+            rows = whole.draw(self._batch, self._seed, epoch).persist()
+            network, steps = descend(rows, whole.names, network, loss, self._rate, self._iterations)
+            rows.unpersist()
+            self.trace += steps
+        return NetworkClassifier(network, features) if self._task == "binary" else NetworkRegressor(network, features)

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boostloom import lineage
 from boostloom.functions import losses, projection, stats
-from boostloom.operators import BadBaseLearner, DecisionTree, GaussianNB, LearnerUnion, NaiveAggregation, NeuralNetwork, RegressionTree, SparseGaussianNB, WeightedMajority
+from boostloom.operators import BadBaseLearner, DecisionTree, ExternalLearner, GaussianNB, LearnerUnion, NaiveAggregation, NeuralNetwork, RegressionTree, SparseGaussianNB, WeightedMajority
 from boostloom.operators import binning, criteria, neural, sparse, trees
 from boostloom.operators.trees import Node, TreeClassifier
 from boostloom.plans import GBM, AdaBoost, AdaBoostV, CERLPBoost, CrossValidation, ERLPBoost, ExpLev, GraphSepBoost, LoggerBuilder, LPBoost, MadaBoost, MLPBoost, SmoothBoost, SoftBoost, SquareLevR, TotalBoost
@@ -452,6 +453,50 @@ def neural_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.df.agg(F.count(F.lit(1)).alias("n_rows"), _r(stats.zero_one_loss(h.predict())).alias("zero_one"))
 
 
+#: Names of the weights of the network that network_steps trains, in the order of Network.flat(), and its rate.
+NETWORK_NAMES = [*[f"a{i}{j}" for i in range(3) for j in range(2)], "a0", "a1", *[f"b{i}{j}" for i in range(2) for j in range(2)], "b0", "b1"]
+NETWORK_RATE = 0.5
+
+
+def _small_network() -> NeuralNetwork:
+    return NeuralNetwork(seed=7).append(2, neural.sigmoid(0.5)).append(2, neural.softmax()).n_epoch(1).n_iter(3).minibatch_size(1 << 62).learning_rate(NETWORK_RATE).initial_scale(0.3).in_partitions()
+
+
+def network_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps of a network over all line items: the loss and the gradient before each, and the weights after it."""
+    learner = _small_network()
+    learner.fit(lineitems(spark, sf_dir))
+    rows = [(t, n, step.loss, float(g), float(w)) for t, step in enumerate(learner.trace) for n, g, w in zip(NETWORK_NAMES, step.gradient, step.weights, strict=True)]
+    return spark.createDataFrame(rows, "step int, parameter string, loss double, gradient double, weight double").select("step", "parameter", _r("loss").alias("loss"), _r("gradient", 8).alias("gradient"), _r("weight", 8).alias("weight"))
+
+
+#: Rows that each fit of external_learner draws.
+DRAWN = 4000
+
+
+def fit_centroids(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The labels' weighted mean points, -1 first."""
+    return tuple((x[y == label] * weight[y == label, None]).sum(0) / weight[y == label].sum() for label in (-1.0, 1.0))
+
+
+def score_centroids(model: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+    """From -1 at one mean to 1 at the other, along the line between them."""
+    low, high = model
+    along = high - low
+    return 2 * (x - low) @ along / (along @ along) - 1
+
+
+def external_learner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AdaBoost over a model of two NumPy functions, fitted to rows that are drawn by weight."""
+    s = orders(spark, sf_dir)
+    booster = AdaBoost(s).force_quit_at(2)
+    booster.run(ExternalLearner(fit_centroids, score_centroids, rows=DRAWN, seed=5))
+    rows = [(t + 1, *map(float, np.concatenate(h.load())), float(e), float(w)) for t, (h, e, w) in enumerate(zip(booster.hypotheses, booster.edges, booster.weights, strict=True))]
+    names = ["low_price", "low_customer", "high_price", "high_customer"]
+    out = spark.createDataFrame(rows, f"round int, {', '.join(f'{n} double' for n in names)}, edge double, weight double")
+    return out.select("round", *[_r(n, 3).alias(n) for n in names], _r("edge").alias("edge"), _r("weight").alias("weight"))
+
+
 def learner_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = lineitems(spark, sf_dir)
     booster = AdaBoost(s).force_quit_at(2)
@@ -472,7 +517,7 @@ QUERIES: dict[str, Query] = {
     "sparse_gbm": sparse_gbm, "svmlight_bayes": svmlight_bayes,
     "square_lev": square_lev, "exp_lev": exp_lev, "row_programs": row_programs, "erlpboost_rows": erlpboost_rows, "lpboost_rows": lpboost_rows,
     "graph_degrees": graph_degrees, "naive_aggregation": naive_aggregation, "graph_separation": graph_separation, "bad_edges": bad_edges, "lpboost_worst_case": lpboost_worst_case,
-    "cv_folds": cv_folds, "logger_trace": logger_trace, "neural_net": neural_net, "learner_union": learner_union,
+    "cv_folds": cv_folds, "logger_trace": logger_trace, "neural_net": neural_net, "network_steps": network_steps, "external_learner": external_learner, "learner_union": learner_union,
 }
 
 
@@ -830,6 +875,38 @@ _SPARSE = ["l_quantity", "l_discount", "l_tax", *[f"CASE WHEN l_quantity::INT %
 _SPARSE_BINS = _bins_sql("SELECT y, " + ", ".join(f"{f} AS f{i}" for i, f in enumerate(_SPARSE)) + f" FROM ({LINEITEMS})", [f"f{i}" for i in range(7)])
 
 
+def _network_sql(steps: int) -> str:
+    """Steps of the small network, from its first weights: forward, deltas, mean gradients."""
+    first = neural.Network([3, 2, 2], [neural.sigmoid(0.5), neural.softmax()], np.random.default_rng(7), 0.3).flat()
+    parts = [f"s AS ({LINEITEMS})", "p0 AS (SELECT " + ", ".join(f"{float(v)!r}::DOUBLE AS {n}" for n, v in zip(NETWORK_NAMES, first, strict=True)) + ")"]
+    for t in range(steps):
+        hidden = ", ".join(f"1 / (1 + exp(-0.5 * ({' + '.join(f'{x} * a{i}{j}' for i, x in enumerate(FEATURES))} + a{j}))) AS h{j}" for j in range(2))
+        parts += [f"h{t} AS (SELECT *, {hidden} FROM s, p{t})", f"o{t} AS (SELECT *, 1 / (1 + exp(h0 * b00 + h1 * b10 + b0 - h0 * b01 - h1 * b11 - b1)) AS q FROM h{t})"]
+        parts.append(f"d{t} AS (SELECT *, q - e AS e1, e - q AS e0, CASE WHEN e = 1 THEN -ln(q) ELSE -ln(1 - q) END AS loss FROM (SELECT *, CASE WHEN y > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS e FROM o{t}))")
+        parts.append(f"c{t} AS (SELECT *, {', '.join(f'(e0 * b{j}0 + e1 * b{j}1) * 0.5 * h{j} * (1 - h{j}) AS z{j}' for j in range(2))} FROM d{t})")
+        sums = [*[f"avg({x} * z{j}) AS a{i}{j}" for i, x in enumerate(FEATURES) for j in range(2)], "avg(z0) AS a0", "avg(z1) AS a1", *[f"avg(h{i} * e{j}) AS b{i}{j}" for i in range(2) for j in range(2)], "avg(e0) AS b0", "avg(e1) AS b1"]
+        parts += [f"g{t} AS MATERIALIZED (SELECT avg(loss) AS loss, {', '.join(sums)} FROM c{t})", f"p{t + 1} AS MATERIALIZED (SELECT {', '.join(f'p{t}.{n} - {NETWORK_RATE} * g{t}.{n} AS {n}' for n in NETWORK_NAMES)} FROM p{t}, g{t})"]
+    rows = " UNION ALL ".join(f"SELECT {t} AS step, '{n}' AS parameter, round(loss, 6) AS loss, round(g{t}.{n}, 8) + 0.0 AS gradient, round(p{t + 1}.{n}, 8) + 0.0 AS weight FROM g{t}, p{t + 1}" for t in range(steps) for n in NETWORK_NAMES)
+    return f"WITH {', '.join(parts)} {rows}"
+
+
+def _external_sql(rounds: int) -> str:
+    """Rounds of AdaBoost over centroids of rows that are drawn by weight."""
+    parts = [f"f0 AS (SELECT *, 0.0::DOUBLE AS f FROM ({ORDERS}))"]
+    for t in range(rounds):
+        u = f"(('0x' || substr(md5(row_id || '|5|{t}'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0"
+        parts += [
+            f"d{t} AS MATERIALIZED (SELECT *, exp(-y * f) AS d, sum(exp(-y * f)) OVER () AS total, count(*) OVER () AS m FROM f{t})",
+            f"w{t} AS (SELECT *, d / (total * p) AS share FROM (SELECT *, CASE WHEN {DRAWN} >= m THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, d * {DRAWN} / total) END AS p, {u} AS u FROM d{t}) WHERE {DRAWN} >= m OR u < p)",
+            f"c{t} AS MATERIALIZED (SELECT {', '.join(f'sum(share * {x}) FILTER (y = {v}) / sum(share) FILTER (y = {v}) AS {n}' for n, x, v in [('lp', 'o_totalprice', -1), ('lc', 'o_custkey', -1), ('hp', 'o_totalprice', 1), ('hc', 'o_custkey', 1)])} FROM w{t})",
+            f"h{t} AS MATERIALIZED (SELECT d{t}.*, greatest(-1.0::DOUBLE, least(1.0::DOUBLE, 2 * ((o_totalprice - lp) * (hp - lp) + (o_custkey - lc) * (hc - lc)) / (power(hp - lp, 2) + power(hc - lc, 2)) - 1)) AS h FROM d{t}, c{t})",
+            f"e{t} AS MATERIALIZED (SELECT *, 0.5 * ln((1 + edge) / (1 - edge)) AS weight FROM (SELECT sum(d * y * h) / sum(d) AS edge FROM h{t}))",
+            f"f{t + 1} AS (SELECT o_totalprice, o_custkey, row_id, y, f + weight * h AS f FROM h{t}, e{t})",
+        ]
+    rows = " UNION ALL ".join(f"SELECT {t + 1} AS round, round(lp, 3) AS low_price, round(lc, 3) AS low_customer, round(hp, 3) AS high_price, round(hc, 3) AS high_customer, round(edge, 6) AS edge, round(weight, 6) AS weight FROM c{t}, e{t}" for t in range(rounds))
+    return f"WITH {', '.join(parts)} {rows}"
+
+
 def _sparse_tree_sql() -> str:
     cuts = _cuts_sql(_hist_sql("(SELECT *, 1.0::DOUBLE AS d FROM b)", 7, f"{_P}, {_N}"))
     edge = "(power(lp - lq, 2) / (lp + lq) + power(tp - lp - tq + lq, 2) / (tp + tq - lp - lq)) / (tp + tq)"
@@ -888,6 +965,7 @@ ORACLE_SQL: dict[str, str] = {
     "class_histogram": f"WITH {_bins_sql(LINEITEMS, FEATURES)} SELECT feature::INT AS feature, bin, p AS positive, q AS negative FROM ({_hist_sql('(SELECT *, 1.0::DOUBLE AS d FROM b)', 3, f'{_P}, {_N}')})",
     "grad_histogram": f"WITH {_bins_sql(REVENUE, ['l_quantity', 'l_discount'])} SELECT feature::INT AS feature, bin, round(g, 4) AS g, h FROM ({_hist_sql('b', 2, 'sum(10.0 - y) AS g, count(*)::DOUBLE AS h')})",
     "sparse_histogram": f"WITH {_SPARSE_BINS} SELECT feature::INT AS feature, bin, p AS positive, q AS negative FROM ({_hist_sql('(SELECT *, 1.0::DOUBLE AS d FROM b)', 7, f'{_P}, {_N}')})",
+    "network_steps": _network_sql(3), "external_learner": _external_sql(2),
     "sparse_tree": _sparse_tree_sql(), "sparse_gbm": _sparse_gbm_sql(2), "svmlight_bayes": _SVMLIGHT_SQL,
     **{f"split_{c}": _split_sql(c) for c in SCORES},
     "tree_predict": _tree_sql(),
