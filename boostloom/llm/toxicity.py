@@ -336,7 +336,8 @@ def score_documents(docs: DataFrame, model: Model, evidence: int = 3) -> DataFra
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows whose text scores under `threshold`, with all their columns; scores as in score_documents()."""
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))  # bounded by max_examples
+    # bounded by max_examples; as itself and not as bytes, which a worker would keep beside the model
+    shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
     # the text goes to the workers once; it comes back as it went
     apart = names.count("text") == 1 and docs.schema["text"].dataType == StringType()
@@ -344,7 +345,7 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in beside]).alias("__row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Model = pickle.loads(shared.value)
+        model: Model = shared.value
         for batch in batches:
             for part, doc, h, count in _term_counts(batch):
                 keep = _scores(model, part, doc, h, count, 0)[0] < threshold
