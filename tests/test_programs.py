@@ -2,6 +2,7 @@
 
 from types import SimpleNamespace
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -138,6 +139,27 @@ def test_boosters_over_rows_go_as_over_groups(sample, kind):
         assert f.weights == pytest.approx(g.weights, abs=2e-2)
 
 
+def test_erlpboost_goes_on_where_the_first_round_is_close_enough(spark, sample):
+    short = ERLPBoost(sample).nu(60).tolerance(1.9).force_quit_at(2).over_rows()
+    short.run(DecisionTree(1))
+    both = ERLPBoost(sample).nu(60).tolerance(1.9).at_least(2).force_quit_at(2).over_rows()
+    both.run(DecisionTree(1))
+    assert [r["round"] for r in short.trace] == [1] and [r["round"] for r in both.trace] == [1, 2]
+    assert both.trace[0] == pytest.approx(short.trace[0]) and both.trace[1]["value"] >= both.trace[0]["value"] - 1e-6
+
+
+def test_erlpboost_rows_has_the_rounds_of_its_sql(spark, tmp_path):
+    """Prices alone tell the labels, so that the first round is within half the tolerance of the bound."""
+    from boostloom import queries
+
+    rows = [(i, float(1000 + 499000 * i // 399), i % 3 + 1) for i in range(400)]
+    spark.createDataFrame(rows, "o_orderkey long, o_totalprice double, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    found = [tuple(r) for r in queries.erlpboost_rows(spark, str(tmp_path)).collect()]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW orders AS FROM '{tmp_path}/orders.parquet/*.parquet'")
+        assert found == db.execute(queries.ORACLE_SQL["erlpboost_rows"]).fetchall()
+
+
 def test_lpboost_over_continuous_scores_has_a_small_gap(sample):
     b = LPBoost(sample).nu(60).tolerance(0.01).force_quit_at(3)
     f = b.over_rows().run(GaussianNB(soft=True))
