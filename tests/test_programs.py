@@ -13,7 +13,7 @@ from boostloom.operators import DecisionTree, GaussianNB
 from boostloom.operators.base import Prepared
 from boostloom.plans import CERLPBoost, ERLPBoost, LPBoost, MLPBoost, SoftBoost, TotalBoost, solvers
 from boostloom.plans.corrective import double_log_noise
-from boostloom.plans.programs import GroupPrograms, RowPrograms, best_quadratic
+from boostloom.plans.programs import CellDual, Dual, GroupPrograms, RowPrograms, best_quadratic
 from boostloom.sources.sample import Sample
 
 ETA = 40.0
@@ -64,6 +64,35 @@ def test_the_linear_program_over_rows(spark, seed, share):
     assert value - primal <= 1e-3 + 1e-6, "the soft margin of the weights bounds the edges from below"
 
 
+def test_the_linear_program_takes_few_aggregates(spark, monkeypatch):
+    a, n = problem(7, 400, 3)
+    nu = 0.1 * n.sum()
+    best, looks, look = solvers.soft_margin_lp(a, n, nu)[0], [], Dual.look
+    monkeypatch.setattr(Dual, "look", lambda self, *args: looks.append(self.eta) or look(self, *args))
+    value, w = by_rows(spark, a, n).soft_margin(nu, 5e-3)
+    assert best - 1e-9 <= value <= best + 5e-3 and w.sum() == pytest.approx(1)
+    assert len(looks) <= 12
+    monkeypatch.setattr(CellDual, "MOST", 1)  # without cells to start from
+    value, _ = by_rows(spark, a, n).soft_margin(nu, 5e-3)
+    assert best - 1e-9 <= value <= best + 5e-3
+
+
+def test_rounding_does_not_keep_a_step_from_its_whole_length():
+    class Rough(CellDual):
+        """Sums over very many rows: shorter steps look better by a rounding error."""
+
+        def look(self, v, theta, working, near=()):
+            out = super().look(v, theta, working, near)
+            out.shorter = [x + 1e-14 for x in out.shorter]
+            return out
+
+    a, n = problem(8, 400, 2)
+    rough = Rough(np.column_stack([n, 0 * n, a]), 40.0, 0.1 * n.sum(), n.sum())
+    even = lambda v, look: abs(1 - look.total) < 1e-10
+    v, theta, look = rough.ascend(np.array([0.5, 0.5]), 0.0, even)
+    assert even(v, look) and rough.looks <= 12
+
+
 def test_entropy_programs_over_rows(spark):
     a, n = problem(3)
     nu = 0.1 * n.sum()

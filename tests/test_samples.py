@@ -124,6 +124,15 @@ def test_weighted_median_and_tail(spark, few, monkeypatch):
         assert stats.lower_tail_mean(rows, F.col("v"), F.col("w"), float(mass)) == pytest.approx(tail)
 
 
+def test_tail_means_work_values_out_once(spark):
+    """However many aggregates narrow the tail down."""
+    seen = spark.sparkContext.accumulator(0)
+    value = F.udf(lambda i: seen.add(1) or float(i % 50_000), "double")
+    rows = spark.range(60_000)
+    assert stats.lower_tail_mean(rows, value("id"), F.lit(1), 30_000.0) == pytest.approx(sum(min(2, 1 + (i < 10_000)) * i for i in range(20_000)) / 30_000)
+    assert seen.value == 60_000
+
+
 def test_objectives_agree(spark):
     class Fixed:
         def confidence(self, binned=False):
